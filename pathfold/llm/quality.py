@@ -62,7 +62,9 @@ def base_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<bigint>")).alias("_windows"),
     )
-    counted = hashed.select("_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_window_words(F.col("_windows")).cast("bigint").alias("n_repeat_words"))
+    # The generator keeps later filters from being pushed below, where they would compute all of this again.
+    numbers = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_window_words(F.col("_windows")).cast("bigint").alias("n_repeat_words"))
+    counted = hashed.select("_row", F.inline(F.array(numbers)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
