@@ -6,12 +6,13 @@
     steers cost - any total order gives the same answer - so that list may be bounded (HOT) and broadcast.
 3.  Prefix filter: two sets that reach the threshold share a shingle among the first n - ceil(t * n) + 1 of each. Prefixes
     are dealt by shingle; a shingle in one prefix only is dropped.
-4.  Round one: classes meet under their first remaining shingle, and a prefix-tree join on the whole sets links them. Most
-    copies are connected now. Groups above TILE are cut into tiles that share an anchor.
+4.  Round one: classes meet under their first remaining shingle. Those without a class of a near enough size go; a
+    prefix-tree join on what is left of the prefixes drops those that cannot reach the threshold with anyone; only the
+    others' whole sets are moved, and a prefix-tree join on these links them. Most copies are connected now. Groups
+    above TILE are cut into tiles that share an anchor.
 5.  Round two: shingles whose classes are not yet all in one component are taken up, one for each distinct list of
-    classes, in pairs of tiles. A prefix-tree join on the prefixes drops pairs that cannot reach the threshold; what is
-    left is verified on whole sets as before. So every pair sharing a prefix shingle is either connected, or met in
-    round one, or is judged here: no link is lost.
+    classes, in pairs of tiles, and go the same way. So every pair sharing a prefix shingle is either connected, or met
+    in round one, or is judged here: no link is lost.
 
 Nothing is collected but HOT and a few counts. Classes are named by 64-bit fingerprints: n classes collide with
 probability n * n / 2**65.
@@ -27,7 +28,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfold.llm.common import materialize
@@ -259,7 +260,7 @@ def _candidates(percent: int):
                 ok = (np.arange(len(rows)) > k) & (c != c[k]) & (h != h[k]) & (need <= np.minimum(size, size[k]))
                 if i != j:
                     ok &= where != where[k]
-                if not ok.any():
+                if not ok.any() or (chosen[k] and chosen[ok].all()):
                     continue
                 need = np.where(ok, np.maximum(need - np.maximum(rest, rest[k]), 1), NEVER)
                 for m in tree.probe(ranks[k], need)[0].tolist():
@@ -313,37 +314,46 @@ class JaccardJoin:
         whole = self._whole_sets(members).withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)))
         return materialize(whole.groupBy("bucket").applyInArrow(_verify(self.percent), "a long, b long"), "links")
 
+    def _judged(self, rows: DataFrame, facts: DataFrame) -> DataFrame:
+        """Of rows(g, i, j, block, sig, comp, home) those whose prefixes leave them a possible partner: (g, i, j, sig)."""
+        rows = materialize(rows, "judged")
+        buckets = max(8, math.ceil(rows.count() / 20_000))
+        dealt = rows.join(facts, "sig").withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)))
+        return dealt.groupBy("bucket").applyInArrow(_candidates(self.percent), "g long, i int, j int, sig long")
+
+    def _close(self, rows: DataFrame) -> DataFrame:
+        """Of rows(g, sig, n, ...) those with a neighbour in g whose size is near enough for the threshold."""
+        by_size = Window.partitionBy("g").orderBy("n", "sig")
+        up, down = F.lead("n").over(by_size), F.lag("n").over(by_size)
+        return rows.withColumn("_up", up).withColumn("_down", down).where((100 * F.col("n") >= self.percent * F.col("_up")) | (100 * F.col("_down") >= self.percent * F.col("n"))).drop("_up", "_down")
+
     def links(self) -> DataFrame:
         """Links (a, b) between class fingerprints that connect all classes which reach the threshold."""
         pairs = self.survivors()
-        first = pairs.groupBy("sig").agg(F.min("e").alias("g"))
-        sizes = first.groupBy("g").agg(F.count("*").alias("m"), F.min("sig").alias("anchor")).where("m > 1")
-        tiles = F.ceil(F.col("m") / F.lit(TILE)).cast("int")
-        sizes = sizes.withColumn("tiles", tiles)
-        own = first.join(sizes, "g").select("g", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int").alias("i"), "sig")
+        prefixes = pairs.groupBy("sig").agg(F.sort_array(F.collect_list("e")).alias("prefix"))
+        facts = materialize(prefixes.join(self.classes.select("sig", "n"), "sig"), "facts")
+        alone = F.xxhash64("sig", F.lit("alone"))
+
+        first = self._close(facts.select("sig", "n", F.element_at("prefix", 1).alias("g")))
+        sizes = first.groupBy("g").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"), F.min("sig").alias("anchor"))
+        own = materialize(first.join(sizes, "g").select("g", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int").alias("i"), "sig"), "round-one")
         anchors = sizes.where("tiles > 1").select("g", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), F.col("anchor").alias("sig"))
-        met = materialize(own.unionByName(anchors).distinct().select("g", "i", F.col("i").alias("j"), "sig"), "round-one")
-        one = self._links(met)
+        met = own.unionByName(anchors).distinct().select("g", "i", F.col("i").alias("j"), F.lit(0).alias("block"), "sig", F.col("sig").alias("comp"), alone.alias("home"))
+        one = self._links(self._judged(met, facts))
 
         grouped = components(one)
         lists = pairs.groupBy("e").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"))
-        kept = lists.groupBy("m", "x", "y").agg(F.min("e").alias("e")).where("m > 1").select("e", F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("tiles"))
+        kept = lists.groupBy("m", "x", "y").agg(F.min("e").alias("e")).where("m > 1").select("e")
         # An anchor sits in several tiles; its own tile is the one its fingerprint names.
         homes = own.select("sig", F.xxhash64("g", "i").alias("home"))
-        labelled = materialize(
-            pairs.join(kept, "e").join(grouped, F.col("sig") == F.col("node"), "left").select(F.col("e").alias("g"), "tiles", "sig", F.coalesce("component", "sig").alias("comp")), "lists"
-        )
-        open_ = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
-        prefixes = pairs.groupBy("sig").agg(F.sort_array(F.collect_list("e")).alias("prefix"))
-        facts = prefixes.join(self.classes.select("sig", "n"), "sig").join(homes, "sig", "left").withColumn("home", F.coalesce("home", F.xxhash64("sig", F.lit("alone"))))
+        known = self.classes.select("sig", "n").join(grouped, F.col("sig") == F.col("node"), "left").join(homes, "sig", "left")
+        known = known.select("sig", "n", F.coalesce("component", "sig").alias("comp"), F.coalesce("home", alone).alias("home"))
+        labelled = materialize(self._close(pairs.join(kept, "e").join(known, "sig").select(F.col("e").alias("g"), "sig", "n", "comp", "home")), "lists")
+        open_ = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("lo <> hi").select("g", "tiles")
         rows = labelled.join(open_, "g").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("tiles")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "comp")
-        rows = materialize(rows, "round-two")
-        buckets = max(8, math.ceil(rows.count() / 20_000))
-        dealt = rows.join(facts, "sig").withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)))
-        again = dealt.groupBy("bucket").applyInArrow(_candidates(self.percent), "g long, i int, j int, sig long")
-        return one.unionByName(self._links(again))
+        rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "comp", "home")
+        return one.unionByName(self._links(self._judged(rows, facts)))
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
