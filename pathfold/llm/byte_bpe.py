@@ -84,8 +84,8 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
-        for i in range(0, len(texts), 20_000):
-            out += [x.ids for x in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+        for i in range(0, len(texts), 2_000):
+            out += [x.ids for x in self.tokenizer.encode_batch_fast(texts[i : i + 2_000], add_special_tokens=False)]
         return out
 
     def _whole(self, text: str) -> bool:

@@ -109,7 +109,7 @@ def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[
 class Memo:
     """Maps segment hashes to short integer arrays that `compute` makes once for each new segment. Emptied when full."""
 
-    def __init__(self, compute: Callable[[list[str]], list], most: int = 1_000_000, dtype=np.int32):
+    def __init__(self, compute: Callable[[list[str]], list], most: int = 500_000, dtype=np.int32):
         self.compute, self.most, self.dtype = compute, most, dtype
         self._clear()
 

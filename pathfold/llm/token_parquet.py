@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathfold.llm.common import shared_path
+from pathfold.llm.common import shared_path, sized
 
 SCHEMA = "shard int, pos long, doc_id long, n_tokens int, ids array<int>"
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
@@ -75,7 +75,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(SCHEMA).parquet(path)
     totals = rows.groupBy("shard").agg(F.max(F.col("pos") + F.col("n_tokens")).alias("total"))
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    offsets = totals.select("shard", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("offset"))
+    # A row for each file, its number checked, so that the lists of ids are not shuffled to meet it.
+    offsets = sized(totals.select("shard", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("offset")), "offsets")
     return rows.join(offsets, "shard").withColumn("start", F.col("offset") + F.col("pos")).drop("offset")
 
 
