@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathfold.plans import prep_queries, routing_queries  # noqa: F401
+from pathfold.plans import ledger_queries, prep_queries, routing_queries, uncertainty_queries  # noqa: F401
 from pathfold.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
