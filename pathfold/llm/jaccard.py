@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathfold.llm.common import materialize
+from pathfold.llm.common import materialize, sized
 from pathfold.llm.components import components
 from pathfold.llm.shingle_trie import NEVER, Trie, Union, required
 from pathfold.llm.textvec import Block, blocks, mix
@@ -302,7 +302,7 @@ class JaccardJoin:
                 sets = [x for x in sets if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array([ordered(x, hot.value).tobytes() for x in sets], pa.binary())], names=["sig", "shingles"])
 
-        wanted = members.select("sig").distinct().join(self.classes, "sig").select(F.col("rep").alias("doc_id"))
+        wanted = sized(members.select("sig").distinct().join(self.classes, "sig").select(F.col("rep").alias("doc_id")), "wanted", 1_000_000)  # 8 MB of ids at most
         texts = self.docs.join(wanted, "doc_id", "left_semi")
         return members.join(texts.mapInArrow(run, "sig long, shingles binary").dropDuplicates(["sig"]), "sig")
 
@@ -327,6 +327,15 @@ class JaccardJoin:
         up, down = F.lead("n").over(by_size), F.lag("n").over(by_size)
         return rows.withColumn("_up", up).withColumn("_down", down).where((100 * F.col("n") >= self.percent * F.col("_up")) | (100 * F.col("_down") >= self.percent * F.col("n"))).drop("_up", "_down")
 
+    def _possible(self, rows: DataFrame) -> DataFrame:
+        """rows(g, m, times, sig, n, wide, ...) without the lists of two classes that cannot link. These share `times`
+        shingles that nobody else has, and at most `wide` others each; beyond their prefixes at most the rest of one."""
+        both = Window.partitionBy("g")
+        n, least = F.col("n"), F.min("wide").over(both)
+        prefix = n - F.ceil(n * self.percent / F.lit(100)) + 1
+        need = F.ceil(F.lit(self.percent) * F.sum("n").over(both) / F.lit(100 + self.percent)) - F.max(n - prefix).over(both)
+        return rows.withColumn("_may", (F.col("m") > 2) | (F.col("times") + least >= need)).where("_may").drop("_may", "m", "times", "wide")
+
     def links(self) -> DataFrame:
         """Links (a, b) between class fingerprints that connect all classes which reach the threshold."""
         pairs = self.survivors()
@@ -343,12 +352,14 @@ class JaccardJoin:
 
         grouped = components(one)
         lists = pairs.groupBy("e").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"))
-        kept = lists.groupBy("m", "x", "y").agg(F.min("e").alias("e")).where("m > 1").select("e")
+        kept = lists.groupBy("m", "x", "y").agg(F.min("e").alias("e"), F.count("*").alias("times")).where("m > 1").select("e", "m", "times")
         # An anchor sits in several tiles; its own tile is the one its fingerprint names.
         homes = own.select("sig", F.xxhash64("g", "i").alias("home"))
-        known = self.classes.select("sig", "n").join(grouped, F.col("sig") == F.col("node"), "left").join(homes, "sig", "left")
-        known = known.select("sig", "n", F.coalesce("component", "sig").alias("comp"), F.coalesce("home", alone).alias("home"))
-        labelled = materialize(self._close(pairs.join(kept, "e").join(known, "sig").select(F.col("e").alias("g"), "sig", "n", "comp", "home")), "lists")
+        wide = pairs.join(lists.where("m > 2").select("e"), "e").groupBy("sig").agg(F.count("*").alias("wide"))
+        known = self.classes.select("sig", "n").join(wide, "sig", "left").join(grouped, F.col("sig") == F.col("node"), "left").join(homes, "sig", "left")
+        known = known.select("sig", "n", F.coalesce("wide", F.lit(0)).alias("wide"), F.coalesce("component", "sig").alias("comp"), F.coalesce("home", alone).alias("home"))
+        joined = pairs.join(kept, "e").join(known, "sig").select(F.col("e").alias("g"), "m", "times", "sig", "n", "wide", "comp", "home")
+        labelled = materialize(self._close(self._possible(joined)), "lists")
         open_ = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("lo <> hi").select("g", "tiles")
         rows = labelled.join(open_, "g").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("tiles")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
