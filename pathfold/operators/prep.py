@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfold.sources.storage import ensure_checkpoints
+
 #: Texts with which a failed generation begins (compared after trimming and lower-casing).
 FAILURE_PREFIXES = ("error:", "request failed", "api error", "timeout")
 REASONS = (("label_available", "missing_or_failed_label"), ("cost_available", "missing_or_invalid_cost"), ("tokens_available", "missing_or_invalid_tokens"))
@@ -83,6 +85,7 @@ def normalized_text(text: Column) -> Column:
 def leakage_groups(prompts: DataFrame, *keys: str) -> DataFrame:
     """Connected components of prompts that share any of the normalised keys, named by the SHA-256 of the smallest
     prompt_id. Labels move over keys until none changes; each round is checkpointed. Empty keys join nothing."""
+    ensure_checkpoints(prompts.sparkSession)
     edges = reduce(DataFrame.unionByName, [prompts.select("prompt_id", F.concat(F.lit(f"{i}:"), normalized_text(F.col(k))).alias("key")).where(F.length("key") > 2) for i, k in enumerate(keys)])
     edges = edges.distinct().checkpoint()
     labels = prompts.select("prompt_id", F.col("prompt_id").alias("label"))
