@@ -129,5 +129,7 @@ def write_and_count(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     spark = docs.sparkSession
     path = shared_path(spark, "flat")
     written = materialize(write_files(docs, path, tokenizer, end_id), "flat-order")
+    if not written.limit(1).count():  # no rows, no files
+        return written.select("doc_id", F.lit("").alias("file"), "ordinal", F.lit(0).cast("bigint").alias("n_tokens"))
     names = written.select(F.concat(F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin")).alias("file"), "ordinal", "doc_id")
     return names.join(count_tokens(spark, path, end_id), ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "n_tokens")
