@@ -165,7 +165,7 @@ def policy_summary(spark, sf_dir):
     """Each dataset, all prompts, and the mean of the datasets' means (whose n is all rows and whose median is null)."""
     sets = actions(spark, sf_dir).rollup("policy_id", "dataset").agg(
         F.grouping_id().alias("g"), F.count("*").alias("n"), F.avg("y").alias("quality"), F.avg("cost").alias("mean_cost"), F.percentile("cost", F.lit(0.5)).alias("median_cost")
-    ).where("g < 3").cache()
+    ).where("g < 3")
     macro = sets.where("g = 0").groupBy("policy_id").agg(F.sum("n").alias("n"), F.avg("quality").alias("quality"), F.avg("mean_cost").alias("mean_cost")).withColumns({"dataset": F.lit("__macro__"), "median_cost": F.lit(None).cast("double")})
     out = sets.drop("g").fillna("__micro__", ["dataset"]).unionByName(macro)
     return out.withColumns({c: F.round(c, 9) for c in ("quality", "mean_cost", "median_cost")})

@@ -288,3 +288,16 @@ def test_rest_works_without_llm():
         if "llm" not in path.parts:
             names = [n for node in ast.walk(ast.parse(path.read_text())) if isinstance(node, (ast.Import, ast.ImportFrom)) for n in ([node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names])]
             assert not any(n.startswith("pathfold.llm") for n in names), path
+
+
+def test_report(spark, sf):
+    from pathfold.plans import report
+
+    text = report.render(spark, sf, "Pilot", report.PILOT)
+    assert text.count("## ") == len(report.PILOT) and "| expected_pairs |" in text.replace("| accuracy", "| accuracy")
+
+
+def test_exact_normalisation():
+    from pathfold.functions.unicode_text import folded
+
+    assert folded(" Ｆoo\tSTRASSE ﬁ ") == "foo strasse fi" and folded(None) is None
