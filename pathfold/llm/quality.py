@@ -7,7 +7,8 @@ Line frequency: lines are normalised (white space collapsed, trimmed, lower-case
 distinct documents that hold a line are counted - documents with the same text are one document, so that copies do not
 condemn their own original; lines held by more than LINE_DOCS documents and by more than LINE_SHARE of the host's
 documents are boilerplate and are removed; a document that loses more than half of its characters in words is
-depleted and is rejected. Counting needs a line's hash, its host's and its text's, never the text.
+depleted and is rejected. Counting shuffles hashes of a line, its host and its text, never the text; removing needs
+no shuffle, as a host's frequent lines are a short array.
 
 Defined results: a null text is the empty text (no words, base fails); a null host is a host of its own; equal rows
 get equal verdicts and each has its row; an empty table gives an empty result.
@@ -73,41 +74,43 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, GAP, " ")))
 
 
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(normalised(line))
+
+
 def _keys(text: Column, host: Column) -> list[Column]:
     return [F.coalesce(F.xxhash64(host), F.lit(0)).alias("host_key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key")]
 
 
-def depleted(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, percent: int = DEPLETED_PERCENT) -> DataFrame:
-    """(host_key, text_key) of the documents that lose more than `percent` of their word characters with the lines
-    above both limits."""
+def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """(host_key, frequent): for each host the hashes of the lines above both limits. A host has at most
+    1 / line_share times as many of them as its documents have lines on average, so its array is short."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(host_col), F.lit("\0")).alias("host"), text.alias("text"))
-    lines = rows.select(
-        *_keys(F.col("text"), F.col("host")),
-        F.transform(
-            F.filter(F.split("text", "\n"), lambda x: x.rlike(SOLID)),
-            lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.length(F.regexp_replace(x, GAP, "")).alias("chars")),
-        ).alias("lines"),
-    ).select("host_key", "text_key", F.explode("lines").alias("x")).select("host_key", "text_key", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"))
+    solid = F.filter(F.split("text", "\n"), lambda x: x.rlike(SOLID))
+    lines = rows.select(*_keys(F.col("text"), F.col("host")), F.explode(F.array_distinct(F.transform(solid, _line_hash))).alias("line"))
     # A row for each line of each distinct document; copies and repeats meet here, partly before the shuffle.
-    held = lines.groupBy("host_key", "line", "text_key").agg(F.first("chars").alias("chars"), F.count("*").alias("times"))
-    texts = rows.select(*_keys(F.col("text"), F.col("host"))).distinct()
-    hosts = texts.groupBy("host_key").agg(F.count("*").alias("host_docs"))
-    frequent = held.groupBy("host_key", "line").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > line_docs)
-    frequent = frequent.join(hosts, "host_key").where(F.col("line_docs") > line_share * F.col("host_docs")).select("host_key", "line")
-    frequent = sized(frequent, "frequent-lines")
-    lost = held.join(frequent, ["host_key", "line"]).groupBy("host_key", "text_key").agg(F.sum(F.col("chars")).alias("lost"))
-    # Repeats of a line within a document count once on both sides of the comparison.
-    whole = held.groupBy("host_key", "text_key").agg(F.sum("chars").alias("chars"))
-    return lost.join(whole, ["host_key", "text_key"]).where(100 * F.col("lost") > percent * F.col("chars")).select("host_key", "text_key")
-
-
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """docs with the base metrics, base_failed and kept (base passed and not depleted)."""
-    gone = sized(depleted(docs, text_col, host_col, **limits), "depleted")
-    measured = base_metrics(docs, text_col).withColumns(dict(zip(("host_key", "text_key"), _keys(F.col(f"_row.{text_col}"), F.coalesce(F.col(f"_row.{host_col}"), F.lit("\0"))), strict=True)))
-    marked = measured.join(gone.withColumn("_gone", F.lit(True)), ["host_key", "text_key"], "left")
-    return marked.withColumn("kept", ~F.col("base_failed") & F.col("_gone").isNull()).drop("host_key", "text_key", "_gone")
+    counted = lines.distinct().groupBy("host_key", "line").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > line_docs)
+    hosts = rows.select(*_keys(F.col("text"), F.col("host"))).distinct().groupBy("host_key").agg(F.count("*").alias("host_docs"))
+    above = counted.join(hosts, "host_key").where(F.col("line_docs") > line_share * F.col("host_docs"))
+    return above.groupBy("host_key").agg(F.sort_array(F.collect_list("line")).alias("frequent"))
+
+
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", percent: int = DEPLETED_PERCENT, **limits) -> DataFrame:
+    """_row (the input's row), the base metrics, base_failed, left_text (the text without its host's frequent lines), lost
+    (characters in words that went with them) and kept (base passed and not depleted)."""
+    frequent = sized(frequent_lines(docs, text_col, host_col, **limits), "frequent-lines")
+    text = F.col(f"_row.{text_col}")
+    host = F.coalesce(F.xxhash64(F.coalesce(F.col(f"_row.{host_col}"), F.lit("\0"))), F.lit(0))
+    joined = base_metrics(docs, text_col).withColumn("host_key", host).join(frequent, "host_key", "left").drop("host_key")
+    marked = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(x.alias("l"), F.array_contains(F.col("frequent"), _line_hash(x)).alias("hit")))
+    lines = joined.withColumn("_lines", F.when(F.col("frequent").isNotNull(), marked)).drop("frequent")
+    gone = F.filter("_lines", lambda x: x["hit"])
+    lost = F.aggregate(gone, F.lit(0), lambda acc, x: acc + F.length(F.regexp_replace(x["l"], GAP, "")))
+    stays = F.array_join(F.transform(F.filter("_lines", lambda x: ~x["hit"]), lambda x: x["l"]), "\n")
+    left = F.struct(F.when(F.coalesce(F.size(gone), F.lit(0)) > 0, stays).otherwise(text).alias("left_text"), F.coalesce(lost, F.lit(0)).cast("bigint").alias("lost"))
+    names = [c for c in lines.columns if c != "_lines"]
+    return lines.select(*names, F.inline(F.array(left))).withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost") <= percent * F.col("word_chars")))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -117,5 +120,9 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that are kept, with the columns of the input."""
-    return judge(docs, text_col, host_col).where("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """The documents that are kept, without their frequent lines, with the columns of the input. A column n_chars, where
+    there is one of numbers, follows the text."""
+    kept = judge(docs, text_col, host_col).where("kept")
+    counted = dict(docs.dtypes).get("n_chars") in ("int", "bigint")
+    changed = {text_col: F.col("left_text")} | ({"n_chars": F.when(F.col("lost") > 0, F.length("left_text")).otherwise(F.col("_row.n_chars"))} if counted else {})
+    return kept.select(*[changed.get(c, F.col("_row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -115,20 +115,16 @@ lines AS (
          length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS chars
   FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc_id),
-held AS (SELECT host, text, norm, min(chars) AS chars FROM lines GROUP BY ALL),
 frequent AS (
-  SELECT host, norm FROM (SELECT host, norm, count(*) AS n FROM held GROUP BY ALL)
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM lines GROUP BY ALL)
   JOIN (SELECT host, count(DISTINCT text) AS docs FROM t GROUP BY host) USING (host) WHERE n > 20 AND n > 0.05 * docs),
-gone AS (
-  SELECT host, text FROM held LEFT JOIN (SELECT host, norm, true AS hit FROM frequent) USING (host, norm)
-  GROUP BY ALL HAVING 100 * coalesce(sum(chars) FILTER (hit), 0) > 50 * sum(chars))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT lost AS kept FROM (
+gone AS (SELECT doc_id, sum(chars) AS lost FROM lines SEMI JOIN frequent USING (host, norm) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= 50 * word_chars AS kept FROM (
   SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-         len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed,
-         (t.host, t.text) IN (SELECT (host, text) FROM gone) AS lost
-  FROM t LEFT JOIN repeated r USING (doc_id) LEFT JOIN dups d USING (doc_id))
+         len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed, coalesce(g.lost, 0) AS lost
+  FROM t LEFT JOIN repeated r USING (doc_id) LEFT JOIN dups d USING (doc_id) LEFT JOIN gone g USING (doc_id))
 """,
     "op9_source_mix": rf"""
 WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),

@@ -324,6 +324,13 @@ def test_depleted_documents_go(spark):
     assert not any(got[i] for i in range(30)) and all(got[i] for i in range(30, 100))  # copies do not condemn their original
 
 
+def test_frequent_lines_are_removed(spark):
+    texts = [("All rights  RESERVED here.\n" if i % 2 else " all rights reserved here. \n") + words(60, i) + "\n\nend" for i in range(30)]
+    left = {r.doc_id: (r.text, r.n_chars) for r in quality.keep(docs(spark, *texts)).collect()}
+    assert left == {i: (words(60, i) + "\n", len(words(60, i)) + 1) for i in range(30)}
+    assert {r.text for r in quality.keep(docs(spark, *texts[:20])).collect()} == set(texts[:20])  # under the limit
+
+
 def test_quality_messy(spark):
     df = messy(spark)
     assert quality.judge(df).count() == 8 and quality.keep(df).columns == df.columns and quality.keep(df).count() == 3
