@@ -35,6 +35,7 @@ from pathfold.llm.common import materialize, sized
 from pathfold.llm.components import components
 from pathfold.llm.shingle_trie import NEVER, Trie, Union, required
 from pathfold.llm.textvec import Block, blocks, mix
+from pathfold.llm.workers import release, tidied
 
 HOT, HOT_LEAST, TILE = 1 << 16, 32, 1024
 #: Prefix entries of a bucket, and bytes of whole sets of a bucket, that one task handles at a time.
@@ -105,7 +106,7 @@ def _fingerprints(n: int):
                     seen.add(mark)
                     held.append(x)
                     size += len(x)
-            if size > 3_000_000:
+            if size > 2_000_000:
                 yield frequent(held)
                 held, size = [], 0
         yield frequent(held)
@@ -150,7 +151,7 @@ def _prefixes(n: int, percent: int, buckets: int, shared):
                     elements.append(ordered(x, hot)[:p])
                     owners.append(np.full(p, mark, dtype=np.int64))
                     size += p
-            if size > 1_000_000:
+            if size > 500_000:
                 yield flush()
                 elements, owners, size = [], [], 0
         if elements:
@@ -176,6 +177,7 @@ def _shared_elements(buckets: int):
             head = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1])))
             many = np.repeat(np.diff(np.append(head, len(e))) > 1, np.diff(np.append(head, len(e))))
             e, o = e[many], o[many]
+        release()
         return pa.table({"e": pa.array(e), "sig": pa.array(o)})
 
     return run
@@ -229,6 +231,7 @@ def _verify(percent: int):
                 for x, y in link_sets([np.frombuffer(blobs[k].as_buffer(), dtype=np.int64) for k in rows.tolist()], percent):
                     a.append(sig[rows[x]])
                     b.append(sig[rows[y]])
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -268,6 +271,7 @@ def _candidates(percent: int):
                         chosen[[k, m]] = True
             picked.append(rows[chosen])
         picked = np.concatenate(picked) if picked else np.empty(0, dtype=np.int64)
+        release()
         return pa.table({"g": pa.array(g[picked]), "i": pa.array(i_[picked]), "j": pa.array(j_[picked]), "sig": pa.array(sig[picked])})
 
     return run
@@ -279,7 +283,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80):
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
-        marks = materialize(self.docs.mapInArrow(_fingerprints(words), "kind int, id long, n long, v long"), "fingerprints")
+        marks = materialize(self.docs.mapInArrow(tidied(_fingerprints(words)), "kind int, id long, n long, v long"), "fingerprints")
         self.rows = marks.where("kind = 0").select(F.col("id").alias("doc_id"), "n", F.col("v").alias("sig"))
         frequent = marks.where("kind = 1").groupBy("v").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "v").limit(HOT)
         self.hot = self.spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in frequent.select("v").collect()], dtype=np.int64)).view(np.uint64))
@@ -288,7 +292,7 @@ class JaccardJoin:
     def survivors(self) -> DataFrame:
         total = self.classes.agg(F.sum("n")).first()[0] or 0
         buckets = max(8, math.ceil(total * (100 - self.percent) / 100 / BUCKET_ENTRIES))
-        blobs = self.docs.mapInArrow(_prefixes(self.words, self.percent, buckets, self.hot), "bucket int, e binary, o binary")
+        blobs = self.docs.mapInArrow(tidied(_prefixes(self.words, self.percent, buckets, self.hot)), "bucket int, e binary, o binary")
         return materialize(blobs.groupBy("bucket").applyInArrow(_shared_elements(buckets), "e long, sig long"), "prefixes")
 
     def _whole_sets(self, members: DataFrame) -> DataFrame:
@@ -304,7 +308,7 @@ class JaccardJoin:
 
         wanted = sized(members.select("sig").distinct().join(self.classes, "sig").select(F.col("rep").alias("doc_id")), "wanted", 1_000_000)  # 8 MB of ids at most
         texts = self.docs.join(wanted, "doc_id", "left_semi")
-        return members.join(texts.mapInArrow(run, "sig long, shingles binary").dropDuplicates(["sig"]), "sig")
+        return members.join(texts.mapInArrow(tidied(run), "sig long, shingles binary").dropDuplicates(["sig"]), "sig")
 
     def _links(self, members: DataFrame) -> DataFrame:
         """Links within the groups of members(g, i, j, sig)."""

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from pathfold.llm.common import hash_unit
 from pathfold.llm.textvec import Block, Memo, blocks
+from pathfold.llm.workers import tidied
 
 BUCKET_BITS, DIM, SIZES = 14, 16, (1, 2, 3, 4)
 PRECISION = 0.99
@@ -217,4 +218,4 @@ def identify(docs: DataFrame, fitted: Model, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(refused, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidied(run), "doc_id long, lang_pred string, score double, rejected boolean")

@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathfold.llm.textvec import Block, Memo, blocks
+from pathfold.llm.workers import tidied
 
 SPACE = "▁"
 #: Segments longer than this are relaxed one at a time with a heap, not in rounds.
 LONG = 64
 #: Code points of a batch that is indexed at once.
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 1_000_000
 
 
 class PieceBpe:
@@ -280,7 +281,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece_ids", "round_trip", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece_ids array<int>, round_trip boolean" + ", decoded string" * decoded)
+    return rows.mapInArrow(tidied(run), "doc_id long, piece_ids array<int>, round_trip boolean" + ", decoded string" * decoded)
 
 
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +309,7 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_chars long, round_trip boolean")
+    return rows.mapInArrow(tidied(run), "doc_id long, n_pieces long, ids_crc32 long, decoded_chars long, round_trip boolean")
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "piece_ids") -> DataFrame:
@@ -321,4 +322,4 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "p
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(tidied(run), "doc_id long, text string")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathfold.llm.common import shared_path
+from pathfold.llm.workers import tidied
 
 BLOCK_IDS = 1 << 20
 
@@ -52,7 +53,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, dtype:
         store.move(own, name)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(put, "shard int, ordinal long, doc_id long")
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidied(put), "shard int, ordinal long, doc_id long")
 
 
 def scan_blocks(data, end_id: int, dtype: str, block_ids: int = BLOCK_IDS):
@@ -104,7 +105,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int, dtype: str = "<u2"
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    rows = files.mapInArrow(scan, "file string, ordinal long, n_tokens long, ended boolean")
+    rows = files.mapInArrow(tidied(scan), "file string, ordinal long, n_tokens long, ended boolean")
     # One row for each file: whether it ends a document, and the ids after its last separator.
     ends = rows.where(~F.col("ended")).select("file", F.col("n_tokens").alias("tail"), (F.col("ordinal") > 0).cast("int").alias("closes"))
     upto = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)

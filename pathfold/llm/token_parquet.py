@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathfold.llm.common import shared_path, sized
+from pathfold.llm.workers import tidied
 
 SCHEMA = "shard int, pos long, doc_id long, n_tokens int, ids array<int>"
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
@@ -54,7 +55,7 @@ def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "d
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(encode, SCHEMA)
+    return ordered.mapInArrow(tidied(encode), SCHEMA)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -100,7 +101,7 @@ def digest(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = rows.select("doc_id", F.col("start").cast("long").alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
-    return rows.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidied(crc), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
