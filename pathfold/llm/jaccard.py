@@ -28,7 +28,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfold.llm.common import materialize, sized
@@ -37,9 +37,11 @@ from pathfold.llm.shingle_trie import NEVER, Trie, Union, required
 from pathfold.llm.textvec import Block, blocks, mix
 from pathfold.llm.workers import release, tidied
 
-HOT, HOT_LEAST, TILE = 1 << 16, 32, 1024
-#: Prefix entries of a bucket, and bytes of whole sets of a bucket, that one task handles at a time.
-BUCKET_ENTRIES, BUCKET_BYTES = 500_000, 8 << 20
+HOT, HOT_LEAST = 1 << 16, 32
+#: Classes and shingles of a tile: what is compared in one place at a time.
+TILE, TILE_SHINGLES = 1024, 1 << 19
+#: Prefix entries of a bucket, and bytes of sets of a bucket, that one task handles at a time.
+BUCKET_ENTRIES, BUCKET_BYTES = 500_000, 4 << 20
 _K, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(1 << 63)
 
 
@@ -277,6 +279,11 @@ def _candidates(percent: int):
     return run
 
 
+def _tiles() -> Column:
+    """Tiles of a group of rows with sizes n."""
+    return F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES))).cast("int")
+
+
 class JaccardJoin:
     """The steps of the join over rows (doc_id, text)."""
 
@@ -319,10 +326,11 @@ class JaccardJoin:
         return materialize(whole.groupBy("bucket").applyInArrow(_verify(self.percent), "a long, b long"), "links")
 
     def _judged(self, rows: DataFrame, facts: DataFrame) -> DataFrame:
-        """Of rows(g, i, j, block, sig, comp, home) those whose prefixes leave them a possible partner: (g, i, j, sig)."""
+        """Of rows(g, i, j, block, sig, n, comp, home) those whose prefixes leave them a possible partner: (g, i, j, sig)."""
         rows = materialize(rows, "judged")
-        buckets = max(8, math.ceil(rows.count() / 20_000))
-        dealt = rows.join(facts, "sig").withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)))
+        total = rows.agg(F.sum("n")).first()[0] or 0
+        buckets = max(8, math.ceil(8 * total * (100 - self.percent) / 100 / BUCKET_BYTES))
+        dealt = rows.drop("n").join(facts, "sig").withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)))
         return dealt.groupBy("bucket").applyInArrow(_candidates(self.percent), "g long, i int, j int, sig long")
 
     def _close(self, rows: DataFrame) -> DataFrame:
@@ -348,10 +356,11 @@ class JaccardJoin:
         alone = F.xxhash64("sig", F.lit("alone"))
 
         first = self._close(facts.select("sig", "n", F.element_at("prefix", 1).alias("g")))
-        sizes = first.groupBy("g").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"), F.min("sig").alias("anchor"))
-        own = materialize(first.join(sizes, "g").select("g", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int").alias("i"), "sig"), "round-one")
+        sizes = first.groupBy("g").agg(_tiles().alias("tiles"), F.min("sig").alias("anchor"))
+        own = materialize(first.join(sizes, "g").select("g", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int").alias("i"), "sig", "n"), "round-one")
         anchors = sizes.where("tiles > 1").select("g", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), F.col("anchor").alias("sig"))
-        met = own.unionByName(anchors).distinct().select("g", "i", F.col("i").alias("j"), F.lit(0).alias("block"), "sig", F.col("sig").alias("comp"), alone.alias("home"))
+        anchors = anchors.join(facts.select("sig", "n"), "sig").select("g", "i", "sig", "n")
+        met = own.unionByName(anchors).distinct().select("g", "i", F.col("i").alias("j"), F.lit(0).alias("block"), "sig", "n", F.col("sig").alias("comp"), alone.alias("home"))
         one = self._links(self._judged(met, facts))
 
         grouped = components(one)
@@ -364,10 +373,10 @@ class JaccardJoin:
         known = known.select("sig", "n", F.coalesce("wide", F.lit(0)).alias("wide"), F.coalesce("component", "sig").alias("comp"), F.coalesce("home", alone).alias("home"))
         joined = pairs.join(kept, "e").join(known, "sig").select(F.col("e").alias("g"), "m", "times", "sig", "n", "wide", "comp", "home")
         labelled = materialize(self._close(self._possible(joined)), "lists")
-        open_ = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("lo <> hi").select("g", "tiles")
+        open_ = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), _tiles().alias("tiles")).where("lo <> hi").select("g", "tiles")
         rows = labelled.join(open_, "g").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("tiles")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "comp", "home")
+        rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n", "comp", "home")
         return one.unionByName(self._links(self._judged(rows, facts)))
 
     def result(self) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathfold.llm.common import shared_path, sized
+from pathfold.llm.common import shared_path, sized, small_batches
 from pathfold.llm.workers import tidied
 
 SCHEMA = "shard int, pos long, doc_id long, n_tokens int, ids array<int>"
@@ -60,15 +60,16 @@ def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "d
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the token files. Spark's commit makes them whole even if tasks are retried."""
-    (
+    writer = (
         encode_sorted(docs, tokenizer, end_id, id_col, text_col)
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", "true")
         .option("parquet.block.size", str(ROW_GROUP_BYTES))
         .option("parquet.page.size", str(PAGE_BYTES))
-        .parquet(path)
     )
+    with small_batches(docs.sparkSession):
+        writer.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
