@@ -23,9 +23,10 @@ BLOCK_IDS = 1 << 20
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write one flat file for each range of ids below `path` (a URL or folder that executors share). Gives the rows
-    (shard, ordinal, doc_id) of what was written; the files themselves hold no index. A retried task writes the
-    same bytes under a name of its own and then renames it, so a file is whole or absent."""
+    """Write one flat file for each partition of docs below `path` (a URL or folder that executors share), without a
+    shuffle. Gives the rows (file, ordinal, doc_id) of what was written; the files themselves hold no index. Each
+    attempt of a task has a file of its own that gets its name when it is whole; the rows of the attempt that Spark
+    commits name the file that counts."""
 
     def put(batches: Iterator) -> Iterator:
         import numpy as np
@@ -36,24 +37,23 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, dtype:
         from pathfold.llm.byte_bpe import encoder
 
         task = TaskContext.get()
-        shard, ordinal, enc = task.partitionId(), 0, encoder(tokenizer, special_as_text=True)
+        ordinal, enc = 0, encoder(tokenizer, special_as_text=True)
         store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         store.create_dir(root, recursive=True)
-        name = f"{root}/{shard:08d}.bin"
-        own = f"{root}/_{shard:08d}-{task.taskAttemptId()}"
-        with store.open_output_stream(own) as out:
+        name = f"{task.partitionId():08d}-{task.taskAttemptId()}.bin"
+        with store.open_output_stream(f"{root}/_{name}.part") as out:
             for batch in batches:
                 for i in range(0, batch.num_rows, 1000):
                     part = batch.slice(i, 1000)
                     for ids in enc.encode(part.column(1).to_pylist()):
                         out.write(np.append(ids, end_id).astype(dtype).tobytes())
                     n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(range(ordinal, ordinal + n), pa.int64()), part.column(0)], names=["shard", "ordinal", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(ordinal, ordinal + n), pa.int64()), part.column(0)], names=["file", "ordinal", "doc_id"])
                     ordinal += n
-        store.move(own, name)
+        store.move(f"{root}/_{name}.part", f"{root}/{name}")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidied(put), "shard int, ordinal long, doc_id long")
+    return rows.mapInArrow(tidied(put), "file string, ordinal long, doc_id long")
 
 
 def scan_blocks(data, end_id: int, dtype: str, block_ids: int = BLOCK_IDS):
@@ -131,6 +131,5 @@ def write_and_count(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     path = shared_path(spark, "flat")
     written = materialize(write_files(docs, path, tokenizer, end_id), "flat-order")
     if not written.limit(1).count():  # no rows, no files
-        return written.select("doc_id", F.lit("").alias("file"), "ordinal", F.lit(0).cast("bigint").alias("n_tokens"))
-    names = written.select(F.concat(F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin")).alias("file"), "ordinal", "doc_id")
-    return names.join(count_tokens(spark, path, end_id), ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "n_tokens")
+        return written.select("doc_id", "file", "ordinal", F.lit(0).cast("bigint").alias("n_tokens"))
+    return written.join(count_tokens(spark, path, end_id), ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "n_tokens")
