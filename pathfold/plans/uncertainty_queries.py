@@ -10,6 +10,7 @@ from pathfold.operators import uncertainty as unc
 from pathfold.plans.bridge import MODEL_IDS, REFERENCE, SEED, table
 from pathfold.plans.registry import query
 from pathfold.plans.routing_queries import _PAIR_SQL, GRID_SQL, pairs, pools
+from pathfold.sources.storage import freeze
 
 REPLICATES = 200
 ADVANTAGES = tuple(f"advantage_{v:.2f}" for v in routing.MARGINS)
@@ -43,7 +44,7 @@ reps AS (SELECT replicate, sum(ry) / sum(n) - sum(by_) / sum(n) AS quality_delta
 
 def bootstrap_replicates(rows: DataFrame) -> DataFrame:
     values = ["ry", "by_", "rc", "bc"]
-    means = unc.replicate_means(unc.group_sums(rows, values), values, REPLICATES, SEED)
+    means = unc.replicate_means(freeze(unc.group_sums(rows, values), "group-sums"), values, REPLICATES, SEED)
     pick = lambda metric, v: F.max(F.when(F.col("metric") == metric, F.col(v)))
     return means.groupBy("replicate").agg(
         (pick("__micro__", "ry") - pick("__micro__", "by_")).alias("quality_delta"), (1 - pick("__micro__", "rc") / pick("__micro__", "bc")).alias("cost_savings"),
@@ -106,13 +107,13 @@ centred AS (SELECT {k}metric, replicate, CASE WHEN se > 1e-12 THEN (v - delta) /
 
 def joint_bounds_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(block, policy_id, metric, delta, standard_error, joint_lower, ordinary_only_lower)."""
-    sums = rows.groupBy("block", "policy_id", F.col("dataset").alias("stratum"), "text_group").agg(F.count("*").alias("n"), F.sum("delta").alias("delta"))
+    sums = freeze(rows.groupBy("block", "policy_id", F.col("dataset").alias("stratum"), "text_group").agg(F.count("*").alias("n"), F.sum("delta").alias("delta")), "group-sums")
     parts_ = []
     for block in ("ordinary", "source_holdout"):
         own = sums.where(F.col("block") == block).withColumn("g", F.dense_rank().over(Window.partitionBy("stratum").orderBy("text_group")) - 1)
         means = unc.replicate_means(own, ["delta"], REPLICATES, SEED, "block", "policy_id")
         parts_.append((means, unc.observed_means(own, ["delta"], "block", "policy_id")))
-    means, observed = parts_[0][0].unionByName(parts_[1][0]), parts_[0][1].unionByName(parts_[1][1])
+    means, observed = freeze(parts_[0][0].unionByName(parts_[1][0]), "replicates"), parts_[0][1].unionByName(parts_[1][1])
     errors, most = unc.max_t(means, observed, "delta", ["block", "policy_id"], ["block"])
     joint = most.groupBy("replicate").agg(F.max("max_t").alias("joint"), F.max(F.when(F.col("block") == "ordinary", F.col("max_t"))).alias("ordinary"))
     critical = joint.agg(F.percentile("joint", F.lit(0.95)).alias("critical"), F.percentile("ordinary", F.lit(0.95)).alias("ordinary_critical"))
@@ -155,7 +156,7 @@ feas AS (SELECT c.*, w.worst >= -0.005 AS feasible, w.own >= -0.005 AS ordinary_
 def select_joint(spark, sf_dir):
     """Cheapest policy all of whose joint lower bounds clear the margin, and the control that looks at ordinary validation
     only; the fixed reference always qualifies."""
-    rows = evidence_rows(spark, sf_dir)
+    rows = freeze(evidence_rows(spark, sf_dir), "evidence")
     bounds, _ = joint_bounds_of(rows)
     worst = bounds.groupBy("policy_id").agg((F.min("joint_lower") >= -routing.SLACK).alias("feasible"), (F.min("ordinary_only_lower") >= -routing.SLACK).alias("ordinary_feasible"))
     ordinary = rows.where("block = 'ordinary'")
@@ -183,7 +184,7 @@ def simultaneous_of(spark, sf_dir) -> DataFrame:
     pool_ = F.col("pool")
     cells = F.array(*[F.struct(F.lit(f"threshold_{t:.2f}|static_{m}").alias("policy_id"), (routing.threshold(pool_, F.lit(t))["y"] - routing.static(pool_, F.lit(m))["y"]).alias("delta")) for t in (0.6, 0.7, 0.8) for m in MODEL_IDS])
     rows = pools(spark, sf_dir).select("dataset", "text_group", F.inline(cells))
-    sums = rows.groupBy("policy_id", F.col("dataset").alias("stratum"), "text_group").agg(F.count("*").alias("n"), F.sum("delta").alias("delta"))
+    sums = freeze(rows.groupBy("policy_id", F.col("dataset").alias("stratum"), "text_group").agg(F.count("*").alias("n"), F.sum("delta").alias("delta")), "group-sums")
     own = sums.withColumn("g", F.dense_rank().over(Window.partitionBy("stratum").orderBy("text_group")) - 1)
     levels = lambda df: df.where(F.startswith("metric", F.lit("__")))
     means, observed = levels(unc.replicate_means(own, ["delta"], REPLICATES, SEED, "policy_id")), levels(unc.observed_means(own, ["delta"], "policy_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -23,3 +23,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """DataFrame.checkpoint needs a folder; it is set only where the session has none."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_path(spark, "checkpoints"))
+
+
+def freeze(df: DataFrame, name: str) -> DataFrame:
+    """Write df and read it back: what comes later cannot reach behind it, and what uses it twice computes it once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
