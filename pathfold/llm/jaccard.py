@@ -400,7 +400,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Documents without shingles are nobody's copy; a null id has no group to be named by and stays.
     gone = found.where((F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return left.dropDuplicates([id_col]) if _repeats(left, id_col) else left
+    return left.dropDuplicates([id_col, text_col]) if _repeats(left, id_col) else left
 
 
 def _repeats(docs: DataFrame, id_col: str) -> bool:
