@@ -87,3 +87,35 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("multiLine", True).schema("name string, loader string, task_type string, path string").json(path)
     fits = F.create_map(*[F.lit(x) for x in ("choice", "multiple_choice", "math", "math", "code", "code")])
     return rows.withColumn("fits", F.coalesce(F.try_element_at(fits, F.col("loader")) == F.col("task_type"), F.lit(False)))
+
+
+def verify_files(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """Files below path against expected(file, bytes, sha256): (file, problem) of those that are missing, surplus or different.
+    Hashing runs where the files are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("found_bytes"), F.sha2("content", 256).alias("found_sha256"))
+    both = found.join(expected, "file", "full")
+    problem = (
+        F.when(F.col("found_bytes").isNull(), "missing").when(F.col("bytes").isNull(), "surplus").when(F.col("found_bytes") != F.col("bytes"), "size").when(F.col("found_sha256") != F.col("sha256"), "sha256")
+    )
+    return both.select("file", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """One JSON document of settings as a dict; a list or more documents are an error."""
+    import json
+
+    rows = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    config = json.loads(rows[0][0]) if len(rows) == 1 else None
+    if not isinstance(config, dict):
+        raise ValueError("a configuration is one JSON object")
+    return config
+
+
+def config_problems(config: dict) -> list[str]:
+    """What is wrong with split settings: fractions that are no partition, repeated or too few models, an empty holdout."""
+    fractions, models = config.get("standard_fractions", []), config.get("models", [])
+    rules = {
+        "fractions": len(fractions) == 3 and all(f >= 0 for f in fractions) and abs(sum(fractions) - 1) <= 1e-12, "validation": 0 < config.get("ood_validation_fraction", 0) < 1,
+        "models": 5 <= len(models) <= 8 and len(set(models)) == len(models), "holdout": bool(config.get("ood_held_out_datasets")),
+    }
+    return [name for name, good in rules.items() if not good]

@@ -301,3 +301,18 @@ def test_exact_normalisation():
     from pathfold.functions.unicode_text import folded
 
     assert folded(" Ｆoo\tSTRASSE ﬁ ") == "foo strasse fi" and folded(None) is None
+
+
+def test_files_and_config(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.bin").write_bytes(b"abc")
+    (tmp_path / "d/b.bin").write_bytes(b"abd")
+    digest = hashlib.sha256(b"abc").hexdigest()
+    expected = spark.createDataFrame([("a.bin", 3, digest), ("b.bin", 3, digest), ("c.bin", 1, "x")], "file string, bytes long, sha256 string")
+    assert {tuple(r) for r in readers.verify_files(spark, str(tmp_path / "d"), expected).collect()} == {("b.bin", "sha256"), ("c.bin", "missing")}
+    good = dict(standard_fractions=[0.7, 0.15, 0.15], ood_validation_fraction=0.15, models=list("abcde"), ood_held_out_datasets=["x"])
+    (tmp_path / "c.json").write_text(json.dumps(good, indent=1))
+    assert readers.config_problems(readers.read_config(spark, str(tmp_path / "c.json"))) == []
+    assert readers.config_problems(good | dict(models=list("aabcd"), standard_fractions=[1, 1, 1])) == ["fractions", "models"]
