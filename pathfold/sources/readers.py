@@ -104,7 +104,7 @@ def read_config(spark: SparkSession, path: str) -> dict:
     """One JSON document of settings as a dict; a list or more documents are an error."""
     import json
 
-    rows = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
     config = json.loads(rows[0][0]) if len(rows) == 1 else None
     if not isinstance(config, dict):
         raise ValueError("a configuration is one JSON object")
