@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathfold.llm.textvec import Block, Memo, blocks
-from pathfold.llm.workers import tidied
+from pathfold.llm.workers import release, tidied
 
 SPACE = "▁"
 #: Segments longer than this are relaxed one at a time with a heap, not in rounds.
 LONG = 64
 #: Code points of a batch that is indexed at once.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 700_000
 
 
 class PieceBpe:
@@ -278,7 +278,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
                 columns = [part.column(0), lists, pa.array(same, pa.bool_())] + [pa.array(back, pa.string())] * decoded
+                del texts, ids, back
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece_ids", "round_trip", "decoded"][: len(columns)])
+                del lists, columns
+                release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(tidied(run), "doc_id long, piece_ids array<int>, round_trip boolean" + ", decoded string" * decoded)
@@ -307,6 +310,7 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     ],
                     names=["doc_id", "n_pieces", "ids_crc32", "decoded_chars", "round_trip"],
                 )
+                release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(tidied(run), "doc_id long, n_pieces long, ids_crc32 long, decoded_chars long, round_trip boolean")
