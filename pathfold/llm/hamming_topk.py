@@ -21,7 +21,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_CODES, BLOCK_QUERIES = 1 << 14, 1 << 11
+BLOCK_CODES, BLOCK_QUERIES = 1 << 13, 1 << 11
+#: Partitions of the tiles at most; a tile is small in bytes and long in time, so its size must not decide.
+MOST_PARTITIONS = 4096
 
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
@@ -120,7 +122,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, seg
         parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, dtype=np.int64)] * 3
         return pd.DataFrame({"query_id": parts[0], "id": parts[1], "distance": parts[2]})
 
-    near = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(tile, "query_id long, id long, distance long")
+    n = min(n_codes * n_queries, MOST_PARTITIONS)
+    near = left.repartition(n, "q", "c").groupBy("q", "c").cogroup(right.repartition(n, "q", "c").groupBy("q", "c")).applyInPandas(tile, "query_id long, id long, distance long")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "distance")
 
