@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathfold.llm.common import shared_path
-from pathfold.llm.workers import tidied
+from pathfold.llm.workers import release, tidied
 
 BLOCK_IDS = 1 << 20
+#: A file that has reached so many bytes ends with its document; a scan holds a few files at a time.
+FILE_BYTES = 8 << 20
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write one flat file for each partition of docs below `path` (a URL or folder that executors share), without a
+    """Write flat files for each partition of docs below `path` (a URL or folder that executors share), without a
     shuffle. Gives the rows (file, ordinal, doc_id) of what was written; the files themselves hold no index. Each
     attempt of a task has a file of its own that gets its name when it is whole; the rows of the attempt that Spark
     commits name the file that counts."""
@@ -36,21 +38,33 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, dtype:
 
         from pathfold.llm.byte_bpe import encoder
 
-        task = TaskContext.get()
-        ordinal, enc = 0, encoder(tokenizer, special_as_text=True)
+        task, enc, end = TaskContext.get(), encoder(tokenizer, special_as_text=True), np.array([end_id], dtype=dtype).tobytes()
         store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         store.create_dir(root, recursive=True)
-        name = f"{task.partitionId():08d}-{task.taskAttemptId()}.bin"
-        with store.open_output_stream(f"{root}/_{name}.part") as out:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 1000):
-                    part = batch.slice(i, 1000)
-                    for ids in enc.encode(part.column(1).to_pylist()):
-                        out.write(np.append(ids, end_id).astype(dtype).tobytes())
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(ordinal, ordinal + n), pa.int64()), part.column(0)], names=["file", "ordinal", "doc_id"])
-                    ordinal += n
-        store.move(f"{root}/_{name}.part", f"{root}/{name}")
+        out, name, size, ordinal, number = None, "", 0, 0, 0
+
+        def close() -> None:
+            if out:
+                out.close()
+                store.move(f"{root}/_{name}.part", f"{root}/{name}")
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                names, ordinals = [], []
+                for ids in enc.encode(part.column(1).to_pylist()):
+                    if out is None or size >= FILE_BYTES:
+                        close()
+                        name, size, ordinal, number = f"{task.partitionId():08d}-{task.taskAttemptId()}-{number:06d}.bin", 0, 0, number + 1
+                        out = store.open_output_stream(f"{root}/_{name}.part")
+                    data = ids.astype(dtype).tobytes() + end
+                    out.write(data)
+                    size += len(data)
+                    names.append(name)
+                    ordinals.append(ordinal)
+                    ordinal += 1
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ordinals, pa.int64()), part.column(0)], names=["file", "ordinal", "doc_id"])
+        close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(tidied(put), "file string, ordinal long, doc_id long")
@@ -98,6 +112,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int, dtype: str = "<u2"
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 lengths, tail = scan_blocks(content.as_buffer(), end_id, dtype, block_ids)
+                release()
                 n = len(lengths)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([file.as_py()] * (n + 1)), pa.array(np.arange(n + 1)), pa.array(np.append(lengths, tail).astype(np.int64)), pa.array(np.arange(n + 1) < n)],
