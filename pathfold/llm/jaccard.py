@@ -37,7 +37,7 @@ from pathfold.llm.shingle_trie import NEVER, Trie, Union, required
 from pathfold.llm.textvec import Block, blocks, mix
 from pathfold.llm.workers import release, tidied
 
-HOT, HOT_LEAST = 1 << 16, 32
+HOT, HOT_LEAST, HOT_LOCAL = 1 << 16, 12, 3
 #: Classes and shingles of a tile: what is compared in one place at a time.
 TILE, TILE_SHINGLES = 1024, 1 << 19
 #: Prefix entries of a bucket, and bytes of sets of a bucket, that one task handles at a time.
@@ -88,7 +88,7 @@ def _pieces(batches: Iterator, n: int) -> Iterator:
             yield ids.slice(first, len(group)), shingle_sets(group, n)
 
 
-def _fingerprints(n: int):
+def _fingerprints(n: int, local: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -96,7 +96,7 @@ def _fingerprints(n: int):
 
         def frequent(arrays: list[np.ndarray]):
             u, c = np.unique(np.concatenate(arrays), return_counts=True) if arrays else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
-            u, c = u[c >= 4], c[c >= 4]
+            u, c = u[c >= local], c[c >= local]
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), dtype=np.int32)), pa.nulls(len(u), pa.int64()), pa.array(c.astype(np.int64)), pa.array(u.astype(np.int64))], names=["kind", "id", "n", "v"])
 
         for ids, sets in _pieces(batches, n):
@@ -290,7 +290,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80):
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
-        marks = materialize(self.docs.mapInArrow(tidied(_fingerprints(words)), "kind int, id long, n long, v long"), "fingerprints")
+        marks = materialize(self.docs.mapInArrow(tidied(_fingerprints(words, HOT_LOCAL)), "kind int, id long, n long, v long"), "fingerprints")
         self.rows = marks.where("kind = 0").select(F.col("id").alias("doc_id"), "n", F.col("v").alias("sig"))
         frequent = marks.where("kind = 1").groupBy("v").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "v").limit(HOT)
         self.hot = self.spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in frequent.select("v").collect()], dtype=np.int64)).view(np.uint64))
