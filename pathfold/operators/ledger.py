@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Fixed values.
 STATUSES = ("success", "parsing_failure", "grading_failure", "provider_error", "skipped_model")
 RESPONDED = ("success", "parsing_failure", "grading_failure")
+PERMANENT = ("invalid_model_error", "configuration_error", "authentication_error")
 TASK_OF = {"choice": "multiple_choice", "math": "math", "code": "code"}
 
 
@@ -47,6 +48,15 @@ def metrics() -> list[Column]:
     ]
 
 
+def classification() -> Column:
+    """Why a row has no grade, or `other`."""
+    s, e = F.col("status"), F.col("error_type")
+    return (
+        F.when(e == "spend_limit_error", "spend-limit stop").when(s == "skipped_model", "skipped historical row").when(s == "parsing_failure", "parsing failure").when(s == "grading_failure", "grading failure")
+        .when(e.isin(*PERMANENT), "permanent provider/model failure").when(e == "network_error", "transient provider failure").otherwise("other")
+    )
+
+
 def running_spend(rows: DataFrame, cap, *order: str, key: str | None = None) -> DataFrame:
     """Spend before and after each call, and whether the call is made: calls stop before the first that could pass the cap.
     A failed attempt is charged its whole bound."""

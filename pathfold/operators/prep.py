@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathfold.sources.storage import ensure_checkpoints
 
 #: Texts with which a failed generation begins (compared after trimming and lower-casing).
-FAILURE_PREFIXES = ("error:", "request failed", "api error", "timeout")
+FAILURE_PREFIXES = ("processing failed:", "generation failed:", "failed to generate", "error:")
 REASONS = (("label_available", "missing_or_failed_label"), ("cost_available", "missing_or_invalid_cost"), ("tokens_available", "missing_or_invalid_tokens"))
 COVERAGE_MASKS = ("present", "eligible", "label_available", "cost_available", "tokens_available")
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 #: Policy grids.
 THRESHOLDS = tuple(i / 20 for i in range(21))
 UTILITIES = (0.0, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
-MARGINS = (0.0, 0.05, 0.1, 0.15, 0.2)
+MARGINS = (0.0, 0.02, 0.05, 0.1, 0.2)
+FAMILIES = ("handcrafted", "tfidf", "embedding", "embedding_handcrafted")
+GATE_QUANTILES = (0.0, 0.01, 0.05, 0.1)
 BUDGETS = (0.25, 0.5, 0.75, 1.0)
 SLACK = 0.005
 
@@ -79,6 +81,13 @@ def grid(model_ids: tuple[str, ...]) -> list[tuple[str, str, float | None, str |
     return rows + [(f"advantage_{v:.2f}", "advantage", v, None) for v in MARGINS]
 
 
+def candidate_grid() -> list[tuple[str, str, str, float, float]]:
+    """Rows (candidate_id, family, kind, value, gate): every threshold, utility and advantage rule of every feature family behind
+    every novelty gate."""
+    rules = [(a, k, v) for a, k, v, _ in grid(()) if k != "static"]
+    return [(f"{f}__{a}__gate_{q:.2f}", f, k, v, q) for f in FAMILIES for a, k, v in rules for q in GATE_QUANTILES]
+
+
 def grid_actions(pools: DataFrame, policies: list, reference: str) -> DataFrame:
     """Every policy on every prompt: the policies are a literal array, exploded beside the pool; no join."""
     table = F.array(*[F.struct(F.lit(a).alias("policy_id"), F.lit(k).alias("kind"), F.lit(v).cast("double").alias("value"), F.lit(m).cast("string").alias("model")) for a, k, v, m in policies])

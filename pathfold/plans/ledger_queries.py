@@ -16,7 +16,7 @@ LEDGER_SQL = """WITH RECURSIVE led AS (
     CAST(value AS DECIMAL(18, 6)) AS cost, value * 10 AS latency_ms, event_id, user_id, value, props, event_type FROM events),
 ledger AS (
   SELECT *, CASE WHEN status = 'success' THEN (event_id // 7) % 3 <> user_id % 3 END AS correct,
-    CASE WHEN status = 'provider_error' THEN CASE WHEN event_id % 7 = 0 THEN 'spend_limit_error' ELSE 'timeout' END END AS error_type,
+    CASE WHEN status = 'provider_error' THEN CASE WHEN event_id % 7 = 0 THEN 'spend_limit_error' ELSE ['network_error', 'invalid_model_error', 'output_limit_exhausted'][1 + event_id % 3] END END AS error_type,
     CASE WHEN status = 'provider_error' THEN event_id % 4 WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS retry_count,
     CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(value / 2 AS DECIMAL(18, 6)) END AS response_cost, CASE WHEN event_id % 5 = 0 THEN event_id % 3 END AS provider_attempts FROM led),
 latest AS (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY prompt_id, model ORDER BY seq DESC) = 1),
@@ -41,7 +41,7 @@ def ledger(spark, sf_dir) -> DataFrame:
     failed = s == "provider_error"
     return rows.withColumns(
         {
-            "correct": F.when(s == "success", F.floor(e / F.lit(7)) % 3 != u % 3), "error_type": F.when(failed, F.when(e % 7 == 0, "spend_limit_error").otherwise("timeout")),
+            "correct": F.when(s == "success", F.floor(e / F.lit(7)) % 3 != u % 3), "error_type": F.when(failed, F.when(e % 7 == 0, "spend_limit_error").otherwise(F.element_at(F.array(F.lit("network_error"), F.lit("invalid_model_error"), F.lit("output_limit_exhausted")), (e % 3 + 1).cast("int")))),
             "retry_count": F.when(failed, e % 4).when(e % 11 == 0, 1).otherwise(0), "response_cost": F.when(e % 13 != 0, (F.col("value") / 2).cast("decimal(18,6)")), "provider_attempts": F.when(e % 5 == 0, e % 3),
         }
     )
@@ -86,15 +86,10 @@ def ledger_metrics_by(spark, sf_dir):
 @query(
     "classify_rows",
     LEDGER_SQL
-    + "SELECT class, count(*) AS n FROM (SELECT CASE WHEN status = 'skipped_model' THEN 'skipped' WHEN error_type = 'spend_limit_error' THEN 'stopped' WHEN status = 'provider_error' AND retry_count >= 3 THEN 'exhausted' WHEN status = 'provider_error' THEN 'failed' WHEN status <> 'success' THEN 'unusable' WHEN correct THEN 'right' ELSE 'wrong' END AS class FROM latest) GROUP BY 1",
+    + "SELECT class, count(*) AS n FROM (SELECT CASE WHEN error_type = 'spend_limit_error' THEN 'spend-limit stop' WHEN status = 'skipped_model' THEN 'skipped historical row' WHEN status = 'parsing_failure' THEN 'parsing failure' WHEN status = 'grading_failure' THEN 'grading failure' WHEN error_type IN ('invalid_model_error', 'configuration_error', 'authentication_error') THEN 'permanent provider/model failure' WHEN error_type = 'network_error' THEN 'transient provider failure' ELSE 'other' END AS class FROM latest) GROUP BY 1",
 )
 def classify_rows(spark, sf_dir):
-    s = F.col("status")
-    ladder = (
-        F.when(s == "skipped_model", "skipped").when(F.col("error_type") == "spend_limit_error", "stopped").when((s == "provider_error") & (F.col("retry_count") >= 3), "exhausted")
-        .when(s == "provider_error", "failed").when(s != "success", "unusable").when(F.col("correct"), "right").otherwise("wrong")
-    )
-    return latest(spark, sf_dir).groupBy(ladder.alias("class")).agg(F.count("*").alias("n"))
+    return latest(spark, sf_dir).groupBy(L.classification().alias("class")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -123,9 +118,9 @@ def ledger_set_violations(spark, sf_dir):
     return repeated.unionByName(unmapped)
 
 
-@query("select_exhausted", LEDGER_SQL + "SELECT prompt_id, model, retry_count FROM latest WHERE status = 'provider_error' AND error_type = 'timeout' AND retry_count >= 2 AND NOT contains(lower(event_type), 'purchase')")
+@query("select_exhausted", LEDGER_SQL + "SELECT prompt_id, model, retry_count FROM latest WHERE status = 'provider_error' AND error_type = 'output_limit_exhausted' AND benchmark <> 'code' AND NOT contains(lower(model), 'm3')")
 def select_exhausted(spark, sf_dir):
-    kept = (F.col("status") == "provider_error") & (F.col("error_type") == "timeout") & (F.col("retry_count") >= 2) & ~F.contains(F.lower("event_type"), F.lit("purchase"))
+    kept = (F.col("status") == "provider_error") & (F.col("error_type") == "output_limit_exhausted") & (F.col("benchmark") != "code") & ~F.contains(F.lower("model"), F.lit("m3"))
     return latest(spark, sf_dir).where(kept).select("prompt_id", "model", "retry_count").orderBy("prompt_id", "model")
 
 
@@ -300,9 +295,9 @@ def reconcile(spark, sf_dir):
     return rows.select("prompt_id", "model", F.when(moved, F.col("corrected")).otherwise(F.col("model")).alias("configured"), F.when(moved, F.concat(F.lit("superseded:"), "model")).alias("fingerprint"))
 
 
-@query("treatment_plan", LEDGER_SQL + "SELECT model, count(*) AS calls, CAST(sum(cost * 3) AS DOUBLE) AS bound, sum(cost * 3) > 500 AS over_cap, count(*) FILTER (retry_count >= 3) AS issues FROM latest WHERE status = 'provider_error' AND error_type = 'timeout' GROUP BY 1")
+@query("treatment_plan", LEDGER_SQL + "SELECT model, count(*) AS calls, CAST(sum(cost * 3) AS DOUBLE) AS bound, sum(cost * 3) > 500 AS over_cap, count(*) FILTER (retry_count >= 3) AS issues FROM latest WHERE status = 'provider_error' AND error_type = 'output_limit_exhausted' GROUP BY 1")
 def treatment_plan(spark, sf_dir):
-    rows = latest(spark, sf_dir).where("status = 'provider_error' AND error_type = 'timeout'")
+    rows = latest(spark, sf_dir).where("status = 'provider_error' AND error_type = 'output_limit_exhausted'")
     bound = F.sum(F.col("cost") * 3)
     return rows.groupBy("model").agg(F.count("*").alias("calls"), bound.cast("double").alias("bound"), (bound > 500).alias("over_cap"), F.count_if(F.col("retry_count") >= 3).alias("issues"))
 
@@ -349,17 +344,18 @@ def mock_label(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.conv(F.substring(F.sha2("text", 256), 1, 2), 16, 10).cast("int") % 3).alias("label"))
 
 
-_HTTP_SQL = "CASE WHEN s IN (401, 403) THEN 'authentication' WHEN s = 402 THEN 'quota' WHEN s = 404 THEN 'not_found' WHEN s = 408 THEN 'timeout' WHEN s = 429 THEN CASE WHEN event_type = 'purchase' THEN 'quota' ELSE 'rate_limit' END WHEN s >= 500 THEN 'server' WHEN s >= 400 THEN 'request' ELSE 'ok' END"
+_HTTP_SQL = "CASE WHEN s IN (401, 403) THEN 'authentication_error' WHEN s = 402 OR contains(msg, 'insufficient_quota') THEN 'quota_or_billing_error' WHEN s = 404 OR contains(msg, 'model_not_found') THEN 'invalid_model_error' WHEN s IN (400, 413, 422) THEN 'invalid_parameter_error' WHEN s IN (408, 409, 425, 429) OR s BETWEEN 500 AND 599 THEN 'transient_provider_error' ELSE 'provider_error' END"
 
 
-@query("classify_http", f"SELECT class, count(*) AS n, count(*) FILTER (class IN ('timeout', 'rate_limit', 'server')) AS retryable FROM (SELECT {_HTTP_SQL} AS class FROM (SELECT [200, 401, 402, 403, 404, 408, 418, 429, 500, 503][1 + event_id % 10] AS s, event_type FROM events)) GROUP BY 1")
+@query("classify_http", f"SELECT class, count(*) AS n, count(*) FILTER (class = 'transient_provider_error') AS retryable FROM (SELECT {_HTTP_SQL} AS class FROM (SELECT [400, 401, 402, 403, 404, 408, 418, 429, 500, 503][1 + event_id % 10] AS s, CASE event_type WHEN 'purchase' THEN 'insufficient_quota' WHEN 'signup' THEN 'model_not_found' ELSE event_type END AS msg FROM events)) GROUP BY 1")
 def classify_http(spark, sf_dir):
-    s = F.element_at(F.array(*[F.lit(x) for x in (200, 401, 402, 403, 404, 408, 418, 429, 500, 503)]), (F.col("event_id") % 10 + 1).cast("int"))
-    kind = (
-        F.when(s.isin(401, 403), "authentication").when(s == 402, "quota").when(s == 404, "not_found").when(s == 408, "timeout").when(s == 429, F.when(F.col("event_type") == "purchase", "quota").otherwise("rate_limit"))
-        .when(s >= 500, "server").when(s >= 400, "request").otherwise("ok")
-    )
-    return table(spark, sf_dir, "events").groupBy(kind.alias("class")).agg(F.count("*").alias("n"), F.count_if(kind.isin("timeout", "rate_limit", "server")).alias("retryable"))
+    from pathfold.functions.responses import classify_http as classify
+
+    s = F.element_at(F.array(*[F.lit(x) for x in (400, 401, 402, 403, 404, 408, 418, 429, 500, 503)]), (F.col("event_id") % 10 + 1).cast("int"))
+    kind = F.col("event_type")
+    message = F.when(kind == "purchase", "Insufficient_Quota").when(kind == "signup", "model_not_found").otherwise(kind)
+    rows = table(spark, sf_dir, "events").select(F.inline(F.array(classify(s, message))))
+    return rows.groupBy(F.col("error_type").alias("class")).agg(F.count("*").alias("n"), F.count_if("retryable").alias("retryable"))
 
 
 @query("reconstruct_records", "SELECT conv_id, any_value(text ORDER BY turn) AS prompt, count(*) AS rows, len(regexp_extract_all(any_value(text ORDER BY turn), '(?m)^[A-Z]')) AS labels FROM conversations GROUP BY 1".replace("any_value(text ORDER BY turn)", "arg_min(text, turn)"))
@@ -391,7 +387,7 @@ def ticks_to_usd(spark, sf_dir):
 @query(
     "normalize_responses",
     """WITH r AS (SELECT event_id, event_id % 3 AS shape, user_id AS a, event_id % 17 AS b, CASE WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS t FROM events WHERE event_id % 10 = 0)
-SELECT event_id, CASE WHEN t <> '' THEN t END AS text, a AS input_tokens, b AS output_tokens, CASE WHEN t <> '' THEN 'completed' WHEN b = 0 THEN 'empty' ELSE 'no_text' END AS outcome FROM r""",
+SELECT event_id, CASE WHEN t <> '' THEN t END AS text, a AS input_tokens, b AS output_tokens, CASE WHEN t <> '' THEN 'completed' WHEN shape = 0 THEN 'output_limit_exhausted' WHEN shape = 1 THEN 'empty_completion' ELSE 'incomplete_response' END AS outcome FROM r""",
 )
 def normalize_responses(spark, sf_dir):
     """Three response layouts become one: text, tokens, outcome."""
@@ -399,8 +395,8 @@ def normalize_responses(spark, sf_dir):
 
     e, u = F.col("event_id"), F.col("user_id")
     t = F.when(e % 17 == 0, "").otherwise(F.col("event_type"))
-    chat = F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("message"))).alias("choices"), F.struct(u.alias("prompt_tokens"), (e % 17).alias("completion_tokens")).alias("usage")))
-    message = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content"), F.struct(u.alias("input_tokens"), (e % 17).alias("output_tokens")).alias("usage")))
-    output = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(t.alias("text"))).alias("content"))).alias("output"), F.struct(u.alias("input_tokens"), (e % 17).alias("output_tokens")).alias("usage")))
+    chat = F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("message"), F.lit("length").alias("finish_reason"))).alias("choices"), F.struct(u.alias("prompt_tokens"), (e % 17).alias("completion_tokens")).alias("usage")))
+    message = F.to_json(F.struct(F.lit("end_turn").alias("stop_reason"), F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content"), F.struct(u.alias("input_tokens"), (e % 17).alias("output_tokens")).alias("usage")))
+    output = F.to_json(F.struct(F.lit("incomplete").alias("status"), F.array(F.struct(F.array(F.struct(t.alias("text"))).alias("content"))).alias("output"), F.struct(u.alias("input_tokens"), (e % 17).alias("output_tokens")).alias("usage")))
     body = F.when(e % 3 == 0, chat).when(e % 3 == 1, message).otherwise(output)
     return table(spark, sf_dir, "events").where(e % 10 == 0).select("event_id", F.inline(F.array(normalize_response(body))))

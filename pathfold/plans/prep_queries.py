@@ -69,11 +69,11 @@ def unavailable_reason(spark, sf_dir):
 
 @query(
     "output_failure",
-    """SELECT conv_id, turn, starts_with(t, 'error:') OR starts_with(t, 'request failed') OR starts_with(t, 'api error') OR starts_with(t, 'timeout') AS failed
-FROM (SELECT conv_id, turn, lower(trim(CASE WHEN turn % 7 = 3 THEN ' Error: ' || text WHEN turn % 7 = 5 THEN 'TIMEOUT' ELSE text END)) AS t FROM conversations)""",
+    """SELECT conv_id, turn, starts_with(t, 'processing failed:') OR starts_with(t, 'generation failed:') OR starts_with(t, 'failed to generate') OR starts_with(t, 'error:') AS failed
+FROM (SELECT conv_id, turn, lower(trim(CASE WHEN turn % 7 = 3 THEN ' Error: ' || text WHEN turn % 7 = 5 THEN 'FAILED TO GENERATE' ELSE text END)) AS t FROM conversations)""",
 )
 def output_failure(spark, sf_dir):
-    text = F.when(F.col("turn") % 7 == 3, F.concat(F.lit(" Error: "), "text")).when(F.col("turn") % 7 == 5, "TIMEOUT").otherwise(F.col("text"))
+    text = F.when(F.col("turn") % 7 == 3, F.concat(F.lit(" Error: "), "text")).when(F.col("turn") % 7 == 5, "FAILED TO GENERATE").otherwise(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", prep.output_failure(text).alias("failed"))
 
 

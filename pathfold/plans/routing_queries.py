@@ -115,6 +115,11 @@ def policy_grid(spark, sf_dir):
     return spark.createDataFrame(POLICIES, "policy_id string, kind string, value double, model string").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("candidate_grid", "SELECT f.family, k.kind, count(*) AS n FROM (SELECT unnest(['handcrafted', 'tfidf', 'embedding', 'embedding_handcrafted']) AS family) f, (VALUES ('threshold', 21), ('utility', 8), ('advantage', 5)) k(kind, m), LATERAL (SELECT unnest(range(4 * m))) x GROUP BY ALL")
+def candidate_grid(spark, sf_dir):
+    return spark.createDataFrame(routing.candidate_grid(), "candidate_id string, family string, kind string, value double, gate double").groupBy("family", "kind").agg(F.count("*").alias("n"))
+
+
 # -- the grid on every prompt ---------------------------------------------------------------------------------------
 
 _VALUES = ", ".join(f"('{a}', '{k}', {'NULL' if v is None else repr(v)}::DOUBLE, {'NULL' if m is None else repr(m)})" for a, k, v, m in POLICIES)

@@ -140,6 +140,7 @@ def test_oracle_falls_back(spark):
 
 def test_grid_sizes():
     assert len(routing.THRESHOLDS) + len(routing.UTILITIES) == 29
+    assert len(routing.candidate_grid()) == len({r[0] for r in routing.candidate_grid()}) == 544
 
 
 def test_bootstrap_of_equal_policies(spark):
@@ -238,7 +239,7 @@ def test_archive(spark, tmp_path):
                 records = [dict(index=i, prompt=f"{d} {i}", origin_query="o", raw_output="x", prediction="p", ground_truth="g", score=float((i + m) % 3 != 0), cost=(m + 1) / 1000, prompt_tokens=5, completion_tokens=7) for i in range(4)]
                 body = json.dumps(dict(dataset_name=d, split="test", model_name=f"m{m}", counts=4, performance=0.5, cost=1.0, demo=False, records=records))
                 (tmp_path / "f.json").write_text(body)
-                tar.add(tmp_path / "f.json", f"bench-release/{d}/test/m{m}/20250101_000000.json")
+                tar.add(tmp_path / "f.json", f"release/{d}/test/m{m}/20250101_000000.json")
                 want += 4
     rows = readers.explode_results(readers.read_archive(spark, str(tmp_path / "r.tar.gz")))
     assert rows.count() == want and rows.where("header_agrees").count() == want and rows.select("prompt_id").distinct().count() == 8
