@@ -323,7 +323,7 @@ def dedupe_actions(spark, sf_dir):
 # -- model summaries and classifier metrics -------------------------------------------------------------------------
 
 
-@query("model_summary", BASE_SQL + "SELECT model_id, count(*) AS n, round(avg(success), 9) AS success, round(avg(raw_score), 9) AS raw_score, round(avg(cost_usd), 9) AS mean_cost, round(quantile_cont(cost_usd, 0.5), 9) AS median_cost, round(count(*) / (SELECT count(*) FROM prompts), 9) AS coverage FROM outcomes WHERE eligible GROUP BY 1")
+@query("model_summary", BASE_SQL + "SELECT model_id, count(*) AS n, round(avg(success), 9) AS success, round(avg(raw_score), 9) AS raw_score, round(CAST(sum(CAST(round(cost_usd * 1e6) AS BIGINT)) AS DOUBLE) / count(*) / 1e6, 9) AS mean_cost, round(quantile_cont(cost_usd, 0.5), 9) AS median_cost, round(count(*) / (SELECT count(*) FROM prompts), 9) AS coverage FROM outcomes WHERE eligible GROUP BY 1")
 def model_summary(spark, sf_dir):
     from pathfold.plans.bridge import prompts
     from pathfold.plans.prep_queries import outcomes
@@ -334,10 +334,12 @@ def model_summary(spark, sf_dir):
 
 
 def _means() -> list:
-    return [F.round(F.avg("success"), 9).alias("success"), F.round(F.avg("raw_score"), 9).alias("raw_score"), F.round(F.avg("cost_usd"), 9).alias("mean_cost"), F.round(F.percentile("cost_usd", F.lit(0.5)), 9).alias("median_cost")]
+    """Costs are whole micro-dollars, so their sum is exact and the mean does not hang on the order of rows."""
+    micro = F.sum(F.round(F.col("cost_usd") * 1e6).cast("bigint")).cast("double")
+    return [F.round(F.avg("success"), 9).alias("success"), F.round(F.avg("raw_score"), 9).alias("raw_score"), F.round(micro / F.count("*") / 1e6, 9).alias("mean_cost"), F.round(F.percentile("cost_usd", F.lit(0.5)), 9).alias("median_cost")]
 
 
-@query("static_model_summary", BASE_SQL + "SELECT split, coalesce(dataset, '__all__') AS dataset, model_id, count(*) AS n, round(avg(success), 9) AS success, round(avg(raw_score), 9) AS raw_score, round(avg(cost_usd), 9) AS mean_cost, round(quantile_cont(cost_usd, 0.5), 9) AS median_cost FROM parts GROUP BY GROUPING SETS ((split, model_id), (split, dataset, model_id))")
+@query("static_model_summary", BASE_SQL + "SELECT split, coalesce(dataset, '__all__') AS dataset, model_id, count(*) AS n, round(avg(success), 9) AS success, round(avg(raw_score), 9) AS raw_score, round(CAST(sum(CAST(round(cost_usd * 1e6) AS BIGINT)) AS DOUBLE) / count(*) / 1e6, 9) AS mean_cost, round(quantile_cont(cost_usd, 0.5), 9) AS median_cost FROM parts GROUP BY GROUPING SETS ((split, model_id), (split, dataset, model_id))")
 def static_model_summary(spark, sf_dir):
     sets = parts(spark, sf_dir).groupingSets([["split", "model_id"], ["split", "dataset", "model_id"]], "split", "dataset", "model_id")
     return sets.agg(F.count("*").alias("n"), *_means()).fillna("__all__", ["dataset"])
