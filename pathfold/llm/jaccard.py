@@ -37,7 +37,7 @@ from pathfold.llm.shingle_trie import NEVER, Trie, Union, required
 from pathfold.llm.textvec import Block, blocks, mix
 from pathfold.llm.workers import release, tidied
 
-HOT, HOT_LEAST, HOT_LOCAL = 1 << 16, 12, 3
+HOT, HOT_LEAST, HOT_LOCAL = 1 << 18, 12, 3
 #: Classes and shingles of a tile: what is compared in one place at a time.
 TILE, TILE_SHINGLES = 1024, 1 << 19
 #: Prefix entries of a bucket, and bytes of sets of a bucket, that one task handles at a time.
@@ -309,17 +309,20 @@ class JaccardJoin:
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
+            seen: set[int] = set()
             for _, sets in _pieces(batches, words):
-                sets = [x for x in sets if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array([ordered(x, hot.value).tobytes() for x in sets], pa.binary())], names=["sig", "shingles"])
+                new = {m: x for x in sets if len(x) and (m := fingerprint(x)) not in seen}
+                seen |= new.keys()
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([ordered(x, hot.value).tobytes() for x in new.values()], pa.binary())], names=["sig", "shingles"])
 
         wanted = sized(members.select("sig").distinct().join(self.classes, "sig").select(F.col("rep").alias("doc_id")), "wanted", 1_000_000)  # 8 MB of ids at most
         texts = self.docs.join(wanted, "doc_id", "left_semi")
-        return members.join(texts.mapInArrow(tidied(run), "sig long, shingles binary").dropDuplicates(["sig"]), "sig")
+        # Repeated rows of one id give a set once a task; the join below and _verify take repeats as one.
+        return texts.mapInArrow(tidied(run), "sig long, shingles binary").join(members, "sig")
 
     def _links(self, members: DataFrame) -> DataFrame:
         """Links within the groups of members(g, i, j, sig)."""
-        members = materialize(members, "members")
+        members = sized(members, "members", 500_000)  # five numbers a row
         total = members.join(self.classes, "sig").agg(F.sum("n")).first()[0] or 0
         buckets = max(8, math.ceil(8 * total / BUCKET_BYTES))
         whole = self._whole_sets(members).withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)))
