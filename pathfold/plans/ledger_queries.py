@@ -399,4 +399,4 @@ def normalize_responses(spark, sf_dir):
     message = F.to_json(F.struct(F.lit("end_turn").alias("stop_reason"), F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content"), F.struct(u.alias("input_tokens"), (e % 17).alias("output_tokens")).alias("usage")))
     output = F.to_json(F.struct(F.lit("incomplete").alias("status"), F.array(F.struct(F.array(F.struct(t.alias("text"))).alias("content"))).alias("output"), F.struct(u.alias("input_tokens"), (e % 17).alias("output_tokens")).alias("usage")))
     body = F.when(e % 3 == 0, chat).when(e % 3 == 1, message).otherwise(output)
-    return table(spark, sf_dir, "events").where(e % 10 == 0).select("event_id", F.inline(F.array(normalize_response(body))))
+    return table(spark, sf_dir, "events").select("event_id", F.inline(F.array(normalize_response(body))))

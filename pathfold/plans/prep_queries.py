@@ -130,11 +130,7 @@ def normalize_sources(spark, sf_dir):
     none = F.lit(None).cast("string").alias("tests")
     choice = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("choice:"), F.col("item_id").cast("string")).alias("record_id"), F.lit("multiple_choice").alias("task_type"), F.col("text").alias("prompt"), none)
     math = table(spark, sf_dir, "pages").select(F.concat(F.lit("math:"), F.col("page_id").cast("string")).alias("record_id"), F.lit("math").alias("task_type"), F.col("url").alias("prompt"), none)
-    code = (
-        table(spark, sf_dir, "events")
-        .where(F.col("event_id") % 50 == 0)
-        .select(F.concat(F.lit("code:"), F.col("event_id").cast("string")).alias("record_id"), F.lit("code").alias("task_type"), F.col("event_type").alias("prompt"), F.size(F.json_object_keys("props")).cast("string").alias("tests"))
-    )
+    code = table(spark, sf_dir, "events").select(F.concat(F.lit("code:"), F.col("event_id").cast("string")).alias("record_id"), F.lit("code").alias("task_type"), F.col("event_type").alias("prompt"), F.size(F.json_object_keys("props")).cast("string").alias("tests"))
     return choice.unionByName(math).unionByName(code)
 
 
