@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfold.sources.storage import freeze
+
+#: Fixed value: parts over which the replicates of all strata are dealt.
+PARTS = 128
+
 
 def group_sums(rows: DataFrame, values: list[str], *keys: str) -> DataFrame:
     """(keys, stratum, text_group, n, values...) and each group's number in its stratum."""
@@ -21,6 +26,8 @@ def multiplicities(groups: DataFrame, replicates: int, seed: int) -> DataFrame:
     """groups(stratum, g) -> (replicate, stratum, g, mult) of the groups that a replicate draws."""
     sizes = groups.select("stratum", "g").distinct().groupBy("stratum").agg(F.count("*").alias("groups"))
     draws = sizes.select("stratum", "groups", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    # A few rows of strata become all draws, so they are dealt first; the count below needs no other shuffle.
+    draws = draws.repartition(PARTS, "replicate", "stratum")
     draws = draws.select("stratum", "groups", "replicate", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("k"))
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), "stratum", F.col("k").cast("string")), 256)
     drawn = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("groups")).cast("int")
@@ -29,9 +36,10 @@ def multiplicities(groups: DataFrame, replicates: int, seed: int) -> DataFrame:
 
 def replicate_means(groups: DataFrame, values: list[str], replicates: int, seed: int, *keys: str) -> DataFrame:
     """For each replicate, key and metric ('__micro__', '__macro__' or a stratum) the means of the values."""
-    drawn = multiplicities(groups, replicates, seed).join(groups, ["stratum", "g"])
+    # Draws are many more than their dealt rows, by whose size they would be taken for broadcasts; the groups are the smaller side.
+    drawn = multiplicities(groups, replicates, seed).join(groups.hint("shuffle_hash"), ["stratum", "g"])
     sets = drawn.groupBy(*keys, "replicate", "stratum").agg(F.sum(F.col("mult") * F.col("n")).alias("n"), *[F.sum(F.col("mult") * F.col(v)).alias(v) for v in values])
-    return _levels(sets, values, *keys, "replicate")
+    return _levels(freeze(sets, "replicate-sets"), values, *keys, "replicate")  # read once for each level
 
 
 def observed_means(groups: DataFrame, values: list[str], *keys: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pathfold.plans.registry import query
 from pathfold.plans.routing_queries import _PAIR_SQL, GRID_SQL, pairs, pools
 from pathfold.sources.storage import freeze
 
-REPLICATES = 200
+REPLICATES = 2000
 ADVANTAGES = tuple(f"advantage_{v:.2f}" for v in routing.MARGINS)
 
 

@@ -15,3 +15,9 @@ def test_every_event_is_normalised(spark, sf, duck):
     """The queries' SQL without its filters, which is all that sets them apart."""
     for name, cut in (("normalize_responses", " WHERE event_id % 10 = 0"), ("normalize_sources", " WHERE event_id % 50 = 0")):
         agrees(spark, sf, duck, name, catalog.ORACLE_SQL[name].replace(cut, ""))
+
+
+def test_bootstraps_have_all_replicates(spark, sf):
+    from pathfold.plans import uncertainty_queries as u
+
+    assert u.bootstrap_replicates(u.pairs(spark, sf)).select("replicate").distinct().count() == 2000
