@@ -29,7 +29,24 @@ ROUNDS = 8
 
 #: Fixed patterns, in the order in which they are tried at a place of the text.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Lengths of the registered countries' IBANs, so that the next word of the text is not taken for a tail.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|CR|HR|LI|LV", 22: "BG|BH|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM",
+    28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return f"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: What is not of its country's length is tried in the general form.
+IBAN = (
+    r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+)
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
@@ -95,12 +112,16 @@ def _number_letters(number: Column, n: Column) -> Column:
 
 
 def permute_letters(letters: Column, key: str) -> Column:
-    """Lower-case ASCII letters, permuted among those of their number (the first 20; further ones stay)."""
-    n = F.least(F.length(letters), F.lit(20))
-    u = F.floor(n / 2).cast("int")
-    a, b = F.substring(letters, F.lit(1), u), F.substring(letters, u + 1, n - u)
-    mixed = feistel(_letters_number(a), _letters_number(b), _power(26, u), _power(26, n - u), "letters", key)
-    return _with(mixed, lambda m: F.concat(_number_letters(m["a"], u), _number_letters(m["b"], n - u), F.substring(letters, F.lit(21), F.length(letters))))
+    """Lower-case ASCII letters, permuted among those of their number, in pieces of 20."""
+
+    def permuted(piece: Column) -> Column:
+        n = F.length(piece)
+        u = F.floor(n / 2).cast("int")
+        a, b = F.substring(piece, F.lit(1), u), F.substring(piece, u + 1, n - u)
+        mixed = feistel(_letters_number(a), _letters_number(b), _power(26, u), _power(26, n - u), "letters", key)
+        return _with(mixed, lambda m: F.concat(_number_letters(m["a"], u), _number_letters(m["b"], n - u)))
+
+    return F.array_join(F.transform(F.regexp_extract_all(letters, F.lit("[a-z]{1,20}"), F.lit(0)), permuted), "")
 
 
 def _fill(shape: Column, chars: Column, kind: str) -> Column:
@@ -141,16 +162,24 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), add)
 
 
-def _date_parts(s: Column) -> Column:
-    """ISO text of a date in any of the layouts."""
-    iso = F.substring(s, 1, 10)
-    return F.when(s.rlike("^[0-9]{4}[-/]"), F.translate(iso, "/", "-")).otherwise(F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 4, 2), F.substring(s, 1, 2)))
+def _in_years(iso: Column) -> Column:
+    day = F.try_to_date(iso, "yyyy-MM-dd")
+    return F.when(day.between(F.lit(FIRST_DAY).cast("date"), F.lit("2099-12-31").cast("date")), day)
+
+
+def _day_first(s: Column) -> Column:
+    """The day of a date in any of the layouts, or null; where the year is last, day and month are read in that order."""
+    year_first = F.translate(F.substring(s, 1, 10), "/", "-")
+    return _in_years(F.when(s.rlike("^[0-9]{4}[-/]"), year_first).otherwise(F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 4, 2), F.substring(s, 1, 2))))
+
+
+def _month_first(s: Column) -> Column:
+    return F.when(s.rlike("^[0-9]{2}[./]"), _in_years(F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 1, 2), F.substring(s, 4, 2))))
 
 
 def _valid_date(s: Column) -> Column:
-    """The day, or null. Day and month are read in that order where the year is last."""
-    day = F.try_to_date(_date_parts(s), "yyyy-MM-dd")
-    return F.when(day.between(F.lit(FIRST_DAY).cast("date"), F.lit("2099-12-31").cast("date")), day)
+    """The day, or null. A year-last date is read month first where day first it is none."""
+    return F.coalesce(_day_first(s), _month_first(s))
 
 
 def kind_of(s: Column) -> Column:
@@ -210,15 +239,21 @@ def _ip(s: Column, key: str) -> Column:
 
 
 def _date(s: Column, key: str) -> Column:
-    number = F.datediff(_valid_date(s), F.lit(FIRST_DAY).cast("date"))
-    mixed = feistel(F.floor(number / F.lit(DAYS[1])), number % DAYS[1], _long(DAYS[0]), _long(DAYS[1]), "date", key)
+    first = F.lit(FIRST_DAY).cast("date")
 
-    def build(m: Column) -> Column:
-        day = F.date_add(F.lit(FIRST_DAY).cast("date"), (m["a"] * DAYS[1] + m["b"]).cast("int"))
+    def moved(day: Column) -> Column:
+        number = F.datediff(day, first)
+        mixed = feistel(F.floor(number / F.lit(DAYS[1])), number % DAYS[1], _long(DAYS[0]), _long(DAYS[1]), "date", key)
+        return _with(mixed, lambda m: F.date_add(first, (m["a"] * DAYS[1] + m["b"]).cast("int")))
+
+    def text(day: Column) -> Column:
         layout = lambda p: F.date_format(day, p)
         return F.when(s.rlike("^[0-9]{4}-"), layout("yyyy-MM-dd")).when(s.rlike("^[0-9]{4}/"), layout("yyyy/MM/dd")).when(s.rlike("/"), layout("dd/MM/yyyy")).otherwise(layout("dd.MM.yyyy"))
 
-    return _with(mixed, build)
+    # Days after the 12th can only be month first: they are moved until they are such a day again, so both readings stay apart.
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(64)), moved(_month_first(s)), lambda day, _: F.when(F.dayofmonth(day) > 12, day).otherwise(moved(day)))
+    american = _with(again, lambda day: F.when(s.rlike("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "MM.dd.yyyy")))
+    return F.when(_day_first(s).isNotNull(), _with(moved(_day_first(s)), text)).otherwise(american)
 
 
 def _phone(s: Column, key: str) -> Column:
