@@ -14,9 +14,11 @@ different, and nobody without the key can go back.
     date    a real day of the years 1900-2099       the day's number among all of these
     email   its layout                              ASCII letters and digits of the local part, each among their own
 
-Separators, brackets, the domain and everything else keep their places. Values that fail their validation stay.
+Separators, brackets, the domain and everything else keep their places. Values that fail their validation stay. Long
+local parts are permuted whole: in parts of PART characters, whose letters go in pieces of 20 and digits of 30.
 Defined results: a null text stays null with no finds; an empty text stays empty; rows are changed in place, one
-for one, without a shuffle; other columns stay as they are.
+for one, without a shuffle, so repeated rows stay equal; other columns stay as they are, whatever their names; texts of
+any length, and addresses of any length in them, are handled in linear time.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ from pyspark.sql import functions as F
 KINDS = ("email", "iban", "date", "ip", "ssn", "card", "phone")
 ROUNDS = 8
 
-#: Fixed patterns, in the order in which they are tried at a place of the text.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: Fixed patterns, in the order in which they are tried at a place of the text. All repeats of groups are possessive or
+#: bounded, so the matcher's stack does not grow with the text. An address ends with its domain's labels; one of them,
+#: after the first, begins with two letters.
+LABEL = "[A-Za-z0-9-]"
+EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]++@(?={LABEL}(?:{LABEL}++|\.(?={LABEL})(?![A-Za-z]{{2}}))*+\.[A-Za-z]{{2}}){LABEL}++(?:\.{LABEL}++)*+"
 #: Lengths of the registered countries' IBANs, so that the next word of the text is not taken for a tail.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|CR|HR|LI|LV", 22: "BG|BH|DE|GB|GE|IE|ME|RS|VA",
@@ -57,6 +62,7 @@ ANY = "(?:" + "|".join((EMAIL, IBAN, DATE, IP, SSN, CARD, PHONE)) + ")"
 HINT = "[0-9@]"
 
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 = 73049 days up to 2099-12-31
+PART = 64  # what an address's local part is at most by the mail standard
 AREAS, SERIALS = 898, 99 * 9999  # areas 001-899 without 666; groups 01-99 and serials 0001-9999
 
 
@@ -262,11 +268,17 @@ def _phone(s: Column, key: str) -> Column:
     return F.concat(prefix, _fill(rest, permute_digits(_digits(rest), "phone", key), "[0-9]"))
 
 
+def _local_part(part: Column, key: str) -> Column:
+    letters, numbers = F.regexp_replace(part, "[^a-z]", ""), _digits(part)
+    spelled = F.when(F.length(letters) > 0, _fill(part, permute_letters(letters, key), "[a-z]")).otherwise(part)
+    moved = F.array_join(F.transform(F.regexp_extract_all(numbers, F.lit("[0-9]{1,30}"), F.lit(0)), lambda x: permute_digits(x, "email", key)), "")
+    return F.when(F.length(numbers) > 0, _fill(spelled, moved, "[0-9]")).otherwise(spelled)
+
+
 def _email(s: Column, key: str) -> Column:
     local = F.lower(F.substring_index(s, "@", 1))
-    letters, numbers = F.regexp_replace(local, "[^a-z]", ""), _digits(local)
-    spelled = F.when(F.length(letters) > 0, _fill(local, permute_letters(letters, key), "[a-z]")).otherwise(local)
-    new = F.when(F.length(numbers) > 0, _fill(spelled, permute_digits(numbers, "email", key), "[0-9]")).otherwise(spelled)
+    parts = F.regexp_extract_all(local, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    new = F.array_join(F.transform(parts, lambda x: _local_part(x, key)), "")
     # A local part that is all other letters, or that the permutation maps to itself, gets digits of its digest.
     digest = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), s), 256), 1, 10), 16, 10)
     return F.concat(_with(new, lambda n: F.when(n == local, F.concat(F.lit("u"), digest)).otherwise(n)), F.lit("@"), F.substring_index(s, "@", -1))
