@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathfold.llm.common import materialize
+from pathfold.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         # All edges point from a node to a smaller one; when every node has one and no root has any, they are stars.
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        last, edges = edges, materialize(_star(_star(edges, True), False), "edges")
+        discard(last)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -18,7 +18,8 @@ Nothing is collected but HOT and a few counts. Classes are named by 64-bit finge
 probability n * n / 2**65.
 
 Defined results: a text without words has no shingles and no links; one with fewer than n words has one shingle, its
-whole sequence; a null id has no say in a component's id; repeated rows are copies; other columns are ignored.
+whole sequence; a null id has no say in a component's id; repeated rows are copies; one id may have several texts, each
+in its own group; other columns, whatever their names, are ignored; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathfold.llm.common import materialize, sized
+from pathfold.llm.common import discard, materialize, sized
 from pathfold.llm.components import components
 from pathfold.llm.shingle_trie import NEVER, Trie, Union, required
 from pathfold.llm.textvec import Block, blocks, mix
@@ -85,7 +86,7 @@ def _pieces(batches: Iterator, n: int) -> Iterator:
     for batch in batches:
         ids = batch.column(0)
         for first, group in blocks(batch.column(1).to_pylist()):
-            yield ids.slice(first, len(group)), shingle_sets(group, n)
+            yield ids.slice(first, len(group)), shingle_sets(group, n), first, batch
 
 
 def _fingerprints(n: int, local: int):
@@ -94,15 +95,18 @@ def _fingerprints(n: int, local: int):
 
         held, size, seen = [], 0, set()
 
+        names = ["kind", "id", "mark", "n", "v"]
+
         def frequent(arrays: list[np.ndarray]):
             u, c = np.unique(np.concatenate(arrays), return_counts=True) if arrays else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
             u, c = u[c >= local], c[c >= local]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), dtype=np.int32)), pa.nulls(len(u), pa.int64()), pa.array(c.astype(np.int64)), pa.array(u.astype(np.int64))], names=["kind", "id", "n", "v"])
+            none = pa.nulls(len(u), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), dtype=np.int32)), none, none, pa.array(c.astype(np.int64)), pa.array(u.astype(np.int64))], names=names)
 
-        for ids, sets in _pieces(batches, n):
+        for ids, sets, first, batch in _pieces(batches, n):
             marks = [fingerprint(x) if len(x) else None for x in sets]
             count = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(count, dtype=np.int32)), ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.int64())], names=["kind", "id", "n", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(count, dtype=np.int32)), ids, batch.column(2).slice(first, count), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.int64())], names=names)
             for mark, x in zip(marks, sets, strict=True):
                 if mark is not None and mark not in seen:
                     seen.add(mark)
@@ -145,7 +149,7 @@ def _prefixes(n: int, percent: int, buckets: int, shared):
             rows = [(int(bucket[a]), e[a:b].tobytes(), o[a:b].tobytes()) for a, b in zip(cut.tolist(), stop.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "e", "o"])
 
-        for _, sets in _pieces(batches, n):
+        for _, sets, *_ in _pieces(batches, n):
             for x in sets:
                 if len(x) and (mark := fingerprint(x)) not in seen:
                     seen.add(mark)
@@ -289,18 +293,25 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80):
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        marked = self.docs.withColumn("mark", text_mark(F.col("text")))
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
-        marks = materialize(self.docs.mapInArrow(tidied(_fingerprints(words, HOT_LOCAL)), "kind int, id long, n long, v long"), "fingerprints")
-        self.rows = marks.where("kind = 0").select(F.col("id").alias("doc_id"), "n", F.col("v").alias("sig"))
+        self.scratch: list[DataFrame] = []
+        marks = materialize(marked.mapInArrow(tidied(_fingerprints(words, HOT_LOCAL)), "kind int, id long, mark long, n long, v long"), "fingerprints")
+        self.rows = marks.where("kind = 0").select(F.col("id").alias("doc_id"), "mark", "n", F.col("v").alias("sig"))
         frequent = marks.where("kind = 1").groupBy("v").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "v").limit(HOT)
         self.hot = self.spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in frequent.select("v").collect()], dtype=np.int64)).view(np.uint64))
         self.classes = materialize(self.rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
 
+    def _cut(self, df: DataFrame, name: str) -> DataFrame:
+        """df written to the shared folder until the components are known."""
+        self.scratch.append(materialize(df, name))
+        return self.scratch[-1]
+
     def survivors(self) -> DataFrame:
         total = self.classes.agg(F.sum("n")).first()[0] or 0
         buckets = max(8, math.ceil(total * (100 - self.percent) / 100 / BUCKET_ENTRIES))
         blobs = self.docs.mapInArrow(tidied(_prefixes(self.words, self.percent, buckets, self.hot)), "bucket int, e binary, o binary")
-        return materialize(blobs.groupBy("bucket").applyInArrow(_shared_elements(buckets), "e long, sig long"), "prefixes")
+        return self._cut(blobs.groupBy("bucket").applyInArrow(_shared_elements(buckets), "e long, sig long"), "prefixes")
 
     def _whole_sets(self, members: DataFrame) -> DataFrame:
         """members(g, i, j, sig) with the classes' whole sets, in the global order."""
@@ -310,7 +321,7 @@ class JaccardJoin:
             import pyarrow as pa
 
             seen: set[int] = set()
-            for _, sets in _pieces(batches, words):
+            for _, sets, *_ in _pieces(batches, words):
                 new = {m: x for x in sets if len(x) and (m := fingerprint(x)) not in seen}
                 seen |= new.keys()
                 yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([ordered(x, hot.value).tobytes() for x in new.values()], pa.binary())], names=["sig", "shingles"])
@@ -330,37 +341,55 @@ class JaccardJoin:
 
     def _judged(self, rows: DataFrame, facts: DataFrame) -> DataFrame:
         """Of rows(g, i, j, block, sig, n, comp, home) those whose prefixes leave them a possible partner: (g, i, j, sig)."""
-        rows = materialize(rows, "judged")
+        rows = self._cut(rows, "judged")
         total = rows.agg(F.sum("n")).first()[0] or 0
         buckets = max(8, math.ceil(8 * total * (100 - self.percent) / 100 / BUCKET_BYTES))
         dealt = rows.drop("n").join(facts, "sig").withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)))
         return dealt.groupBy("bucket").applyInArrow(_candidates(self.percent), "g long, i int, j int, sig long")
 
+    def _dealt(self, rows: DataFrame, side: DataFrame, *keys: str) -> DataFrame:
+        """rows joined with side(keys, many, ...), which has one row for each key and the number of its rows. Keys with more
+        than TILE rows are dealt over several tasks: their side rows are repeated once for each."""
+        parts = F.ceil(F.col("many") / F.lit(TILE)).cast("int")
+        hot = sized(side.where(F.col("many") > TILE).select(*keys, parts.alias("_parts")), "hot-keys")
+        salted = rows.join(hot, [*keys], "left").withColumn("_salt", F.pmod(F.xxhash64("sig", F.lit(3)), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+        return salted.join(side.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("many"), [*keys, "_salt"]).drop("_salt")
+
     def _close(self, rows: DataFrame) -> DataFrame:
-        """Of rows(g, sig, n, ...) those with a neighbour in g whose size is near enough for the threshold."""
-        by_size = Window.partitionBy("g").orderBy("n", "sig")
-        up, down = F.lead("n").over(by_size), F.lag("n").over(by_size)
-        return rows.withColumn("_up", up).withColumn("_down", down).where((100 * F.col("n") >= self.percent * F.col("_up")) | (100 * F.col("_down") >= self.percent * F.col("n"))).drop("_up", "_down")
+        """Of rows(g, sig, n, ...) those with a neighbour in g whose size is near enough for the threshold. Sizes that are
+        near enough are in the same class of sizes or in neighbouring ones, so only (g, class) sums are compared."""
+        percent, width = self.percent, math.log(100 / self.percent) * (1 + 1e-9) if self.percent < 100 else 1e-12
+        rows = rows.withColumn("_size", F.floor(F.log("n") / F.lit(width)))
+        sums = rows.groupBy("g", "_size").agg(F.count("*").alias("many"), F.min("n").alias("_lo"), F.max("n").alias("_hi"))
+        classes = Window.partitionBy("g").orderBy("_size")  # a few dozen classes at most
+        above = F.when(F.lead("_size").over(classes) == F.col("_size") + 1, F.lead("_lo").over(classes))
+        below = F.when(F.lag("_size").over(classes) == F.col("_size") - 1, F.lag("_hi").over(classes))
+        near = sums.withColumns({"_up": above, "_down": below})
+        near = near.where((F.col("many") > 1) | (100 * F.col("_hi") >= percent * F.col("_up")) | (100 * F.col("_down") >= percent * F.col("_lo")))
+        near = self._cut(near.select("g", "_size", "many", (F.col("many") > 1).alias("_several"), "_up", "_down"), "near-sizes")
+        ok = F.col("_several") | (100 * F.col("n") >= percent * F.col("_up")) | (100 * F.col("_down") >= percent * F.col("n"))
+        return self._dealt(rows, near, "g", "_size").where(ok).drop("_size", "_several", "_up", "_down")
 
     def _possible(self, rows: DataFrame) -> DataFrame:
         """rows(g, m, times, sig, n, wide, ...) without the lists of two classes that cannot link. These share `times`
         shingles that nobody else has, and at most `wide` others each; beyond their prefixes at most the rest of one."""
-        both = Window.partitionBy("g")
+        both = Window.partitionBy("g")  # two rows each
         n, least = F.col("n"), F.min("wide").over(both)
         prefix = n - F.ceil(n * self.percent / F.lit(100)) + 1
         need = F.ceil(F.lit(self.percent) * F.sum("n").over(both) / F.lit(100 + self.percent)) - F.max(n - prefix).over(both)
-        return rows.withColumn("_may", (F.col("m") > 2) | (F.col("times") + least >= need)).where("_may").drop("_may", "m", "times", "wide")
+        pairs = rows.where("m = 2").withColumn("_may", F.col("times") + least >= need).where("_may").drop("_may")
+        return rows.where("m > 2").unionByName(pairs).drop("m", "times", "wide")
 
     def links(self) -> DataFrame:
         """Links (a, b) between class fingerprints that connect all classes which reach the threshold."""
         pairs = self.survivors()
         prefixes = pairs.groupBy("sig").agg(F.sort_array(F.collect_list("e")).alias("prefix"))
-        facts = materialize(prefixes.join(self.classes.select("sig", "n"), "sig"), "facts")
+        facts = self._cut(prefixes.join(self.classes.select("sig", "n"), "sig"), "facts")
         alone = F.xxhash64("sig", F.lit("alone"))
 
-        first = self._close(facts.select("sig", "n", F.element_at("prefix", 1).alias("g")))
-        sizes = first.groupBy("g").agg(_tiles().alias("tiles"), F.min("sig").alias("anchor"))
-        own = materialize(first.join(sizes, "g").select("g", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int").alias("i"), "sig", "n"), "round-one")
+        first = self._cut(self._close(facts.select("sig", "n", F.element_at("prefix", 1).alias("g"))), "round-one-groups")
+        sizes = self._cut(first.groupBy("g").agg(F.count("*").alias("many"), _tiles().alias("tiles"), F.min("sig").alias("anchor")), "round-one-sizes")
+        own = self._cut(self._dealt(first, sizes, "g").select("g", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int").alias("i"), "sig", "n"), "round-one")
         anchors = sizes.where("tiles > 1").select("g", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), F.col("anchor").alias("sig"))
         anchors = anchors.join(facts.select("sig", "n"), "sig").select("g", "i", "sig", "n")
         met = own.unionByName(anchors).distinct().select("g", "i", F.col("i").alias("j"), F.lit(0).alias("block"), "sig", "n", F.col("sig").alias("comp"), alone.alias("home"))
@@ -375,21 +404,31 @@ class JaccardJoin:
         known = self.classes.select("sig", "n").join(wide, "sig", "left").join(grouped, F.col("sig") == F.col("node"), "left").join(homes, "sig", "left")
         known = known.select("sig", "n", F.coalesce("wide", F.lit(0)).alias("wide"), F.coalesce("component", "sig").alias("comp"), F.coalesce("home", alone).alias("home"))
         joined = pairs.join(kept, "e").join(known, "sig").select(F.col("e").alias("g"), "m", "times", "sig", "n", "wide", "comp", "home")
-        labelled = materialize(self._close(self._possible(joined)), "lists")
-        open_ = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), _tiles().alias("tiles")).where("lo <> hi").select("g", "tiles")
-        rows = labelled.join(open_, "g").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("tiles")).cast("int"))
+        labelled = self._cut(self._close(self._cut(self._possible(joined), "possible")), "lists")
+        open_ = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many"), _tiles().alias("tiles")).where("lo <> hi").select("g", "many", "tiles")
+        rows = self._dealt(labelled, self._cut(open_, "open"), "g").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("tiles")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n", "comp", "home")
         return one.unionByName(self._links(self._judged(rows, facts)))
 
-    def result(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row."""
+    def labelled(self) -> DataFrame:
+        """doc_id, mark (of the text), n, comp (the group's name; null without shingles) and component_id for every row."""
         groups = components(self.links())
         named = self.classes.join(groups, F.col("sig") == F.col("node"), "left").select("sig", "rep", F.coalesce("component", "sig").alias("comp"))
         least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        lookup = materialize(named.join(least, "comp").select("sig", "component_id"), "components")
-        joined = self.rows.join(lookup, "sig", "left")
-        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        lookup = materialize(named.join(least, "comp").select("sig", "comp", "component_id"), "components")
+        discard(*self.scratch)
+        self.scratch.clear()
+        return self.rows.join(lookup, "sig", "left").select("doc_id", "mark", "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+    def result(self) -> DataFrame:
+        """doc_id, n_shingles, component_id for every row."""
+        return self.labelled().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def text_mark(text: Column) -> Column:
+    """64 bits that stand for a text beside its id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -398,13 +437,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose id names their group, with the columns of the input; of repeated rows one stays."""
-    found = groups(docs, id_col, text_col, words, percent)
-    # Documents without shingles are nobody's copy; a null id has no group to be named by and stays.
-    gone = found.where((F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return left.dropDuplicates([id_col, text_col]) if _repeats(left, id_col) else left
+    """One document of each group, with the columns of the input: the one with the smallest id (a null one is last), and
+    with several texts under that id the one whose text's mark is smallest. Rows go by id and text, so an id's other
+    texts stay if they are their own group's first. Documents without shingles are nobody's copy and stay. Of rows
+    that repeat both id and text one stays."""
+    rows = materialize(JaccardJoin(docs, id_col, text_col, words, percent).labelled().select("doc_id", "mark", "comp").distinct(), "labelled")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(place).alias("first"))
+    gone = rows.join(first, "comp").where(place != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    ids, mark = F.col(id_col).cast("long"), text_mark(F.col(text_col))
+    left = docs.join(gone, ids.eqNullSafe(F.col("_gone")) & (mark == F.col("_mark")), "left_anti")
+    return left.dropDuplicates([id_col, text_col]) if _repeats(docs, id_col) else left
 
 
 def _repeats(docs: DataFrame, id_col: str) -> bool:
-    return bool(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+    return bool(docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count())

@@ -204,6 +204,17 @@ def test_jaccard_messy(spark):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect())[:3] == [-1, 0, 1] and kept.count() == 7 and kept.columns == messy(spark).columns
 
 
+def test_one_id_with_several_texts(spark):
+    """Rows go by id and text: a text that only stands under a repeated id is not lost."""
+    a, b = words(60, 1), words(60, 2)
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(3, a), (7, b), (7, a), (None, a), (3, near), (8, b), (8, b), (9, words(60, 3)), (9, words(60, 3)), (5, None), (5, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)).collect()
+    first = min((3, t) for t in (a, near) if any(r.text == t for r in kept))
+    assert sorted(((r.doc_id, r.text or "") for r in kept)) == sorted([first, (7, b), (9, words(60, 3)), (5, ""), (5, "")])
+    assert sum(r.doc_id == 3 for r in kept) == 1
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_trie_probe(seed):
     r = np.random.default_rng(seed)
