@@ -382,14 +382,77 @@ def test_secrets(spark):
     ]
     rows = secrets.scan(docs(spark, *texts)).orderBy("doc_id").collect()
     spans = [r.spans for r in rows]
-    assert spans[0] == "assign:2:42,hex:11:43".replace("2:42", "2:43") and (rows[0].n_assign, rows[0].n_hex) == (1, 1)
-    assert spans[1] == "assign:14:28"
-    assert spans[2] == "access:0:20"
+    base = lambda i: ",".join(x for x in spans[i].split(",") if not x.startswith("novel"))
+    assert base(0) == "assign:2:43,hex:11:43" and (rows[0].n_assign, rows[0].n_hex, rows[0].n_measured) == (1, 1, 1)
+    assert rows[0].base_sha256 == hashlib.sha256(b"assign:2:43,hex:11:43").hexdigest()
+    assert base(1) == "assign:14:28" and spans[2] == "access:0:20"
     assert spans[3:6] == ["", "", ""] and rows[4].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert spans[6] == "novel:22:46" and spans[7:] == ["", "", ""]
+    assert spans[6] == "novel:22:46" and spans[7:] == ["", "", ""] and rows[7].n_measured > 0
     assert secrets.scan(messy(spark)).count() == 8 and secrets.scan(messy(spark).limit(0)).count() == 0
 
 
+def secret_texts(n, seed):
+    """Texts with planted secrets, identifiers and long words around sensitive words: (text, spans of the secrets, spans of the rest)."""
+    r, out = random.Random(seed), []
+    prose = "the service reads its configuration at start and renews the credential when the session has expired".split()
+    for i in range(n):
+        text, planted, plain = "", [], []
+        for _ in range(r.randint(1, 4)):
+            text += " ".join(r.choice(prose) for _ in range(r.randint(30, 60)))
+            word = r.choice(("password", "secret_key", "bearer", "api key token", "Authorization", "private_key"))
+            secret = r.random() < 0.5
+            chars = r.choice(("0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", "abcdefghijklmnopqrstuvwxyz0123456789+/"))
+            value = "".join(r.choice(chars) for _ in range(r.randint(20, 44))) if secret else r.choice(("_", "-", "")).join(r.choice(("refresh", "client", "default", "service", "renewal", "expired", "session", "storage", "backend")) for _ in range(4))
+            before = r.random() < 0.4
+            text += f"\n{word} is " if not before else "\n"
+            (planted if secret else plain).append((len(text), len(text) + len(value)))
+            text += value + (f" was the {word} of it\n" if before else " here\n")
+        out.append((text, planted, plain))
+    return out
+
+
+def test_novelty_finds_planted_secrets(spark):
+    """Recall and precision on planted strings, before and after the words."""
+    texts = secret_texts(150, 4)
+    got = {r.doc_id: {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("novel")} for r in secrets.scan(docs(spark, *[t for t, _, _ in texts])).collect()}
+    hits = sum(s in got[i] for i, (_, planted, _) in enumerate(texts) for s in planted)
+    assert hits >= 0.95 * sum(len(p) for _, p, _ in texts)
+    assert hits >= 0.95 * sum(len(x) for x in got.values())
+
+
+def brute_secrets(text, novelty):
+    """Every rule read off the docstring, position by position."""
+    base = []
+    for kind, pattern, group, least in (("assign", secrets.ASSIGN, 1, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)):
+        base += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if len(m[group]) >= least]
+    values = [m.span(1) for m in secrets.ASSIGN.finditer(text) if len(m[1]) >= 12]
+    near = set(values)
+    allowed = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    words = [m.span() for m in secrets.SENSITIVE.finditer(text)]
+    at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        if end - at >= 12 and any(at <= e + secrets.REACH and end >= s - secrets.REACH for s, e in words) and not any(a < end and at < b for a, b in values):
+            near.add((at, end))
+        at = max(end, at + 1)
+    costs = [(a, b, novelty.marginal(text[max(0, a - 160) : a], text[a:b], text[b : b + 160])) for a, b in near]
+    spans = base + [(a, b, "novel") for a, b, c in costs if c >= novelty.threshold * (b - a)]
+    order = sorted(spans, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+    return len(base), len(costs), sum(c for _, _, c in costs), ",".join(f"{k}:{a}:{b}" for a, b, k in order)
+
+
+def test_secret_scan_equals_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    extra = [t for t, _, _ in secret_texts(60, 9)] + ["token" * 5000 + " x", "a" * 200_000 + " secret", None]
+    both = [(r.doc_id, r.text) for r in rows] + [(10_000 + i, t) for i, t in enumerate(extra)]
+    df = spark.createDataFrame(both, "doc_id long, text string")
+    novelty = secrets.Novelty.fitted(secrets.corpus_identifiers(df))
+    got = {r.doc_id: (r.n_assign + r.n_access + r.n_hex, r.n_measured, r.novel_bytes, r.spans) for r in secrets.scan(df).collect()}
+    assert got == {i: brute_secrets(t or "", novelty) for i, t in both} and sum(x[1] for x in got.values()) > 60
+
+
 # -- 9 --------------------------------------------------------------------------------------------------------------
 
 
