@@ -82,10 +82,10 @@ def sized(df: DataFrame, name: str, most_rows: int = 200_000, most_bytes: int =
     """df written to the shared folder, and marked for broadcast only if it turned out to have at most most_rows rows and
     most_bytes bytes (of its columns' values); beyond that Spark joins it by shuffling."""
     kept = materialize(df, name)
-    return F.broadcast(kept) if _fits(kept, most_rows, most_bytes) else kept
+    return F.broadcast(kept) if fits(kept, most_rows, most_bytes) else kept
 
 
-def _fits(kept: DataFrame, most_rows: int, most_bytes: int) -> bool:
+def fits(kept: DataFrame, most_rows: int, most_bytes: int) -> bool:
     """Numbers count 8 bytes, strings and arrays their length; one pass over what was written."""
     width = F.lit(0)
     for field in kept.schema.fields:
@@ -96,6 +96,15 @@ def _fits(kept: DataFrame, most_rows: int, most_bytes: int) -> bool:
     return rows <= most_rows and (size or 0) <= most_bytes
 
 
+def dealt_join(rows: DataFrame, side: DataFrame, keys: list[str], salt: Column, most: int = 1024) -> DataFrame:
+    """rows joined with side(keys, many, ...), which has one row for each key and `many`, the number of its rows. Keys with
+    more than `most` rows are dealt over several tasks by `salt`; their side rows are repeated once for each."""
+    parts = F.ceil(F.col("many") / F.lit(most)).cast("int")
+    hot = sized(side.where(F.col("many") > most).select(*keys, parts.alias("_parts")), "hot-keys")
+    salted = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(salt, F.lit(3)), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return salted.join(side.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("many"), [*keys, "_salt"]).drop("_salt")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what materialize wrote for these tables; for callers that are done with them."""
     for df in tables:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathfold.llm.common import discard, materialize, sized
+from pathfold.llm.common import dealt_join, discard, materialize, sized
 from pathfold.llm.components import components
 from pathfold.llm.shingle_trie import NEVER, Trie, Union, required
 from pathfold.llm.textvec import Block, blocks, mix
@@ -347,14 +347,6 @@ class JaccardJoin:
         dealt = rows.drop("n").join(facts, "sig").withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)))
         return dealt.groupBy("bucket").applyInArrow(_candidates(self.percent), "g long, i int, j int, sig long")
 
-    def _dealt(self, rows: DataFrame, side: DataFrame, *keys: str) -> DataFrame:
-        """rows joined with side(keys, many, ...), which has one row for each key and the number of its rows. Keys with more
-        than TILE rows are dealt over several tasks: their side rows are repeated once for each."""
-        parts = F.ceil(F.col("many") / F.lit(TILE)).cast("int")
-        hot = sized(side.where(F.col("many") > TILE).select(*keys, parts.alias("_parts")), "hot-keys")
-        salted = rows.join(hot, [*keys], "left").withColumn("_salt", F.pmod(F.xxhash64("sig", F.lit(3)), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-        return salted.join(side.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("many"), [*keys, "_salt"]).drop("_salt")
-
     def _close(self, rows: DataFrame) -> DataFrame:
         """Of rows(g, sig, n, ...) those with a neighbour in g whose size is near enough for the threshold. Sizes that are
         near enough are in the same class of sizes or in neighbouring ones, so only (g, class) sums are compared."""
@@ -368,7 +360,7 @@ class JaccardJoin:
         near = near.where((F.col("many") > 1) | (100 * F.col("_hi") >= percent * F.col("_up")) | (100 * F.col("_down") >= percent * F.col("_lo")))
         near = self._cut(near.select("g", "_size", "many", (F.col("many") > 1).alias("_several"), "_up", "_down"), "near-sizes")
         ok = F.col("_several") | (100 * F.col("n") >= percent * F.col("_up")) | (100 * F.col("_down") >= percent * F.col("n"))
-        return self._dealt(rows, near, "g", "_size").where(ok).drop("_size", "_several", "_up", "_down")
+        return dealt_join(rows, near, ["g", "_size"], F.col("sig"), TILE).where(ok).drop("_size", "_several", "_up", "_down")
 
     def _possible(self, rows: DataFrame) -> DataFrame:
         """rows(g, m, times, sig, n, wide, ...) without the lists of two classes that cannot link. These share `times`
@@ -389,7 +381,7 @@ class JaccardJoin:
 
         first = self._cut(self._close(facts.select("sig", "n", F.element_at("prefix", 1).alias("g"))), "round-one-groups")
         sizes = self._cut(first.groupBy("g").agg(F.count("*").alias("many"), _tiles().alias("tiles"), F.min("sig").alias("anchor")), "round-one-sizes")
-        own = self._cut(self._dealt(first, sizes, "g").select("g", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int").alias("i"), "sig", "n"), "round-one")
+        own = self._cut(dealt_join(first, sizes, ["g"], F.col("sig"), TILE).select("g", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int").alias("i"), "sig", "n"), "round-one")
         anchors = sizes.where("tiles > 1").select("g", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), F.col("anchor").alias("sig"))
         anchors = anchors.join(facts.select("sig", "n"), "sig").select("g", "i", "sig", "n")
         met = own.unionByName(anchors).distinct().select("g", "i", F.col("i").alias("j"), F.lit(0).alias("block"), "sig", "n", F.col("sig").alias("comp"), alone.alias("home"))
@@ -406,7 +398,7 @@ class JaccardJoin:
         joined = pairs.join(kept, "e").join(known, "sig").select(F.col("e").alias("g"), "m", "times", "sig", "n", "wide", "comp", "home")
         labelled = self._cut(self._close(self._cut(self._possible(joined), "possible")), "lists")
         open_ = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many"), _tiles().alias("tiles")).where("lo <> hi").select("g", "many", "tiles")
-        rows = self._dealt(labelled, self._cut(open_, "open"), "g").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("tiles")).cast("int"))
+        rows = dealt_join(labelled, self._cut(open_, "open"), ["g"], F.col("sig"), TILE).withColumn("block", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("tiles")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n", "comp", "home")
         return one.unionByName(self._links(self._judged(rows, facts)))

@@ -117,13 +117,13 @@ lines AS (
 dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc_id),
 frequent AS (
   SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM lines GROUP BY ALL)
-  JOIN (SELECT host, count(DISTINCT text) AS docs FROM t GROUP BY host) USING (host) WHERE n > 20 AND n > 0.05 * docs),
-gone AS (SELECT doc_id, sum(chars) AS lost FROM lines SEMI JOIN frequent USING (host, norm) GROUP BY doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= 50 * word_chars AS kept FROM (
+  JOIN (SELECT host, count(DISTINCT text) AS docs FROM t GROUP BY host) USING (host) WHERE (n >= 5 AND 100 * n > 2 * docs) OR n > 200),
+gone AS (SELECT doc_id, sum(chars) AS lost, count(*) AS n_lost FROM lines SEMI JOIN frequent USING (host, norm) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost, NOT base_failed AND 100 * lost <= 50 * word_chars AS kept FROM (
   SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-         len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed, coalesce(g.lost, 0) AS lost
+         len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed, coalesce(g.lost, 0) AS lost, CAST(coalesce(g.n_lost, 0) AS BIGINT) AS n_lost
   FROM t LEFT JOIN repeated r USING (doc_id) LEFT JOIN dups d USING (doc_id) LEFT JOIN gone g USING (doc_id))
 """,
     "op9_source_mix": rf"""

@@ -339,7 +339,18 @@ def test_frequent_lines_are_removed(spark):
     texts = [("All rights  RESERVED here.\n" if i % 2 else " all rights reserved here. \n") + words(60, i) + "\n\nend" for i in range(30)]
     left = {r.doc_id: (r.text, r.n_chars) for r in quality.keep(docs(spark, *texts)).collect()}
     assert left == {i: (words(60, i) + "\n", len(words(60, i)) + 1) for i in range(30)}
-    assert {r.text for r in quality.keep(docs(spark, *texts[:20])).collect()} == set(texts[:20])  # under the limit
+    assert {r.text for r in quality.keep(docs(spark, *texts[:4])).collect()} == set(texts[:4])  # under the limit
+
+
+def test_each_limit_suffices_and_both_joins_agree(spark):
+    """Shares on a small host, counts on a large one; arrays by host and hashes by document give the same."""
+    many = [f"shared line {i % 7}\n" + words(60, i) for i in range(60)]
+    df = docs(spark, *many, *[words(60, 1000 + i) for i in range(340)], *["rare line\n" + words(60, 2000 + i) for i in range(6)], sources=["big"] * 400 + [None] * 6)
+    seen = lambda **k: {r[0]: r[1:] for r in quality.judge(df, **k).select("_row.doc_id", "left_text", "n_lost", "kept").collect()}
+    got = seen(line_many=8)
+    # 60 / 7 is 8 or 9 documents: the count of 8 is passed by four lines, the share of 2 % by those with 9 of 400 as well.
+    assert {i for i, r in got.items() if r[1]} == {i for i in range(60) if i % 7 < 4} | set(range(400, 406)) and got[400][0] == words(60, 2000)
+    assert seen(line_percent=99) != got == seen(line_many=8, longest=0) == seen(line_many=8, most_bytes=0)
 
 
 def test_quality_messy(spark):
@@ -535,11 +546,12 @@ def test_pipeline(spark, sf):
     import corpus_pipeline
 
     rows = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    kept = {r.doc_id for r in queries.op6_line_quality(spark, sf).where("kept").collect()}
-    rows = sorted((r for r in rows if r["doc_id"] in kept), key=lambda r: r["doc_id"])
+    left = {r.doc_id: r.text for r in quality.keep(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    rows = sorted((r | {"text": left[r["doc_id"]]} for r in rows if r["doc_id"] in left), key=lambda r: r["doc_id"])
     _, label = brute_components([r["text"] for r in rows])
     rows = [r for i, r in enumerate(rows) if label[i] == i]
-    new = {r.doc_id: r.text for r in queries.op2_pii_pseudonyms(spark, sf).collect()}
+    stripped = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.pseudonymize(stripped, queries.PII_KEY).collect()}
     sizes = {}
     for r in rows:
         r["size"] = len(re.findall(r"[^\x20\x09-\x0D]+", new[r["doc_id"]]))
