@@ -2,16 +2,18 @@
 
 A text's words (runs of letters, lower-cased) are cut into character n-grams with word borders; each n-gram and each
 whole word hashes to one of BUCKETS embeddings. A text is the average of its embeddings; a linear softmax names the
-language. Training is plain stochastic gradient descent in numpy on a bounded sample of labelled rows
-(`per_label` rows for each label, `max_labels` labels, taken by a hash of the id, from all training rows). A fifth of
-the sample calibrates: a temperature that minimises its log loss, and the lowest confidence at which the accepted
+language. Training is plain stochastic gradient descent in numpy on a bounded sample of labelled rows, taken by a hash
+of the id from all training rows: at most 1.2 * `per_label` whole texts for each label, and `most_bytes` of them over
+all labels (each has an equal share of these, and one text at least). Every label trains; more than `max_labels`
+different ones are an error, as the column can hardly hold languages then. A fifth of the sample calibrates: a temperature that minimises its log loss, and the lowest confidence at which the accepted
 part reaches PRECISION; predictions below that are marked `rejected`.
 
 Prediction covers every whole text. As the model is linear, the embeddings are multiplied by the softmax weights
 once, and a word's contribution is computed once for each distinct word.
 
 Defined results: a null text, or one without letters, is `und` with score 0 and not rejected; rows with a null label
-never train; repeated rows agree; ties go to the first label by code point; without any labelled row all are `und`.
+never train; repeated rows agree; ties go to the first label by code point; without any labelled row all are
+`und`; very long texts are predicted whole; other columns, whatever their names, are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfold.llm.common import hash_unit
@@ -37,7 +39,7 @@ _tables: list[np.ndarray] = []
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Which code points are letters, and their lower case."""
     if not _tables:
-        n = 0x30000
+        n = 0x33000  # no letters are assigned beyond
         _tables.append(np.array([unicodedata.category(chr(c))[0] == "L" for c in range(n)]))
         _tables.append(np.array([ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(n)], dtype=np.uint32))
     return _tables[0], _tables[1]
@@ -188,17 +190,26 @@ def _calibrate(model: Model, rows: list, target: np.ndarray) -> None:
     model.threshold = float(p.max(axis=1)[order][good[-1]]) if len(good) else 1.0
 
 
-def training_sample(docs: DataFrame, eligible: Column, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = 600, max_labels: int = 200, seed: str = "langid") -> tuple[list[str], list[str]]:
-    """At most about per_label rows for each of the most frequent labels, drawn by a hash of the id from all eligible
-    rows, and never more than 1.2 * per_label * labels of them: the bound of what reaches the driver."""
+def training_sample(
+    docs: DataFrame, eligible: Column, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = 600, max_labels: int = 2000, most_bytes: int = 256 << 20, seed: str = "langid"
+) -> tuple[list[str], list[str]]:
+    """About per_label rows of each label, drawn by a hash of the id from all eligible rows; what reaches the driver is
+    bounded by rows and by bytes, as the module says."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where(eligible & F.col("text").isNotNull() & F.col("label").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("label").count().limit(max_labels + 1).collect()}
+    if len(counts) > max_labels:
+        raise ValueError(f"{label_col} has more than {max_labels} different labels")
     if not counts:
         return [], []
-    pairs = [F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))]
+    pairs = [F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_label / n))]
     drawn = rows.withColumn("u", hash_unit(seed, F.col("doc_id").cast("string"))).where(F.col("u") < F.element_at(F.create_map(*pairs), F.col("label")))
-    got = drawn.orderBy("u", "doc_id").limit(int(1.2 * per_label * len(counts))).select("text", "label").collect()
-    return [r[0] for r in got], [r[1] for r in got]
+    # Repeated ids share their number, so each label's rows are counted as well; the limit holds before the shuffle.
+    order = Window.partitionBy("label").orderBy("u", "doc_id", F.octet_length("text"))
+    ranked = drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= int(1.2 * per_label))
+    so_far = F.sum(F.octet_length("text").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    kept = ranked.withColumn("bytes", so_far).where((F.col("bytes") <= most_bytes // len(counts)) | (F.col("rank") == 1))
+    got = sorted(kept.select("u", "doc_id", "text", "label").collect(), key=lambda r: (r[0], r[1], r[2]))
+    return [r[2] for r in got], [r[3] for r in got]
 
 
 def identify(docs: DataFrame, fitted: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,10 +3,13 @@
 A flat file holds little-endian ids one after the other; a document ends with the end-of-document id. The scan
 cuts a file into blocks, finds the separators of each block with one vectorised comparison, and stitches documents
 that cross blocks with a prefix scan over the blocks' summaries (separators, ids after the last one). The same
-scan over the files' summaries stitches documents that cross files, in path order.
+scan over the files' summaries, within ranges of files and then over the ranges, stitches documents that cross files,
+in path order; no task sees all files.
 
-Defined results: a document without ids (two separators in a row) counts 0; ids after the last separator of all
-files make one last document with `ended` false; an empty file changes nothing; no files give no rows.
+Defined results: a document without ids (two separators in a row, a null or empty text) counts 0; ids after the last
+separator of all files make one last document with `ended` false; an empty file changes nothing; no files give no
+rows; repeated rows and null ids each keep their row; a text of any length is one document; other columns, whatever
+their names, are ignored. File names in results do not depend on task attempts.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathfold.llm.common import shared_path
+from pathfold.llm.common import materialize, shared_path
 from pathfold.llm.workers import release, tidied
 
 BLOCK_IDS = 1 << 20
@@ -24,6 +27,13 @@ BLOCK_IDS = 1 << 20
 FILE_BYTES = 8 << 20
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme and authority that Spark's own readers would use for it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write flat files for each partition of docs below `path` (a URL or folder that executors share), without a
     shuffle. Gives the rows (file, ordinal, doc_id) of what was written; the files themselves hold no index. Each
@@ -39,7 +49,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, dtype:
         from pathfold.llm.byte_bpe import encoder
 
         task, enc, end = TaskContext.get(), encoder(tokenizer, special_as_text=True), np.array([end_id], dtype=dtype).tobytes()
-        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store, root = (fs.LocalFileSystem(), "/" + where.removeprefix("file:").lstrip("/")) if where.startswith("file:") else fs.FileSystem.from_uri(where)
         store.create_dir(root, recursive=True)
         out, name, size, ordinal, number = None, "", 0, 0, 0
 
@@ -66,6 +76,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, dtype:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ordinals, pa.int64()), part.column(0)], names=["file", "ordinal", "doc_id"])
         close()
 
+    where = qualified(docs.sparkSession, path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(tidied(put), "file string, ordinal long, doc_id long")
 
@@ -123,13 +134,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int, dtype: str = "<u2"
     rows = files.mapInArrow(tidied(scan), "file string, ordinal long, n_tokens long, ended boolean")
     # One row for each file: whether it ends a document, and the ids after its last separator.
     ends = rows.where(~F.col("ended")).select("file", F.col("n_tokens").alias("tail"), (F.col("ordinal") > 0).cast("int").alias("closes"))
-    upto = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = ends.withColumn("run", F.sum("closes").over(upto))
-    carried = grouped.withColumn("held", F.sum("tail").over(Window.partitionBy("run").orderBy("file").rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.orderBy("file")
-    carry = carried.select(
-        "file", "held", F.coalesce(F.lag("held").over(whole), F.lit(0)).alias("carry"), F.lead("file").over(whole).isNull().alias("final")
-    )
+    carry = _carried(materialize(ends.repartitionByRange("file").withColumn("range", F.spark_partition_id()), "file-ends"))
     out = rows.join(carry, "file")
     first = (F.col("ordinal") == 0) & F.col("ended")
     tokens = F.when(first, F.col("n_tokens") + F.col("carry")).when(F.col("ended"), F.col("n_tokens")).otherwise(F.col("held"))
@@ -137,14 +142,34 @@ def count_tokens(spark: SparkSession, path: str, end_id: int, dtype: str = "<u2"
     return out.where(keep).select("file", "ordinal", tokens.alias("n_tokens"), "ended")
 
 
+def _scan(rows: DataFrame, order: str, *keys: str) -> DataFrame:
+    """rows(order, tail, closes) in their order within keys, with `open` (nothing closed up to and with the row), `held` (ids
+    since the last row that closed, its tail included) and both for the row before: `open_before`, `before`."""
+    line = Window.partitionBy(*keys).orderBy(order)
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("run", F.sum("closes").over(upto))
+    held = run.withColumn("held", F.sum("tail").over(Window.partitionBy(*keys, "run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return held.withColumns({"open": F.col("run") == 0, "open_before": F.col("run") - F.col("closes") == 0, "before": F.coalesce(F.lag("held").over(line), F.lit(0))}).drop("run")
+
+
+def _carried(ends: DataFrame) -> DataFrame:
+    """ends(file, tail, closes, range), ranges being in file order -> (file, held, carry, final): ids since the last separator
+    at the end and at the beginning of each file, over all files before."""
+    within = _scan(ends, "file", "range")
+    ranges = within.groupBy("range").agg(F.max_by("held", "file").alias("tail"), F.max("closes").alias("closes"), F.max("file").alias("last"))
+    over = _scan(ranges, "range").select("range", F.col("before").alias("into"), F.max("last").over(Window.partitionBy()).alias("last"))  # a row for each range
+    into = lambda still_open: F.when(F.col(still_open), F.col("into")).otherwise(F.lit(0))
+    return within.join(over, "range").select("file", (F.col("held") + into("open")).alias("held"), (F.col("before") + into("open_before")).alias("carry"), (F.col("file") == F.col("last")).alias("final"))
+
+
 def write_and_count(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write the documents' flat files, scan them without an index, and name each counted document by the order in
     which its file was written: doc_id, file, ordinal, n_tokens."""
-    from pathfold.llm.common import materialize
-
     spark = docs.sparkSession
     path = shared_path(spark, "flat")
     written = materialize(write_files(docs, path, tokenizer, end_id), "flat-order")
     if not written.limit(1).count():  # no rows, no files
         return written.select("doc_id", "file", "ordinal", F.lit(0).cast("bigint").alias("n_tokens"))
-    return written.join(count_tokens(spark, path, end_id), ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "n_tokens")
+    # The name without the attempt that wrote it.
+    stable = F.regexp_replace("file", r"^([0-9]+)-[0-9]+-", "$1-").alias("file")
+    return written.join(count_tokens(spark, path, end_id), ["file", "ordinal"], "left").select("doc_id", stable, "ordinal", "n_tokens")

@@ -290,16 +290,28 @@ def test_token_counts(spark):
     assert token_files.write_and_count(messy(spark).limit(0), BPE, 50256).count() == 0
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 7, 100])
-def test_scan_stitches_blocks_and_files(spark, tmp_path, block):
+def test_token_files_by_urls(spark, tmp_path):
+    """A folder named by file:/ is the same as one named by its path, and names do not depend on attempts."""
+    df = docs(spark, "a b c", "", None, "d")
+    for i, path in enumerate((f"file:{tmp_path}/x", f"file://{tmp_path}/y", f"{tmp_path}/z")):
+        token_files.write_files(df, path, BPE, 50256).collect()
+        assert sorted(r.n_tokens for r in token_files.count_tokens(spark, path, 50256).collect()) == [0, 0, 1, 3], i
+    one, two = (sorted(map(tuple, token_files.write_and_count(df, BPE, 50256).collect())) for _ in range(2))
+    assert one == two
+
+
+@pytest.mark.parametrize("block, coalesced", [(1, True), (2, False), (3, False), (7, False), (100, True)])
+def test_scan_stitches_blocks_and_files(spark, tmp_path, block, coalesced):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(coalesced).lower())
     r = random.Random(block)
-    ids = [r.choice([9, 1, 2, 3]) for _ in range(60)]
-    cuts = [0, 13, 13, 40, 45, 60]
+    ids = [r.choice([9, 1, 2, 3]) for _ in range(60)] + [1] * 40
+    cuts = [0, 13, 13, 40, 45, 60, 61, 66, 67, 80, 81, 90, 99]
     for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        (tmp_path / f"{i}.bin").write_bytes(np.array(ids[a:b], dtype="<u2").tobytes())
+        (tmp_path / f"{i:02d}.bin").write_bytes(np.array(ids[a:b], dtype="<u2").tobytes())
     got = [(x.n_tokens, x.ended) for x in token_files.count_tokens(spark, str(tmp_path), 9, block_ids=block).orderBy("file", "ordinal").collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want, n = [], 0
-    for x in ids:
+    for x in ids[:99]:
         if x == 9:
             want.append((n, True))
             n = 0
@@ -529,6 +541,49 @@ def test_language_id_edges(spark):
     assert {r.lang_pred for r in language_id.identify(messy(spark), empty).collect()} == {"und"}
 
 
+def test_language_id_equals_a_plain_version(spark, sf):
+    """Words one by one, without any memo: the average of their n-grams' weights, the bias, the temperature."""
+    import unicodedata
+
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(*language_id.training_sample(df, F.col("doc_id") % 2 == 0))
+    rows = df.select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    for r in rows[:150]:
+        words, word = [], ""
+        for c in (r.text or "") + " ":
+            if unicodedata.category(c)[0] == "L":
+                word += c
+            elif word:
+                words, word = words + [word], ""
+        if not words:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        bucket, _ = language_id.subwords(words)
+        z = (model.weights[bucket].mean(axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(got[r.doc_id].score - p.max()) < 1e-4 and got[r.doc_id].lang_pred == model.labels[int(p.argmax())]
+
+
+def test_language_sample_is_bounded(spark):
+    """A repeated id counts against its label's rows, bytes are shared by labels, and too many labels are an error."""
+    rows = [(1, "the " * 50, "en", "s", 0)] * 300 + [(i, "le chat", "fr", "s", 0) for i in range(50)] + [(None, "x", "fr", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    texts, labels = language_id.training_sample(df, F.lit(True), per_label=100)
+    assert labels.count("en") in (0, 120) and 0 < labels.count("fr") <= 120
+    texts, labels = language_id.training_sample(df, F.lit(True), per_label=1000, most_bytes=2 * 200 * 7)
+    assert labels.count("en") == 7 and labels.count("fr") == 51
+    with pytest.raises(ValueError):
+        language_id.training_sample(df, F.lit(True), max_labels=1)
+
+
+def test_language_id_of_null_ids(spark, tmp_path):
+    df = docs(spark, *["the cat and the dog sat", "le chat et le chien"] * 20).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr"))
+    df.unionByName(spark.createDataFrame([(None, "the dog", "en", "s", 0)], DOCS)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op10_language_id(spark, str(tmp_path)).collect()
+    assert {r.held_out for r in rows if r.doc_id is None} == {False} and {r.held_out for r in rows} == {True, False}
+
+
 # -- SQL and the pipeline -------------------------------------------------------------------------------------------
 
 
