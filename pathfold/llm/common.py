@@ -97,10 +97,10 @@ def fits(kept: DataFrame, most_rows: int, most_bytes: int) -> bool:
 
 
 def dealt_join(rows: DataFrame, side: DataFrame, keys: list[str], salt: Column, most: int = 1024) -> DataFrame:
-    """rows joined with side(keys, many, ...), which has one row for each key and `many`, the number of its rows. Keys with
+    """rows joined with side(keys, many, ...), which has a few rows for each key, and `many`, the number of the key's rows. Keys with
     more than `most` rows are dealt over several tasks by `salt`; their side rows are repeated once for each."""
     parts = F.ceil(F.col("many") / F.lit(most)).cast("int")
-    hot = sized(side.where(F.col("many") > most).select(*keys, parts.alias("_parts")), "hot-keys")
+    hot = sized(side.where(F.col("many") > most).select(*keys, parts.alias("_parts")).distinct(), "hot-keys")
     salted = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(salt, F.lit(3)), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     return salted.join(side.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("many"), [*keys, "_salt"]).drop("_salt")
 

@@ -75,6 +75,19 @@ def test_topk_blocks_merge(spark, monkeypatch):
     test_topk_is_exact(spark, 100, 4, 64)
 
 
+def test_topk_meets_few_parts(spark, monkeypatch):
+    """Many near codes: exact over parts and tiles, with repeats, and a query meets a small share of the parts."""
+    monkeypatch.setattr(hamming_topk, "BLOCK_CODES", 16)
+    test_topk_is_exact(spark, 700, 3, 3)
+    r = np.random.default_rng(3)
+    code = np.resize(r.integers(0, 1 << 63, 100, dtype=np.uint64), 800) ^ (np.uint64(1) << r.integers(0, 63, 800, dtype=np.uint64))
+    rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(code.tolist())], "id long, code long")
+    parts, visits = hamming_topk._Parts(rows, 800, 64, 4), []
+    monkeypatch.setattr(hamming_topk._Parts, "searched", lambda self, v, k, f=hamming_topk._Parts.searched: visits.append(v.count()) or f(self, v, k))
+    found = hamming_topk.top_k(rows, rows.where("id % 10 = 0"), 3)
+    assert found.count() == 240 and parts.lead == 6 and 250 < visits[0] <= 80 * 4 and visits[1] < 0.3 * 80 * 4 * 64
+
+
 def test_topk_edge_cases(spark):
     schema = "vec_id long, embedding array<float>, label int"
     vec = [1.0] * 64
