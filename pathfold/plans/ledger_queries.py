@@ -386,7 +386,7 @@ def ticks_to_usd(spark, sf_dir):
 
 @query(
     "normalize_responses",
-    """WITH r AS (SELECT event_id, event_id % 3 AS shape, user_id AS a, event_id % 17 AS b, CASE WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS t FROM events WHERE event_id % 10 = 0)
+    """WITH r AS (SELECT event_id, event_id % 3 AS shape, user_id AS a, event_id % 17 AS b, CASE WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS t FROM events)
 SELECT event_id, CASE WHEN t <> '' THEN t END AS text, a AS input_tokens, b AS output_tokens, CASE WHEN t <> '' THEN 'completed' WHEN shape = 0 THEN 'output_limit_exhausted' WHEN shape = 1 THEN 'empty_completion' ELSE 'incomplete_response' END AS outcome FROM r""",
 )
 def normalize_responses(spark, sf_dir):

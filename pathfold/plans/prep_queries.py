@@ -121,7 +121,7 @@ def read_part(spark, sf_dir):
     "normalize_sources",
     """SELECT 'choice:' || item_id AS record_id, 'multiple_choice' AS task_type, text AS prompt, NULL AS tests FROM benchmark
 UNION ALL SELECT 'math:' || page_id, 'math', url, NULL FROM pages
-UNION ALL SELECT 'code:' || event_id, 'code', event_type, CAST(json_array_length(json_keys(props)) AS VARCHAR) FROM events WHERE event_id % 50 = 0""".replace(
+UNION ALL SELECT 'code:' || event_id, 'code', event_type, CAST(json_array_length(json_keys(props)) AS VARCHAR) FROM events""".replace(
         "json_array_length(json_keys(props))", "len(json_keys(props))"
     ),
 )
