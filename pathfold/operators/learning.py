@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfold.operators.prep import ranked
+from pathfold.sources.storage import freeze
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 #: Inverse penalties that are tried.
 PENALTIES = (0.1, 1.0, 10.0)
@@ -24,16 +27,78 @@ def terms(text: Column, bigrams: bool = True) -> Column:
     return F.concat(words, pairs)
 
 
-def tfidf(docs: DataFrame, id_col: str, text_col: str, min_df: int = 2, max_features: int = 50_000, bigrams: bool = True) -> DataFrame:
-    """(id, term, w): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of unit length in each document. Terms in fewer than min_df
-    documents go; of the others the max_features most frequent in the corpus stay, ties by term."""
-    n = docs.count()
-    counted = docs.select(id_col, F.explode(terms(F.col(text_col), bigrams)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
-    vocabulary = stats.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
-    weighed = counted.join(vocabulary, "term").withColumn("w", (1 + F.log("tf")) * (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return weighed.select(id_col, "term", (F.col("w") / length).alias("w"))
+def term_counts(docs: DataFrame, id_col: str, text_col: str, bigrams: bool = True) -> DataFrame:
+    """(id, terms, tf): each document's distinct terms with their counts; rows of one id are one document. Texts are dealt by
+    id once, so that counting within a document shuffles nothing more."""
+    each = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).repartition("id").select("id", F.explode(terms(F.col("_text"), bigrams)).alias("term"))
+    counted = each.groupBy("id", "term").agg(F.count("*").alias("tf")).groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("t"))
+    return counted.select("id", F.col("t.term").alias("terms"), F.col("t.tf").alias("tf"))
+
+
+def vocabulary(counted: DataFrame, min_df: int = 2, max_features: int | None = 50_000) -> DataFrame:
+    """(term, df, total): terms in min_df documents or more; of these the max_features most frequent in the corpus, ties by term."""
+    each = counted.select(F.inline(F.arrays_zip("terms", "tf"))).groupBy("terms").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    kept = each.orderBy(F.desc("total"), "terms").limit(max_features) if max_features else each
+    return kept.select(F.col("terms").alias("term"), "df", "total")
+
+
+def numbered(counted: DataFrame, words: list[str], idf: np.ndarray | None = None) -> DataFrame:
+    """(id, columns, values): counts of the terms in `words` by their places there, in order; with idf their TF-IDF weights, of
+    unit length in each document. `words` is broadcast: it is a vocabulary of bounded size."""
+    import pyarrow as pa
+
+    shared = counted.sparkSession.sparkContext.broadcast((pa.array(words, pa.string()), idf))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        known, idf = shared.value
+
+        def weigh(columns, counts):
+            w = (1 + np.log(counts)) * idf[columns]
+            return w / np.sqrt(w @ w) if len(w) else w
+
+        for batch in batches:
+            listed, tf = batch.column(1), batch.column(2)
+            place = pc.fill_null(pc.index_in(listed.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            count, sizes = tf.flatten().to_numpy(zero_copy_only=False).astype(float), np.diff(listed.offsets.to_numpy())
+            ends = np.cumsum(sizes)
+            columns, values = [], []
+            for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                kept = a + np.flatnonzero(place[a:b] >= 0)
+                kept = kept[np.argsort(place[kept])]
+                columns.append(place[kept])
+                values.append(count[kept] if idf is None else weigh(place[kept], count[kept]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["id", "columns", "values"])
+
+    kind = counted.schema["id"].dataType.simpleString()
+    return counted.select("id", "terms", "tf").mapInArrow(run, f"id {kind}, columns array<int>, values array<double>")
+
+
+@dataclass
+class Tfidf:
+    """A fitted vocabulary: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), of unit length in each document."""
+
+    words: list[str]
+    idf: np.ndarray
+
+    @classmethod
+    def fit(cls, counted: DataFrame, n: int, min_df: int = 2, max_features: int = 50_000) -> Tfidf:
+        """On the counts of n documents. The vocabulary goes to the driver: max_features terms at most."""
+        rows = sorted(vocabulary(counted, min_df, max_features).select("term", "df").collect())
+        return cls([r[0] for r in rows], np.log((1.0 + n) / (1 + np.array([r[1] for r in rows], dtype=float))) + 1)
+
+    def transform(self, counted: DataFrame) -> DataFrame:
+        """(id, columns, values) for every document with a term of the vocabulary or another."""
+        return numbered(counted, self.words, self.idf)
+
+
+def tfidf(docs: DataFrame, id_col: str, text_col: str, min_df: int = 2, max_features: int = 50_000, bigrams: bool = True) -> tuple[Tfidf, DataFrame]:
+    """The vocabulary fitted on docs, and (id, columns, values) of each document that has a term."""
+    counted = freeze(term_counts(docs, id_col, text_col, bigrams), "term-counts")
+    fitted = Tfidf.fit(counted, docs.count(), min_df, max_features)
+    return fitted, fitted.transform(counted)
 
 
 def standard_scale(df: DataFrame, fit_on: DataFrame, *columns: str) -> DataFrame:
@@ -76,19 +141,6 @@ def head_probability(features: Column, weights, intercept: float) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def fit_text_head(docs: DataFrame, text_col: str, label_col: str, penalty: float = 1.0, vocabulary: int = 5000):
-    """A head on sparse TF-IDF vectors; returns the model and a function that adds column p to documents."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, Normalizer
-
-    n = docs.count()
-    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2)
-    pipeline = Pipeline(stages=[counts, IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / (penalty * max(n, 1)), maxIter=100)])
-    with_terms = lambda df: df.withColumn("terms", terms(F.col(text_col)))
-    model = pipeline.fit(with_terms(docs).withColumn("y", F.col(label_col).cast("double")))
-    return model, lambda df: model.transform(with_terms(df)).withColumn("p", vector_to_array("probability")[1]).drop("terms", "tf", "idf", "x", "rawPrediction", "probability", "prediction")
-
-
 def token_chunks(tokens: Column, size: int) -> Column:
     """Chunks of at most `size` tokens; without tokens one empty chunk."""
     n = F.size(tokens)
@@ -106,28 +158,11 @@ def pooled(rows: DataFrame, owner: str, vector: str, weight: str) -> DataFrame:
     return listed.select(owner, F.transform("s", lambda s: s["x"]).alias(vector))
 
 
-def stratified_group_folds(groups: list[tuple[str, str, int]], folds: int, seed: int) -> dict[str, int]:
-    """Greedy folds for (group, stratum, rows): groups with the most uneven strata first, each to the fold that keeps the spread
-    of the strata's shares least. `groups` is one row for each group, and must be small enough for the driver; beyond
-    that use the hash-ranked folds of the plans."""
-    import numpy as np
-
-    strata = sorted({s for _, s, _ in groups})
-    names = sorted({g for g, _, _ in groups})
-    counts = {g: np.zeros(len(strata)) for g in names}
-    for g, s, n in groups:
-        counts[g][strata.index(s)] += n
-    total = reduce(lambda a, b: a + b, counts.values()) if counts else np.zeros(len(strata))
-    order = np.random.default_rng(seed).permutation(len(names))
-    ranked = sorted((names[i] for i in order), key=lambda g: -counts[g].std())
-    held, out = np.zeros((folds, len(strata))), {}
-    for g in ranked:
-        best = None
-        for f in range(folds):
-            trial = held.copy()
-            trial[f] += counts[g]
-            key = ((trial / np.maximum(total, 1)).std(axis=0).mean(), trial[f].sum(), f)
-            if best is None or key < best[0]:
-                best = (key, f, trial)
-        out[g], held = best[1], best[2]
-    return out
+def profile_folds(rows: DataFrame, group: str, stratum: str, folds: int, seed: int) -> DataFrame:
+    """(group, fold): whole groups to folds. Groups with the same rows of each stratum are alike; they are dealt round by a hash,
+    beginning at a fold that their profile's hash names, so each fold has as many of them as any other, or one more. Ranks
+    are counted within slices of the hash, so no task sees all groups of a profile."""
+    each = rows.groupBy(group, stratum).agg(F.count("*").alias("n")).groupBy(group).agg(F.sort_array(F.collect_list(F.concat_ws(":", F.col(stratum), F.col("n").cast("string")))).alias("p"))
+    profiles = each.select(group, F.sha2(F.array_join("p", "|"), 256).alias("profile"), F.sha2(F.concat(F.lit(f"{seed}:profile:"), F.col(group)), 256).alias("order"))
+    first = F.conv(F.substring("profile", 1, 8), 16, 10).cast("bigint")
+    return ranked(profiles, ["profile"], "order", group).select(group, ((first + F.col("rank") - 1) % folds).cast("int").alias("fold"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfold.functions.unicode_text import normalize_exact
 from pathfold.sources.storage import ensure_checkpoints
 
 #: Texts with which a failed generation begins (compared after trimming and lower-casing).
@@ -82,11 +83,18 @@ def normalized_text(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))
 
 
+def exact_text(text: Column) -> Column:
+    """NFKC, case folding and collapsed white space. Texts in ASCII only need built-in functions; the others go to a pandas UDF."""
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, normalize_exact(F.when(other, text))).otherwise(normalized_text(text))
+
+
 def leakage_groups(prompts: DataFrame, *keys: str) -> DataFrame:
     """Connected components of prompts that share any of the normalised keys, named by the SHA-256 of the smallest
-    prompt_id. Labels move over keys until none changes; each round is checkpointed. Empty keys join nothing."""
+    prompt_id. Labels move over digests of the keys until none changes; each round is checkpointed. Empty keys join nothing."""
     ensure_checkpoints(prompts.sparkSession)
-    edges = reduce(DataFrame.unionByName, [prompts.select("prompt_id", F.concat(F.lit(f"{i}:"), normalized_text(F.col(k))).alias("key")).where(F.length("key") > 2) for i, k in enumerate(keys)])
+    normal = [prompts.select("prompt_id", F.lit(str(i)).alias("i"), exact_text(F.col(k)).alias("text")).where(F.length("text") > 0) for i, k in enumerate(keys)]
+    edges = reduce(DataFrame.unionByName, normal).select("prompt_id", F.unhex(F.substring(F.sha2(F.concat_ws(":", "i", "text"), 256), 1, 32)).alias("key"))
     edges = edges.distinct().checkpoint()
     labels = prompts.select("prompt_id", F.col("prompt_id").alias("label"))
     while True:
@@ -107,14 +115,25 @@ def group_strata(prompts: DataFrame) -> DataFrame:
     return prompts.groupBy("leakage_group").agg(F.array_join(F.sort_array(F.collect_set("dataset")), "|").alias("stratum"))
 
 
+def ranked(rows: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
+    """rows with `rank` from 1 within keys by (order, tie), order being a hexadecimal digest. Rows are counted by the digest's
+    first three digits, and ranked within them: a key is cut into 4,096 even slices, so one key may hold all rows."""
+    part = rows.withColumn("_slice", F.substring(order, 1, 3))
+    counts = part.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(order, tie))
+    joined = part.withColumn("rank", within).join(counts.withColumn("_before", before), [*keys, "_slice"])
+    return joined.withColumn("rank", (F.col("rank") + F.col("_before")).cast("int")).drop("_slice", "_n", "_before")
+
+
 def hash_rank(groups: DataFrame, seed: int, regime: str) -> DataFrame:
-    order = Window.partitionBy("stratum").orderBy(F.sha2(F.concat(F.lit(f"{seed}:{regime}:"), "leakage_group"), 256), "leakage_group")
-    return groups.withColumn("rank", F.row_number().over(order))
+    order = F.sha2(F.concat(F.lit(f"{seed}:{regime}:"), "leakage_group"), 256)
+    return ranked(groups.withColumn("_order", order), ["stratum"], "_order", "leakage_group").select(*groups.columns, "rank")
 
 
-def apportioned(ranked: DataFrame, fractions: tuple[float, ...], labels: tuple[str, ...]) -> DataFrame:
+def apportioned(ranks: DataFrame, fractions: tuple[float, ...], labels: tuple[str, ...]) -> DataFrame:
     """Whole groups to labels by largest remainder within each stratum; earlier labels win ties."""
-    sized = ranked.withColumn("n", F.count("*").over(Window.partitionBy("stratum")))
+    sized = ranks.join(ranks.groupBy("stratum").agg(F.count("*").alias("n")), "stratum")
     ideal = [F.col("n") * F.lit(f) for f in fractions]
     base = [F.floor(x) for x in ideal]
     rest = [x - b for x, b in zip(ideal, base, strict=True)]

@@ -7,9 +7,10 @@ group sha256(seed:replicate:stratum:k) mod n, so any engine makes the same draws
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathfold.operators.prep import ranked
 from pathfold.sources.storage import freeze
 
 #: Fixed value: parts over which the replicates of all strata are dealt.
@@ -19,7 +20,15 @@ PARTS = 128
 def group_sums(rows: DataFrame, values: list[str], *keys: str) -> DataFrame:
     """(keys, stratum, text_group, n, values...) and each group's number in its stratum."""
     sums = rows.groupBy(*keys, F.col("dataset").alias("stratum"), "text_group").agg(F.count("*").alias("n"), *[F.sum(v).alias(v) for v in values])
-    return sums.withColumn("g", F.row_number().over(Window.partitionBy(*keys, "stratum").orderBy("text_group")) - 1)
+    return numbered(sums, *keys)
+
+
+def numbered(sums: DataFrame, *keys: str) -> DataFrame:
+    """sums(stratum, text_group, ...) with g, the number of its group in its stratum from 0, whatever else tells rows apart. A
+    stratum may hold any number of groups: they are counted by slices of their digests."""
+    groups = sums.select(*keys, "stratum", "text_group").distinct()
+    ranks = ranked(groups, [*keys, "stratum"], "text_group", "text_group").withColumn("g", F.col("rank") - 1).drop("rank")
+    return sums.join(ranks, [*keys, "stratum", "text_group"])
 
 
 def multiplicities(groups: DataFrame, replicates: int, seed: int) -> DataFrame:

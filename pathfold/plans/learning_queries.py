@@ -21,15 +21,15 @@ tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) A
 
 @query("tfidf", _TERMS_SQL + "SELECT doc_id, count(*) AS terms, round(sum(w), 6) AS weight, round(max(w), 6) AS heaviest FROM tfidf GROUP BY 1")
 def tfidf(spark, sf_dir):
-    rows = learning.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 6).alias("weight"), F.round(F.max("w"), 6).alias("heaviest"))
+    _, rows = learning.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text")
+    weight = F.aggregate("values", F.lit(0.0), lambda acc, x: acc + x)
+    return rows.where(F.size("columns") > 0).select(F.col("id").alias("doc_id"), F.size("columns").cast("bigint").alias("terms"), F.round(weight, 6).alias("weight"), F.round(F.array_max("values"), 6).alias("heaviest"))
 
 
-@query("tfidf_vocabulary", _TERMS_SQL + "SELECT term, df, CAST(total AS BIGINT) AS total FROM voc ORDER BY total DESC, term LIMIT 500")
+@query("tfidf_vocabulary", _TERMS_SQL + "SELECT term, df, CAST(total AS BIGINT) AS total FROM voc")
 def tfidf_vocabulary(spark, sf_dir):
-    """The 500 most frequent terms (a top-k report)."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(learning.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where("df >= 2").orderBy(F.desc("total"), "term").limit(500)
+    """The whole vocabulary: 50,000 terms at most."""
+    return learning.vocabulary(learning.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 @query("standard_scale", "WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS d FROM lineitem WHERE l_linenumber < 4) SELECT l_returnflag, l_linestatus, round(sum((l_quantity - m) / d), 5) AS scaled, round(sum(((l_quantity - m) / d) ** 2), 5) AS squared FROM lineitem, s GROUP BY ALL")
@@ -39,14 +39,6 @@ def standard_scale(spark, sf_dir):
     return scaled.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 5).alias("scaled"), F.round(F.sum(F.col("l_quantity") * F.col("l_quantity")), 5).alias("squared"))
 
 
-@query("select_c", "SELECT c FROM (SELECT [0.1e0, 1e0, 10e0][1 + event_id % 3] AS c, avg(round(value)) AS loss FROM events GROUP BY 1) ORDER BY loss, c LIMIT 1")
-def select_c(spark, sf_dir):
-    """Least mean loss over folds and heads; ties to the smaller C."""
-    c = F.element_at(F.array(*[F.lit(x) for x in learning.PENALTIES]), (F.col("event_id") % 3 + 1).cast("int"))
-    losses = table(spark, sf_dir, "events").groupBy(c.alias("c")).agg(F.avg(F.round("value")).alias("loss"))
-    return losses.agg(F.min(F.struct("loss", "c"))["c"].alias("c"))
-
-
 @query("token_chunks", r"SELECT doc_id, greatest(1, (len(w) + 127) // 128) AS chunks, CAST(len(w) - 128 * (greatest(1, (len(w) + 127) // 128) - 1) AS BIGINT) AS last_size FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents)")
 def token_chunks(spark, sf_dir):
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
@@ -72,17 +64,6 @@ def dense_families(spark, sf_dir):
     return rows.select("vec_id", F.size("x").alias("width"), F.round(F.col("x")[0], 6).alias("first"), F.element_at("x", -2).cast("bigint").alias("characters"))
 
 
-@query("text_head")
-def text_head(spark, sf_dir):
-    """Quality labels learned from text: prevalence, accuracy and log loss of a head on the rows it has not seen."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
-    train, test = rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0")
-    _, predict = learning.fit_text_head(train, "text", "quality")
-    p = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
-    y = F.col("quality")
-    return predict(test).agg(F.count("*").alias("n"), F.avg(y).alias("prevalence"), F.avg(((F.col("p") >= 0.5) == (y == 1)).cast("int")).alias("accuracy"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
-
-
 @query("feature_head")
 def feature_head(spark, sf_dir):
     """A head with a penalised intercept on scaled features."""

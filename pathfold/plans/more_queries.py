@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfold.functions.text import prompt_features
 from pathfold.functions.unicode_text import normalize_exact
-from pathfold.operators import learning, prep, routing
+from pathfold.operators import heads, learning, prep, routing
 from pathfold.plans.bridge import BASE_SQL, MODEL_IDS, REFERENCE, SEED, pool, prompts, table
 from pathfold.plans.prep_queries import crossfit_roles, outcomes, parts
 from pathfold.plans.registry import query
-from pathfold.plans.routing_queries import CAND_SQL, pools, training_costs_of
+from pathfold.plans.routing_queries import CAND_SQL, GRID_SQL, POLICIES, pools, training_costs_of
+from pathfold.sources.storage import freeze
 
 # -- scalars --------------------------------------------------------------------------------------------------------
 
@@ -124,98 +124,155 @@ def oracle_targets(spark, sf_dir):
     return pools(spark, sf_dir).select("prompt_id", (F.size(solved) > 0).alias("any_success"), first["model_id"].alias("cheapest_success"), back["model_id"].alias("fallback"), F.round(F.coalesce(first["cost"], back["cost"]), 9).alias("cost"))
 
 
-@query("route_requests")
-def route_requests(spark, sf_dir):
-    """Label-free inference: requests with text only are scored by heads that were fitted on outcomes, then routed."""
-    heads, scale = _fitted(spark, sf_dir)
-    requests = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_id"), F.col("text").alias("prompt"))
-    x = _features(requests, scale)
-    entries = F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(i).alias("idx"), F.lit(c).alias("c"), learning.head_probability(F.col("x"), w, b).alias("p"), F.lit(0.0).alias("y"), F.lit(0.0).alias("cost")) for i, (m, (c, w, b)) in enumerate(heads.items())])
-    it = routing.threshold(F.col("pool"), F.lit(0.7))
-    return x.select("prompt_id", entries.alias("pool")).select("prompt_id", it["model_id"].alias("model_id"), it["p"].alias("p"))
+# -- heads ----------------------------------------------------------------------------------------------------------
 
+#: The numeric features of a prompt, in order.
+NAMES = (
+    "character_length", "word_count", "token_estimate", "line_count", "code_fence_count", "contains_code", "contains_math", "answer_choice_count",
+    "digit_count", "question_mark_count", "punctuation_count", "comma_count", "period_count", "colon_count", "semicolon_count", "bracket_count",
+)
 
-NAMES = ("word_count", "line_count", "comma_count", "period_count")
 
+def _outcomes(spark, sf_dir, split: str = "train") -> DataFrame:
+    """(id, dataset, text_group, labels): a prompt's success by candidate."""
+    rows = parts(spark, sf_dir).where(F.col("split") == split)
+    entry = F.struct("model_id", F.col("success").cast("double"))
+    return rows.groupBy(F.col("prompt_id").alias("id"), "dataset", "text_group").agg(F.map_from_entries(F.collect_list(entry)).alias("labels"))
 
-def _features(rows: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
-    f = prompt_features(F.col("prompt"))
-    return rows.withColumn("x", F.array(*[(f[n].cast("double") - scale[n][0]) / (scale[n][1] or 1.0) for n in NAMES]))
 
+def _texts(spark, sf_dir) -> DataFrame:
+    return prompts(spark, sf_dir).select(F.col("prompt_id").alias("id"), "prompt")
 
-def _scale(rows: DataFrame) -> dict[str, tuple[float, float]]:
-    f = prompt_features(F.col("prompt"))
-    stats = rows.select(*[f[n].cast("double").alias(n) for n in NAMES]).agg(*[g(n).alias(f"{n}_{k}") for n in NAMES for k, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    return {n: (stats[f"{n}_m"] or 0.0, stats[f"{n}_s"] or 1.0) for n in NAMES}
+
+@query("text_head")
+def text_head(spark, sf_dir):
+    """Eight heads on TF-IDF of the training prompts (50,000 terms), with C = 1: accuracy and log loss on the test prompts."""
+    counted = freeze(learning.term_counts(_texts(spark, sf_dir), "id", "prompt"), "term-counts")
+    train, test = freeze(_outcomes(spark, sf_dir), "train"), _outcomes(spark, sf_dir, "test")
+    own = counted.join(train.select("id"), "id", "left_semi")
+    fitted = learning.Tfidf.fit(own, train.count())
+    sample = heads.sampled(fitted.transform(own).join(train, "id"), MODEL_IDS)
+    models = heads.fitted_heads(spark, sample, MODEL_IDS, len(fitted.words)).collect()  # one row for each head
+    models = sorted(models, key=lambda r: MODEL_IDS.index(r.model_id))
+    scored = heads.probabilities(fitted.transform(counted.join(test.select("id"), "id", "left_semi")), models).join(test, "id")
+    each = F.array(*[F.struct(F.lit(m).alias("model_id"), F.get("p", i).alias("p"), F.element_at("labels", F.lit(m)).alias("y")) for i, m in enumerate(MODEL_IDS)])
+    p, y = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6)), F.col("y")
+    rows = scored.select(F.inline(each)).groupBy("model_id")
+    return rows.agg(F.count("*").alias("n"), F.avg("y").alias("prevalence"), F.avg(((F.col("p") >= 0.5) == (y == 1)).cast("int")).alias("accuracy"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
 
 
-def _fitted(spark, sf_dir, keep=None, penalty: float = 1.0) -> tuple[dict, dict]:
-    """One head for each pool model on the training split; the pool has a fixed size, so this loop does."""
-    train = parts(spark, sf_dir).where("split = 'train'")
-    train = train.where(keep) if keep is not None else train
-    texts = prompts(spark, sf_dir).select("prompt_id", "prompt")
-    scale = _scale(texts.join(train.select("prompt_id").distinct(), "prompt_id", "left_semi"))
-    rows = _features(texts, scale).select("prompt_id", "x").join(train.select("prompt_id", "model_id", "success", "cost_usd"), "prompt_id").persist()
-    heads = {}
-    for m in MODEL_IDS:
-        own = rows.where(F.col("model_id") == m)
-        cost = own.agg(F.avg("cost_usd")).first()[0] or 0.0
-        heads[m] = (cost, *learning.fit_head(own.select(F.col("prompt_id").alias("id"), F.col("x").alias("features"), F.col("success").cast("double").alias("label")), penalty))
-    rows.unpersist()
-    return heads, scale
+def _counts(spark, sf_dir, rows: DataFrame, *marks: str) -> heads.Rows:
+    """The bounded sample of rows(id, labels, marks) with the counts of all terms that two of their prompts hold."""
+    counted = learning.term_counts(_texts(spark, sf_dir).join(rows.select("id"), "id", "left_semi"), "id", "prompt")
+    counted = freeze(counted, "term-counts")
+    ids = [r[0] for r in rows.select("id").orderBy(F.xxhash64("id"), "id").limit(heads.MOST_ROWS).collect()]
+    own = counted.where(F.col("id").isin(ids)) if len(ids) < 1000 else counted.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "id string")), "id", "left_semi")
+    words = sorted(r[0] for r in learning.vocabulary(own, 2, heads.MOST_TERMS).select("term").collect())
+    return heads.sampled(learning.numbered(own, words).join(rows, "id"), MODEL_IDS, marks)
 
 
-def _loss(rows: DataFrame, weights, intercept: float):
-    p = F.least(F.greatest(learning.head_probability(F.col("x"), weights, intercept), F.lit(1e-6)), F.lit(1 - 1e-6))
-    return rows.agg(F.avg(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)))).first()[0]
+def _cv_rows(spark, sf_dir) -> DataFrame:
+    """Loss of every head on every fold for every penalty; vocabulary and frequencies are those of the fold's other prompts."""
+    folds = crossfit_roles(spark, sf_dir).select(F.col("prompt_id").alias("id"), "own").distinct()
+    rows = _counts(spark, sf_dir, freeze(_outcomes(spark, sf_dir).join(folds, "id").withColumn("own", F.col("own").cast("int")), "cv-rows"), "own")
+    tasks = spark.createDataFrame([(fold, i, m) for fold in range(5) for i, m in enumerate(MODEL_IDS)], "fold int, i int, model_id string")
+
+    def work(rows: heads.Rows, task: dict) -> list[tuple]:
+        out = np.equal(rows.marks["own"], task["fold"])
+        raw, scored = rows.take(~out), rows.take(out)
+        weigh, width = heads.weighed(rows, raw), int(rows.columns.max(initial=-1)) + 1
+        fit, score = weigh(raw), weigh(scored)
+        y, weights, result = score.labels[:, task["i"]], None, []
+        for c in learning.PENALTIES:  # each begins where the one before ended
+            weights, prevalence = heads.fit_one(fit, task["i"], c, width, weights)
+            loss = heads.log_loss(y, heads.predicted(score, weights, prevalence, width))
+            result.append((task["fold"], c, task["model_id"], len(y), loss, weights is None))
+        return result
+
+    return heads.each(spark, tasks, rows, work, "fold int, c double, model_id string, n_score long, log_loss double, constant_fallback boolean")
 
 
 @query("cv_losses")
 def cv_losses(spark, sf_dir):
-    """Log loss of one head on each fold's validation part, for each penalty: the table that selects C."""
-    texts = prompts(spark, sf_dir).select("prompt_id", "prompt")
-    rows = _features(texts, _scale(texts)).select("prompt_id", "x").join(parts(spark, sf_dir).where("model_id = 'm3'").select("prompt_id", F.col("success").cast("double").alias("y")), "prompt_id")
-    rows = rows.join(crossfit_roles(spark, sf_dir).select("prompt_id", "fold", "role"), "prompt_id").persist()
-    out = []
-    for fold in range(2):
-        own = rows.where(F.col("fold") == fold)
-        train = own.where("role = 'train'").select(F.col("prompt_id").alias("id"), F.col("x").alias("features"), F.col("y").alias("label"))
-        for c in learning.PENALTIES:
-            out.append((fold, c, _loss(own.where("role = 'validation'"), *learning.fit_head(train, c))))
-    rows.unpersist()
-    return spark.createDataFrame(out, "fold int, c double, log_loss double")
+    """Five folds inside training, three penalties, eight heads: the table that selects C."""
+    return _cv_rows(spark, sf_dir)
+
+
+@query("select_c")
+def select_c(spark, sf_dir):
+    """Least mean loss over all folds and heads; ties to the smaller C."""
+    losses = _cv_rows(spark, sf_dir).groupBy("c").agg(F.avg("log_loss").alias("log_loss"))
+    return losses.agg(F.min(F.struct("log_loss", "c")).alias("it")).select("it.c", "it.log_loss")
 
 
 @query("holdout_fits")
 def holdout_fits(spark, sf_dir):
-    """Leave one dataset out: a head fitted on the others, scored on it."""
-    texts = prompts(spark, sf_dir).select("prompt_id", "prompt")
-    rows = _features(texts, _scale(texts)).select("prompt_id", "x").join(parts(spark, sf_dir).where("model_id = 'm3' AND split = 'train'").select("prompt_id", "dataset", F.col("success").cast("double").alias("y")), "prompt_id").persist()
-    out = []
-    for name in sorted(r[0] for r in rows.select("dataset").distinct().limit(100).collect()):
-        weights, intercept = learning.fit_head(rows.where(F.col("dataset") != name).select(F.col("prompt_id").alias("id"), F.col("x").alias("features"), F.col("y").alias("label")), 1.0)
-        out.append((name, _loss(rows.where(F.col("dataset") == name), weights, intercept)))
-    rows.unpersist()
-    return spark.createDataFrame(out, "held_out string, log_loss double")
-
-
-@query("replay_check")
+    """Leave each dataset out in turn: every head fitted on the others (C = 1), scored on it."""
+    train = freeze(_outcomes(spark, sf_dir), "holdout-rows")
+    rows = _counts(spark, sf_dir, train, "dataset")
+    numbers = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("model_id")) for i, m in enumerate(MODEL_IDS)])).alias("head")
+    tasks = train.select("dataset").distinct().select(F.col("dataset").alias("held_out"), numbers).select("held_out", "head.*")
+
+    def work(rows: heads.Rows, task: dict) -> list[tuple]:
+        out = np.equal(rows.marks["dataset"], task["held_out"])
+        raw, scored = rows.take(~out), rows.take(out)
+        weigh, width = heads.weighed(rows, raw), int(rows.columns.max(initial=-1)) + 1
+        weights, prevalence = heads.fit_one(weigh(raw), task["i"], 1.0, width)
+        score = weigh(scored)
+        y = score.labels[:, task["i"]]
+        return [(task["held_out"], task["model_id"], len(y), heads.log_loss(y, heads.predicted(score, weights, prevalence, width)))]
+
+    return heads.each(spark, tasks, rows, work, "held_out string, model_id string, n_score long, log_loss double")
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    f = prompt_features(F.col("prompt"))
+    return rows.select("id", F.array(*[f[n].cast("double") for n in NAMES]).alias("x"))
+
+
+def _scaled(rows: DataFrame, means: list[float], deviations: list[float]) -> DataFrame:
+    x = F.array(*[(F.get("x", i) - m) / (d or 1.0) for i, (m, d) in enumerate(zip(means, deviations, strict=True))])
+    return rows.select("id", *heads.dense(x))
+
+
+@query("route_requests")
+def route_requests(spark, sf_dir):
+    """Label-free inference: requests with text only are scored by the eight heads that training outcomes gave, on the sixteen
+    scaled features, then routed at a threshold of 0.7."""
+    train = freeze(_outcomes(spark, sf_dir), "train")
+    known = freeze(_features(_texts(spark, sf_dir).join(train.select("id"), "id", "left_semi")), "features")
+    stats = known.agg(*[g(F.get("x", i)).alias(f"{k}{i}") for i in range(len(NAMES)) for k, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    means, deviations = [stats[f"m{i}"] or 0.0 for i in range(len(NAMES))], [stats[f"s{i}"] or 1.0 for i in range(len(NAMES))]
+    sample = heads.sampled(_scaled(known, means, deviations).join(train, "id"), MODEL_IDS)
+    models = {r.model_id: r for r in heads.fitted_heads(spark, sample, MODEL_IDS, len(NAMES)).collect()}
+    costs = {r.model_id: r.c for r in training_costs_of(parts(spark, sf_dir)).collect()}  # a row for each head
+    requests = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("prompt"))
+    scored = heads.probabilities(_scaled(_features(requests), means, deviations), [models[m] for m in MODEL_IDS])
+    entries = F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(i).alias("idx"), F.lit(costs.get(m, 0.0)).alias("c"), F.get("p", i).alias("p"), F.lit(0.0).alias("y"), F.lit(0.0).alias("cost")) for i, m in enumerate(MODEL_IDS)])
+    it = routing.threshold(F.col("pool"), F.lit(0.7))
+    return scored.select("id", entries.alias("pool")).select(F.col("id").alias("prompt_id"), it["model_id"].alias("model_id"), it["p"].alias("p"))
+
+
+@query("replay_check", GRID_SQL + "SELECT run, (SELECT count(*) FROM vacts) AS n, true AS same FROM (VALUES (1), (2)) r(run)")
 def replay_check(spark, sf_dir):
-    """The same plan twice has the same rows: an order-independent digest of each run."""
-    runs = [F.lit(i).alias("run") for i in (1, 2)]
-    cells = lambda: routing.grid_actions(pools(spark, sf_dir), routing.grid(MODEL_IDS)[:12], REFERENCE).select("prompt_id", "policy_id", "it.model_id")
-    return reduce(DataFrame.unionByName, [cells().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("prompt_id", "policy_id", "model_id")).alias("digest")).select(r, "n", "digest") for r in runs])
+    """The same plan twice has the same rows: an order-independent digest of each run of the whole grid, and whether both agree."""
+    cells = lambda: routing.grid_actions(pools(spark, sf_dir), POLICIES, REFERENCE).select("prompt_id", "policy_id", "it.model_id")
+    runs = [cells().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("prompt_id", "policy_id", "model_id")).alias("digest")).select(F.lit(i).alias("run"), "n", "digest") for i in (1, 2)]
+    both = runs[0].unionByName(runs[1])
+    return both.withColumn("same", F.min("digest").over(Window.partitionBy()) == F.max("digest").over(Window.partitionBy())).select("run", "n", "same")  # two rows
+
+
+_PROFILE_SQL = f""", profiles AS (SELECT text_group, sha256(string_agg(dataset || ':' || n, '|' ORDER BY dataset || ':' || n)) AS profile, sha256('{SEED}:profile:' || text_group) AS o
+  FROM (SELECT text_group, dataset, count(*) AS n FROM keyed GROUP BY ALL) GROUP BY 1),
+dealt AS (SELECT text_group, (CAST('0x' || substr(profile, 1, 8) AS BIGINT) + row_number() OVER (PARTITION BY profile ORDER BY o, text_group) - 1) % 5 AS fold FROM profiles)
+"""
 
 
-@query("greedy_folds")
-def greedy_folds(spark, sf_dir):
-    """Five greedy stratified group folds of the text groups; the group table goes to the driver behind a check of its size."""
+@query("profile_folds", BASE_SQL + _PROFILE_SQL + "SELECT CAST(fold AS INT) AS fold, dataset, count(*) AS prompts, count(DISTINCT text_group) AS groups FROM dealt JOIN keyed USING (text_group) GROUP BY ALL")
+def profile_folds(spark, sf_dir):
+    """Five stratified folds of whole text groups, by one method at every size."""
     from pathfold.plans.prep_queries import text_groups
 
-    groups = text_groups(spark, sf_dir).groupBy("text_group", "dataset").agg(F.count("*").alias("n"))
-    most = 200_000
-    rows = groups.limit(most + 1).collect()
-    if len(rows) > most:
-        return crossfit_roles(spark, sf_dir).groupBy("own").agg(F.countDistinct("prompt_id").alias("prompts")).select(F.col("own").cast("int").alias("fold"), "prompts")
-    folds = learning.stratified_group_folds([(r[0], r[1], r[2]) for r in rows], 5, SEED)
-    return spark.createDataFrame([(folds[r[0]], r[2]) for r in rows], "fold int, n long").groupBy("fold").agg(F.sum("n").alias("prompts"))
+    rows = text_groups(spark, sf_dir)
+    folds = learning.profile_folds(rows, "text_group", "dataset", 5, SEED)
+    return rows.join(folds, "text_group").groupBy("fold", "dataset").agg(F.count("*").alias("prompts"), F.countDistinct("text_group").alias("groups"))

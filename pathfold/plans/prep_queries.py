@@ -426,9 +426,37 @@ def ood_split(spark, sf_dir):
     return prep.ood_split(grouped_prompts(spark, sf_dir), SEED, (HELD_OUT,))
 
 
-@query("split_violations", BASE_SQL + "SELECT text_group, count(DISTINCT split) AS splits FROM split_of GROUP BY 1 HAVING count(DISTINCT split) > 1")
+_STANDARD_SQL = f"""SELECT 'standard' AS regime, g.prompt_id, g.dataset, g.leakage_group, s.label AS split FROM grouped g JOIN ({_apportion_sql('strata', 'standard', (0.7, 0.15, 0.15), ('train', 'validation', 'test'))}) s USING (leakage_group)"""
+_TESTED_SQL = f""", tested AS (SELECT DISTINCT leakage_group FROM grouped WHERE dataset = '{HELD_OUT}'),
+rest AS (SELECT leakage_group, string_agg(DISTINCT dataset, '|' ORDER BY dataset) AS stratum FROM grouped WHERE leakage_group NOT IN (SELECT leakage_group FROM tested) GROUP BY 1)
+"""
+_OOD_SQL = f"""SELECT 'ood' AS regime, g.prompt_id, g.dataset, g.leakage_group, CASE WHEN dataset = '{HELD_OUT}' THEN 'test' ELSE coalesce(s.label, 'excluded_overlap') END AS split
+FROM grouped g LEFT JOIN ({_apportion_sql('rest', 'ood', (0.85, 0.15), ('train', 'validation'))}) s USING (leakage_group)"""
+
+
+@query(
+    "split_violations",
+    BASE_SQL
+    + _GROUPS_SQL
+    + _TESTED_SQL
+    + f""", both_ AS ({_STANDARD_SQL} UNION ALL {_OOD_SQL}),
+crossing AS (SELECT regime, count(*) AS n FROM (SELECT regime, leakage_group FROM both_ WHERE split <> 'excluded_overlap' GROUP BY ALL HAVING count(DISTINCT split) > 1) GROUP BY 1)
+SELECT b.regime, count(*) AS prompts, count(DISTINCT prompt_id) - (SELECT count(*) FROM prompts) AS keys_off, coalesce(any_value(c.n), 0) AS crossing_groups,
+  count(*) FILTER (b.regime = 'ood' AND dataset = '{HELD_OUT}' AND split <> 'test') AS held_out_elsewhere, count(*) FILTER (split = 'excluded_overlap') AS excluded
+FROM both_ b LEFT JOIN crossing c USING (regime) GROUP BY 1""",
+)
 def split_violations(spark, sf_dir):
-    return split_of(spark, sf_dir).groupBy("text_group").agg(F.countDistinct("split").alias("splits")).where("splits > 1")
+    """The checks of both splits: every prompt once, no group in two parts, the held-out dataset in test only."""
+    rows = grouped_prompts(spark, sf_dir)
+    standard = prep.standard_split(rows, SEED).select(F.lit("standard").alias("regime"), "prompt_id", "dataset", "leakage_group", F.col("standard_split").alias("split"))
+    both = standard.unionByName(prep.ood_split(rows, SEED, (HELD_OUT,)).select(F.lit("ood").alias("regime"), "prompt_id", "dataset", "leakage_group", F.col("ood_split").alias("split")))
+    excluded = F.col("split") == "excluded_overlap"
+    crossing = both.where(~excluded).groupBy("regime", "leakage_group").agg(F.countDistinct("split").alias("d")).groupBy("regime").agg(F.count_if(F.col("d") > 1).alias("crossing_groups"))
+    held = (F.col("regime") == "ood") & (F.col("dataset") == HELD_OUT) & (F.col("split") != "test")
+    counts = both.groupBy("regime").agg(F.count("*").alias("prompts"), F.countDistinct("prompt_id").alias("keys"), F.count_if(held).alias("held_out_elsewhere"), F.count_if(excluded).alias("excluded"))
+    expected = prompts(spark, sf_dir).agg(F.count("*").alias("expected"))
+    joined = counts.join(crossing, "regime", "left").crossJoin(F.broadcast(expected))  # one row
+    return joined.select("regime", "prompts", (F.col("keys") - F.col("expected")).alias("keys_off"), F.coalesce("crossing_groups", F.lit(0)).alias("crossing_groups"), "held_out_elsewhere", "excluded")
 
 
 @query("split_counts", BASE_SQL + "SELECT dataset, split, count(*) AS n FROM split_of GROUP BY ALL")
@@ -446,8 +474,8 @@ roles AS (SELECT k.prompt_id, k.dataset, f.fold AS own, r.fold, CASE WHEN f.fold
 def crossfit_roles(spark, sf_dir):
     keyed = text_groups(spark, sf_dir)
     groups = keyed.select("dataset", "text_group").distinct()
-    order = Window.partitionBy("dataset").orderBy(F.sha2(F.concat(F.lit(f"{SEED}:fold:"), "text_group"), 256), "text_group")
-    folds = groups.withColumn("own", ((F.row_number().over(order) - 1) % 5).cast("bigint"))
+    ordered = groups.withColumn("order", F.sha2(F.concat(F.lit(f"{SEED}:fold:"), "text_group"), 256))
+    folds = prep.ranked(ordered, ["dataset"], "order", "text_group").select("dataset", "text_group", ((F.col("rank") - 1) % 5).cast("bigint").alias("own"))
     rows = keyed.join(folds, ["dataset", "text_group"]).select("prompt_id", "dataset", "own", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(5)])).alias("fold"))
     return rows.withColumn("role", F.when(F.col("own") == F.col("fold"), "test").when(F.col("own") == (F.col("fold") + 1) % 5, "validation").otherwise("train"))
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathfold.operators import novelty, routing
 from pathfold.operators import uncertainty as unc
 from pathfold.plans.bridge import MODEL_IDS, REFERENCE, SEED, table
+from pathfold.plans.prep_queries import parts
 from pathfold.plans.registry import query
-from pathfold.plans.routing_queries import _PAIR_SQL, GRID_SQL, pairs, pools
+from pathfold.plans.routing_queries import _PAIR_SQL, GRID_SQL, actions, best_single_of, pairs, pools, summary
 from pathfold.sources.storage import freeze
 
 REPLICATES = 2000
@@ -110,7 +111,7 @@ def joint_bounds_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = freeze(rows.groupBy("block", "policy_id", F.col("dataset").alias("stratum"), "text_group").agg(F.count("*").alias("n"), F.sum("delta").alias("delta")), "group-sums")
     parts_ = []
     for block in ("ordinary", "source_holdout"):
-        own = sums.where(F.col("block") == block).withColumn("g", F.dense_rank().over(Window.partitionBy("stratum").orderBy("text_group")) - 1)
+        own = unc.numbered(sums.where(F.col("block") == block))
         means = unc.replicate_means(own, ["delta"], REPLICATES, SEED, "block", "policy_id")
         parts_.append((means, unc.observed_means(own, ["delta"], "block", "policy_id")))
     means, observed = freeze(parts_[0][0].unionByName(parts_[1][0]), "replicates"), parts_[0][1].unionByName(parts_[1][1])
@@ -170,49 +171,82 @@ def select_joint(spark, sf_dir):
 
 _SIM_SQL = (
     GRID_SQL
-    + """, vs AS (SELECT a.policy_id || '|' || b.policy_id AS policy_id, a.prompt_id, a.dataset, a.text_group, a.y - b.y AS delta FROM vacts a JOIN vacts b USING (prompt_id)
-  WHERE a.policy_id IN ('threshold_0.60', 'threshold_0.70', 'threshold_0.80') AND starts_with(b.policy_id, 'static_'))"""
+    + ", vs AS (SELECT policy_id, dataset, text_group, y AS delta FROM vacts)"
     + _bounds_sql("vs", "policy_id")
-    + """, kept AS (SELECT * FROM centred WHERE starts_with(metric, '__')), tops AS (SELECT replicate, greatest(max(t), 0) AS t FROM kept GROUP BY 1)
-, bounds AS (SELECT policy_id, metric, delta, se, delta - (SELECT quantile_cont(t, 0.95) FROM tops) * se AS lower FROM errors WHERE starts_with(metric, '__'))
+    + """, levels AS (SELECT * FROM means WHERE starts_with(metric, '__')),
+diffs AS (SELECT a.policy_id, b.policy_id AS other, metric, replicate, a.v - b.v AS v FROM levels a JOIN levels b USING (metric, replicate) WHERE starts_with(b.policy_id, 'static_')),
+deltas AS (SELECT a.policy_id, b.policy_id AS other, metric, a.delta - b.delta AS delta FROM obs a JOIN obs b USING (metric) WHERE starts_with(metric, '__') AND starts_with(b.policy_id, 'static_')),
+ses AS (SELECT d.*, s.se FROM deltas d JOIN (SELECT policy_id, other, metric, stddev_samp(v) AS se FROM diffs GROUP BY ALL) s USING (policy_id, other, metric)),
+tops AS (SELECT replicate, greatest(max(CASE WHEN se > 1e-9 THEN (v - delta) / se ELSE 0 END), 0) AS t FROM diffs JOIN ses USING (policy_id, other, metric) GROUP BY 1),
+bounds AS (SELECT policy_id, other, metric, delta, se, delta - (SELECT quantile_cont(t, 0.95) FROM tops) * se AS lower FROM ses)
 """
 )
 
 
 def simultaneous_of(spark, sf_dir) -> DataFrame:
-    """Candidates against every static policy, micro and macro, one critical value for all."""
-    pool_ = F.col("pool")
-    cells = F.array(*[F.struct(F.lit(f"threshold_{t:.2f}|static_{m}").alias("policy_id"), (routing.threshold(pool_, F.lit(t))["y"] - routing.static(pool_, F.lit(m))["y"]).alias("delta")) for t in (0.6, 0.7, 0.8) for m in MODEL_IDS])
-    rows = pools(spark, sf_dir).select("dataset", "text_group", F.inline(cells))
-    sums = freeze(rows.groupBy("policy_id", F.col("dataset").alias("stratum"), "text_group").agg(F.count("*").alias("n"), F.sum("delta").alias("delta")), "group-sums")
-    own = sums.withColumn("g", F.dense_rank().over(Window.partitionBy("stratum").orderBy("text_group")) - 1)
+    """Every policy of the grid against every static one, micro and macro, one critical value for all. Policies are resampled
+    once each; differences are taken between their replicates, of which there are two for each draw."""
+    rows = actions(spark, sf_dir).select("policy_id", "dataset", "text_group", "y")
+    sums = freeze(rows.groupBy("policy_id", F.col("dataset").alias("stratum"), "text_group").agg(F.count("*").alias("n"), F.sum("y").alias("y")), "group-sums")
+    own = freeze(unc.numbered(sums), "numbered")
     levels = lambda df: df.where(F.startswith("metric", F.lit("__")))
-    means, observed = levels(unc.replicate_means(own, ["delta"], REPLICATES, SEED, "policy_id")), levels(unc.observed_means(own, ["delta"], "policy_id"))
-    errors, most = unc.max_t(means, observed, "delta", ["policy_id"], [])
+    means = freeze(levels(unc.replicate_means(own, ["y"], REPLICATES, SEED, "policy_id")), "replicates")
+    observed = levels(unc.observed_means(own, ["y"], "policy_id"))
+
+    def against_statics(df: DataFrame, value: str, *keys: str) -> DataFrame:
+        # A row of a draw and metric holds all its policies, so the differences are made within the row.
+        entry = F.struct("policy_id", "y")
+        held = df.groupBy(*keys).agg(F.collect_list(entry).alias("all"))
+        statics = F.filter("all", lambda x: F.startswith(x["policy_id"], F.lit("static_")))
+        pairs_ = F.flatten(F.transform("all", lambda a: F.transform(statics, lambda b: F.struct(a["policy_id"].alias("policy_id"), b["policy_id"].alias("other"), (a["y"] - b["y"]).alias(value)))))
+        return held.select(*keys, F.inline(pairs_))
+
+    diffs, deltas = against_statics(means, "v", "metric", "replicate"), against_statics(observed, "delta", "metric")
+    errors = diffs.groupBy("policy_id", "other", "metric").agg(F.stddev_samp("v").alias("standard_error")).join(deltas, ["policy_id", "other", "metric"])
+    errors = freeze(errors, "errors")  # policies * statics * 2 rows
+    t = F.when(F.col("standard_error") > 1e-9, (F.col("v") - F.col("delta")) / F.col("standard_error")).otherwise(F.lit(0.0))
+    most = diffs.join(F.broadcast(errors), ["policy_id", "other", "metric"]).groupBy("replicate").agg(F.greatest(F.max(t), F.lit(0.0)).alias("max_t"))
     critical = most.agg(F.percentile("max_t", F.lit(0.95)).alias("critical"))
-    return errors.crossJoin(F.broadcast(critical)).withColumn("lower", F.col("delta") - F.col("critical") * F.col("standard_error"))
+    return errors.crossJoin(F.broadcast(critical)).withColumn("lower", F.col("delta") - F.col("critical") * F.col("standard_error"))  # one row
 
 
-@query("simultaneous_bounds", _SIM_SQL + "SELECT policy_id, metric, round(delta, 8) AS delta, round(se, 8) AS standard_error, round(lower, 8) AS lower FROM bounds")
+@query("simultaneous_bounds", _SIM_SQL + "SELECT policy_id, other, metric, round(delta, 8) AS delta, round(se, 8) AS standard_error, round(lower, 8) AS lower FROM bounds")
 def simultaneous_bounds(spark, sf_dir):
-    return simultaneous_of(spark, sf_dir).select("policy_id", "metric", *[F.round(c, 8).alias(c) for c in ("delta", "standard_error", "lower")])
+    return simultaneous_of(spark, sf_dir).select("policy_id", "other", "metric", *[F.round(c, 8).alias(c) for c in ("delta", "standard_error", "lower")])
+
+
+_CONSERVATIVE_SQL = (
+    _SIM_SQL
+    + """, best AS (SELECT 'static_' || model_id AS id FROM (SELECT model_id, avg(y) AS q, any_value(c) AS c FROM val GROUP BY 1) ORDER BY q DESC, c, model_id LIMIT 1),
+worst AS (SELECT policy_id, min(lower) AS lower FROM bounds WHERE other = (SELECT id FROM best) GROUP BY 1),
+d AS (SELECT policy_id, min(m) AS m FROM (SELECT a.policy_id, a.dataset, avg(a.y - b.y) AS m FROM vacts a JOIN vacts b USING (prompt_id) WHERE b.policy_id = (SELECT id FROM best) GROUP BY ALL) GROUP BY 1),
+judged AS (SELECT s.policy_id, s.quality, s.cost, lower, m, lower >= -0.005 AND m >= -0.005 AS feasible FROM summary s JOIN worst USING (policy_id) JOIN d USING (policy_id)
+  UNION ALL SELECT 'best_single', quality, cost, 0, 0, true FROM summary WHERE policy_id = (SELECT id FROM best))
+"""
+)
 
 
 @query(
     "select_conservative",
-    _SIM_SQL
-    + """, worst AS (SELECT split_part(policy_id, '|', 1) AS policy_id, min(lower) AS lower FROM bounds WHERE split_part(policy_id, '|', 2) = 'static_m3' GROUP BY 1),
-d AS (SELECT split_part(policy_id, '|', 1) AS policy_id, min(m) AS m FROM (SELECT policy_id, dataset, avg(delta) AS m FROM vs WHERE split_part(policy_id, '|', 2) = 'static_m3' GROUP BY ALL) GROUP BY 1)
-SELECT policy_id, round(lower, 8) AS worst_lower, round(m, 9) AS worst_dataset, lower >= -0.005 AND m >= -0.005 AS feasible FROM worst JOIN d USING (policy_id)""",
+    _CONSERVATIVE_SQL
+    + """SELECT policy_id, round(quality, 9) AS quality, round(cost, 9) AS cost, round(lower, 8) AS worst_lower, round(m, 9) AS worst_dataset, feasible,
+  feasible AND row_number() OVER (ORDER BY NOT feasible, cost, quality DESC, policy_id) = 1 AS selected FROM judged""",
 )
 def select_conservative(spark, sf_dir):
-    """Feasible against a static baseline: both lower bounds and the worst dataset's difference clear the margin."""
-    name, other = F.split("policy_id", r"\|")[0], F.split("policy_id", r"\|")[1]
-    worst = simultaneous_of(spark, sf_dir).where(other == "static_m3").groupBy(name.alias("policy_id")).agg(F.min("lower").alias("lower"))
-    pool_ = F.col("pool")
-    cells = F.array(*[F.struct(F.lit(f"threshold_{t:.2f}").alias("policy_id"), (routing.threshold(pool_, F.lit(t))["y"] - routing.static(pool_, F.lit("m3"))["y"]).alias("delta")) for t in (0.6, 0.7, 0.8)])
-    sets = pools(spark, sf_dir).select("dataset", F.inline(cells)).groupBy("policy_id", "dataset").agg(F.avg("delta").alias("m")).groupBy("policy_id").agg(F.min("m").alias("m"))
-    return worst.join(sets, "policy_id").select("policy_id", F.round("lower", 8).alias("worst_lower"), F.round("m", 9).alias("worst_dataset"), ((F.col("lower") >= -routing.SLACK) & (F.col("m") >= -routing.SLACK)).alias("feasible"))
+    """Every policy of the grid against the best single candidate of validation: feasible if both lower bounds and the worst
+    dataset's difference clear the margin; the single candidate itself always is. The cheapest feasible one is selected."""
+    best = best_single_of(parts(spark, sf_dir)).select(F.concat(F.lit("static_"), "model_id").alias("best"))
+    worst = simultaneous_of(spark, sf_dir).join(F.broadcast(best), F.col("other") == F.col("best")).groupBy("policy_id").agg(F.min("lower").alias("lower"))
+    rows = actions(spark, sf_dir).select("prompt_id", "dataset", "policy_id", "y", "cost")
+    means = freeze(rows.groupBy("policy_id", "dataset").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum("cost").alias("cost")), "policy-sums")
+    own = means.join(F.broadcast(best), F.col("policy_id") == F.col("best")).select("dataset", (F.col("y") / F.col("n")).alias("q"))  # a row for each dataset
+    sets = means.join(own, "dataset").groupBy("policy_id").agg(F.min(F.col("y") / F.col("n") - F.col("q")).alias("m"))
+    whole = summary(spark, sf_dir).join(worst, "policy_id").join(sets, "policy_id").withColumn("feasible", (F.col("lower") >= -routing.SLACK) & (F.col("m") >= -routing.SLACK))
+    single = whole.join(F.broadcast(best), F.col("policy_id") == F.col("best")).select(F.lit("best_single").alias("policy_id"), "quality", "cost", F.lit(0.0).alias("lower"), F.lit(0.0).alias("m"), F.lit(True).alias("feasible"))
+    judged = freeze(whole.select(*single.columns).unionByName(single), "judged")
+    winner = judged.where("feasible").agg(F.min(F.struct("cost", (-F.col("quality")).alias("minus"), "policy_id"))["policy_id"].alias("winner"))
+    joined = judged.crossJoin(F.broadcast(winner))  # one row
+    return joined.select("policy_id", F.round("quality", 9).alias("quality"), F.round("cost", 9).alias("cost"), F.round("lower", 8).alias("worst_lower"), F.round("m", 9).alias("worst_dataset"), "feasible", (F.col("policy_id") == F.col("winner")).alias("selected"))
 
 
 @query("quantiles", "SELECT event_type, round(quantile_cont(value, 0.01), 9) AS q01, round(quantile_cont(value, 0.5), 9) AS q50, round(quantile_cont(value, 0.95), 9) AS q95 FROM events GROUP BY 1")

@@ -226,11 +226,79 @@ def test_head_matches_newton(spark):
     assert learning.fit_head(rows.withColumn("label", F.lit(1.0)), 1.0) == (None, 1.0)
 
 
-def test_folds_keep_groups():
-    folds = learning.stratified_group_folds([(f"g{i}", "a" if i % 2 else "b", 2) for i in range(40)], 5, 3407)
+def test_folds_keep_groups(spark):
+    rows = spark.createDataFrame([(f"g{i}", "a" if i % 2 else "b") for i in range(40) for _ in range(2)], "g string, s string")
+    folds = {r.g: r.fold for r in learning.profile_folds(rows, "g", "s", 5, 3407).collect()}
     assert len(folds) == 40 and all(sum(f == k for f in folds.values()) == 8 for k in range(5))
 
 
+def test_ranks_over_slices(spark):
+    rows = spark.createDataFrame([("k", f"{i * 7919 % 4096:03x}{i}", i) for i in range(300)] + [("l", "ffff", 0)], "k string, o string, i long")
+    got = [(r.k, r.o) for r in prep.ranked(rows, ["k"], "o", "i").orderBy("k", "rank").collect()]
+    assert got == sorted(got) and prep.ranked(rows, ["k"], "o", "i").agg(F.max("rank")).first()[0] == 300
+
+
+def sparse(rng, n, width, heads_):
+    import numpy as np
+
+    from pathfold.operators import heads
+
+    x = (rng.random((n, width)) < 0.3) * rng.integers(1, 4, (n, width))
+    own, columns = np.nonzero(x)
+    y = (rng.random((n, heads_)) < 0.5).astype(float)
+    y[:, 0] = x[:, 0] > x[:, 1]
+    return x, heads.Rows(np.arange(n), np.concatenate(([0], np.cumsum(np.bincount(own, minlength=n)))), columns, x[own, columns].astype(float), y, {})
+
+
+def test_heads_match_newton(spark):
+    """Weights of sparse heads, by exact Newton steps; a head with one class is constant; unknown labels are left out."""
+    import numpy as np
+
+    from pathfold.operators import heads
+
+    x, rows = sparse(np.random.default_rng(1), 150, 12, 3)
+    rows.labels[:, 2] = 1.0
+    rows.labels[::3, 1] = np.nan
+    for head, c in ((0, 0.1), (0, 10.0), (1, 1.0)):
+        known = ~np.isnan(rows.labels[:, head])
+        z, y, w = np.column_stack((x, np.ones(150)))[known], rows.labels[known, head], np.zeros(13)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-z @ w))
+            w -= np.linalg.solve(c * (z * (p * (1 - p))[:, None]).T @ z + np.eye(13), c * z.T @ (p - y) + w)
+        assert np.allclose(heads.fit_one(rows, head, c, 12)[0], w, atol=2e-4)
+    assert heads.fit_one(rows, 2, 1.0, 12) == (None, 1.0)
+    fitted = {r.model_id: r for r in heads.fitted_heads(spark, rows, ("a", "b", "c"), 12, 0.1).collect()}
+    assert fitted["c"].weights is None and np.allclose(fitted["a"].weights, heads.fit_one(rows, 0, 0.1, 12)[0])
+
+
+def test_weights_of_a_fold_are_tfidf():
+    import numpy as np
+
+    from pathfold.operators import heads
+
+    x, rows = sparse(np.random.default_rng(2), 40, 15, 1)
+    x[:, 3] = 0
+    out = heads.weighed(rows, rows, min_df=2, max_features=10)(rows)
+    df, total = (x > 0).sum(axis=0), x.sum(axis=0)
+    kept = sorted([i for i in range(15) if df[i] >= 2], key=lambda i: (-total[i], i))[:10]
+    for i in range(40):
+        w = {j: (1 + np.log(x[i, j])) * (np.log(41 / (1 + df[j])) + 1) for j in kept if x[i, j]}
+        norm = np.sqrt(sum(v * v for v in w.values()))
+        at = slice(out.starts[i], out.starts[i + 1])
+        assert np.allclose(out.values[at], [w[j] / norm for j in sorted(w)]) and out.columns[at].tolist() == sorted(w)
+
+
+def test_samples_are_bounded(spark):
+    from pathfold.operators import heads
+
+    rows = spark.range(50).select(F.col("id"), F.sequence(F.lit(0), (F.col("id") % 5).cast("int")).alias("columns"), F.lit(1.0).alias("v"))
+    rows = rows.select("id", "columns", F.transform("columns", lambda x: x * 2.0).alias("values"), F.create_map(F.lit("a"), F.lit(1.0)).alias("labels"))
+    every = heads.sampled(rows, ("a", "b"))
+    assert len(every.ids) == 50 and every.starts[-1] == 150 and every.values.tolist() == (every.columns * 2.0).tolist()
+    assert len(heads.sampled(rows, ("a",), most_rows=7).ids) == 7 and heads.sampled(rows, ("a",), most_entries=20).starts[-1] <= 20
+    assert len(heads.sampled(rows.limit(0), ("a",)).ids) == 0
+
+
 def test_archive(spark, tmp_path):
     want = 0
     with tarfile.open(tmp_path / "r.tar.gz", "w:gz") as tar:
