@@ -114,14 +114,31 @@ def extract_code(spark, sf_dir):
     return rows.select("conv_id", "turn", grading.extract_code(fenced).alias("code"))
 
 
-@query("regrade")
-def regrade(spark, sf_dir):
-    """Saved texts are parsed and graded again: mathematics, exactly."""
+def _saved(spark, sf_dir):
+    """Saved answers in four layouts, three of which say the reference's value."""
     n, k = F.col("user_id").cast("string"), F.col("event_id") % 4
     text = (
         F.when(k == 0, F.concat(F.lit("Thus \\boxed{\\frac{"), n, F.lit("}{2}}"))).when(k == 1, F.concat(F.lit("The final answer is: $"), n, F.lit("/2$")))
         .when(k == 2, F.concat(F.lit("x = "), n, F.lit("*0.5"))).otherwise(F.concat(n, F.lit("\\pi")))
     )
-    rows = table(spark, sf_dir, "events").select("event_id", k.alias("layout"), text.alias("saved"), F.concat(n, F.lit("/2")).alias("reference"))
+    return table(spark, sf_dir, "events").select("event_id", k.alias("layout"), text.alias("saved"), F.concat(n, F.lit("/2")).alias("reference"))
+
+
+_REGRADE_SQL = "SELECT event_id % 4 AS layout, count(*) AS n, count(*) AS parsed, count(*) FILTER (event_id % 4 <> 3 OR user_id = 0) AS right_answers FROM events GROUP BY 1"
+
+
+@query("regrade", _REGRADE_SQL)
+def regrade(spark, sf_dir):
+    """Saved texts are parsed and graded again: mathematics, exactly."""
+    rows = _saved(spark, sf_dir)
     graded = rows.withColumn("parsed", grading.parse_math("saved")).withColumn("correct", grading.grade_math("parsed", "reference"))
     return graded.groupBy("layout").agg(F.count("*").alias("n"), F.count("parsed").alias("parsed"), F.count_if("correct").alias("right_answers"))
+
+
+@query("grader_functions", _REGRADE_SQL)
+def grader_functions(spark, sf_dir):
+    """The graders as functions of SQL, which is where a user would plug in their own."""
+    spark.udf.register("parse_math", grading.parse_math)
+    spark.udf.register("grade_math", grading.grade_math)
+    saved = _saved(spark, sf_dir)
+    return spark.sql("SELECT layout, count(*) AS n, count(parsed) AS parsed, count_if(grade_math(parsed, reference)) AS right_answers FROM (SELECT *, parse_math(saved) AS parsed FROM {saved}) GROUP BY layout", saved=saved)

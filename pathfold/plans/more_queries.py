@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfold.functions.text import prompt_features
-from pathfold.functions.unicode_text import normalize_exact
 from pathfold.operators import heads, learning, prep, routing
 from pathfold.plans.bridge import BASE_SQL, MODEL_IDS, REFERENCE, SEED, pool, prompts, table
 from pathfold.plans.prep_queries import crossfit_roles, outcomes, parts
@@ -18,10 +17,25 @@ from pathfold.sources.storage import freeze
 # -- scalars --------------------------------------------------------------------------------------------------------
 
 
-@query("normalize_text", r"SELECT count(DISTINCT lower(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')))) AS built_in, count(DISTINCT lower(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')))) AS exact FROM documents")
+#: Texts and what NFKC, case folding and collapsed white space make of them.
+_FORMS = (
+    ("\ufb01ne \uff34ext", "fine text"), ("Stra\u00dfe  \u2460", "strasse 1"), ("\u212bngstr\u00f6m\t\u00c5", "\u00e5ngstr\u00f6m \u00e5"), ("e\u0301\u00a0E\u0301", "\u00e9 \u00e9"), (" \n", ""), ("\u03a3\u03c2", "\u03c3\u03c3"),
+    ("\u2163 \u00bd", "iv 1\u20442"), ("PLAIN  text", "plain text"),
+)
+
+
+@query("normalize_text", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{b}')" for i, (_, b) in enumerate(_FORMS)) + ") t(i, normal)")
 def normalize_text(spark, sf_dir):
-    """On these texts the exact form tells apart what the built-in form does."""
-    return table(spark, sf_dir, "documents").agg(F.countDistinct(prep.normalized_text(F.col("text"))).alias("built_in"), F.countDistinct(normalize_exact("text")).alias("exact"))
+    """The exact form on texts whose normal form is known."""
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(_FORMS)], "i int, text string")
+    return rows.select("i", prep.exact_text(F.col("text")).alias("normal"))
+
+
+@query("normalize_documents", r"SELECT count(DISTINCT lower(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')))) AS texts FROM documents")
+def normalize_documents(spark, sf_dir):
+    """Different documents by their exact form; on these tables the form that SQL has tells the same ones apart."""
+    digest = F.sha2(prep.exact_text(F.col("text")), 256)
+    return table(spark, sf_dir, "documents").agg(F.countDistinct(digest).alias("texts"))
 
 
 @query("text_sha256", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -56,14 +70,15 @@ def experiment_plan(spark, sf_dir):
     return sizes.crossJoin(F.broadcast(pool(spark))).select("dataset", "model_id", "calls", (bound.cast("double") / 1e6).alias("bound_usd"))
 
 
-@query("canonical_json")
+@query("canonical_json", """SELECT event_type, '{"event_type":"' || event_type || '","mean":' || CAST(round(avg(value), 2) AS VARCHAR) || ',"n":' || count(*) || ',"none":null}' AS json FROM events GROUP BY event_type""")
 def canonical_json(spark, sf_dir):
-    """Metrics as JSON text; what is not finite is null."""
+    """Metrics as JSON text, fields by name; what is not finite is null and is written."""
     from pathfold.sources.sinks import canonical_json as to_json
     from pathfold.sources.sinks import finite_or_null
 
-    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.avg(F.when(F.col("value") < 0, F.col("value"))).alias("none"))
-    return rows.select("event_type", to_json(F.struct("event_type", finite_or_null(F.col("mean")).alias("mean"), F.col("none"))).alias("json"))
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 2).alias("mean"), F.count("*").alias("n"))
+    nothing = finite_or_null(F.lit(float("nan")))
+    return rows.select("event_type", to_json(n=F.col("n"), none=nothing, mean=finite_or_null(F.col("mean")), event_type=F.col("event_type")).alias("json"))
 
 
 # -- sets -----------------------------------------------------------------------------------------------------------

@@ -21,35 +21,37 @@ def markdown_table(df: DataFrame, most_rows: int = 1000) -> str:
     return "\n".join([f"| {' | '.join(df.columns)} |", f"|{' --- |' * len(df.columns)}", *(r[0] for r in rows)])
 
 
-def write_artifacts(tables: Mapping[str, DataFrame], folder: str, partition_by: Mapping[str, list[str]] | None = None) -> DataFrame:
-    """Write every table as zstd Parquet below folder and a manifest (table, rows, schema, content hash) beside them. An
-    artifact that exists is an error: a frozen campaign is never overwritten."""
+def write_artifacts(tables: Mapping[str, DataFrame], folder: str, partition_by: Mapping[str, list[str]] | None = None, spend: Mapping[str, str] | None = None) -> DataFrame:
+    """Write every table as zstd Parquet below folder and a manifest (table, rows, schema, content hash, exact sum of its column
+    of spend) beside them. An artifact that exists is an error: a frozen campaign is never overwritten."""
     spark, rows = None, []
     for name, df in tables.items():
         spark = df.sparkSession
         df.write.mode("errorifexists").partitionBy(*(partition_by or {}).get(name, [])).option("compression", "zstd").parquet(f"{folder}/{name}")
-        rows.append(manifest_row(spark, folder, name))
-    manifest = spark.createDataFrame(rows, "name string, rows long, schema string, content long")
+        rows.append(manifest_row(spark, folder, name, (spend or {}).get(name)))
+    manifest = spark.createDataFrame(rows, "name string, rows long, schema string, content long, spend_column string, spend string")
     manifest.coalesce(1).write.mode("errorifexists").json(f"{folder}/_manifest")
     return manifest
 
 
-def manifest_row(spark: SparkSession, folder: str, name: str) -> tuple[str, int, str, int]:
-    """Rows, schema and an order-independent content hash of a written table."""
+def manifest_row(spark: SparkSession, folder: str, name: str, spend: str | None = None) -> tuple:
+    """Rows, schema, an order-independent content hash and the decimal sum of the spend of a written table."""
     df = spark.read.parquet(f"{folder}/{name}")
-    n, digest = df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0))).first()
-    return name, n, df.schema.simpleString(), digest
+    total = F.sum(F.col(spend).cast("decimal(28,10)")).cast("string") if spend else F.lit(None).cast("string")
+    n, digest, paid = df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)), total).first()
+    return name, n, df.schema.simpleString(), digest, spend, paid
 
 
 def verify_artifacts(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the artifacts whose content no longer agrees with the manifest."""
-    manifest = spark.read.json(f"{folder}/_manifest").collect()
-    return [r["name"] for r in manifest if manifest_row(spark, folder, r["name"]) != (r["name"], r["rows"], r["schema"], r["content"])]
+    """Names of the artifacts whose rows, schema, content or spend no longer agree with the manifest."""
+    fields = "name string, rows long, schema string, content long, spend_column string, spend string"
+    manifest = spark.read.schema(fields).json(f"{folder}/_manifest").collect()  # a row for each artifact
+    return [r["name"] for r in manifest if manifest_row(spark, folder, r["name"], r["spend_column"]) != tuple(r)]
 
 
-def canonical_json(column: Column) -> Column:
-    """JSON of a struct with its fields as they stand; NaN and infinities are written as null by nulling them first."""
-    return F.to_json(column)
+def canonical_json(**fields: Column) -> Column:
+    """A JSON object of named columns, by name; nulls are written. NaN and infinities are no JSON: null them first."""
+    return F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
 def finite_or_null(column: Column) -> Column:
@@ -65,6 +67,10 @@ def upsert_parquet(changes: DataFrame, folder: str, keys: tuple[str, ...], order
     old = current_version(spark, folder)
     rows = changes if old is None else spark.read.parquet(f"{folder}/v{old:09d}").unionByName(changes)
     latest(rows, keys, order).write.mode("overwrite").parquet(f"{folder}/v{0 if old is None else old + 1:09d}")
+    if old:  # readers may still be at the version before
+        jvm = spark._jvm
+        gone = jvm.org.apache.hadoop.fs.Path(f"{folder}/v{old - 1:09d}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def current_version(spark: SparkSession, folder: str) -> int | None:

@@ -11,9 +11,12 @@ _own: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """A fresh path in the folder that the cluster names in spark.checkpoint.dir. Only a local master may leave it unset
+    (tests): then it is a folder of this machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own[:] = _own or [tempfile.mkdtemp(prefix="pathfold-plans-")]
         folder = _own[0]
     return f"{folder.rstrip('/')}/pathfold-plans/{name}-{uuid.uuid4().hex}"
