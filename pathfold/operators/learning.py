@@ -13,26 +13,36 @@ from pyspark.sql import functions as F
 from pathfold.operators.prep import ranked
 from pathfold.sources.storage import freeze
 
-TOKEN = r"[\p{L}\p{N}_]{2,}"
 #: Inverse penalties that are tried.
 PENALTIES = (0.1, 1.0, 10.0)
 
 
-def terms(text: Column, bigrams: bool = True) -> Column:
-    """Lower-cased words of two characters or more, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    if not bigrams:
-        return words
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+def term_counts(docs: DataFrame, id_col: str, text_col: str, bigrams: bool = True) -> DataFrame:
+    """(id, terms, tf): each row's distinct terms with their counts, rows without terms left out. Counting within a document
+    needs no shuffle, but Spark's aggregates would make one of all terms; so it is done in Arrow batches where the text is."""
 
+    def run(batches: Iterator) -> Iterator:
+        import re
+        from collections import Counter
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, bigrams: bool = True) -> DataFrame:
-    """(id, terms, tf): each document's distinct terms with their counts; rows of one id are one document. Texts are dealt by
-    id once, so that counting within a document shuffles nothing more."""
-    each = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).repartition("id").select("id", F.explode(terms(F.col("_text"), bigrams)).alias("term"))
-    counted = each.groupBy("id", "term").agg(F.count("*").alias("tf")).groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("t"))
-    return counted.select("id", F.col("t.term").alias("terms"), F.col("t.tf").alias("tf"))
+        import pyarrow as pa
+
+        find = re.compile(r"\w{2,}").findall
+        for batch in batches:
+            ids, terms_, tf = [], [], []
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = find((text.as_py() or "").lower())
+                counted = Counter(words)
+                if bigrams:
+                    counted.update(map(" ".join, zip(words, words[1:], strict=False)))
+                if counted:
+                    ids.append(id_)
+                    terms_.append(list(counted))
+                    tf.append(list(counted.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(terms_, pa.list_(pa.string())), pa.array(tf, pa.list_(pa.int64()))], names=["id", "terms", "tf"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, terms array<string>, tf array<bigint>")
 
 
 def vocabulary(counted: DataFrame, min_df: int = 2, max_features: int | None = 50_000) -> DataFrame:
