@@ -277,7 +277,6 @@ def test_weights_of_a_fold_are_tfidf():
     from pathfold.operators import heads
 
     x, rows = sparse(np.random.default_rng(2), 40, 15, 1)
-    x[:, 3] = 0
     out = heads.weighed(rows, rows, min_df=2, max_features=10)(rows)
     df, total = (x > 0).sum(axis=0), x.sum(axis=0)
     kept = sorted([i for i in range(15) if df[i] >= 2], key=lambda i: (-total[i], i))[:10]
