@@ -3,7 +3,9 @@
 1.  Each text becomes its set of distinct n-word shingles (64-bit hashes). Texts with equal sets are one class, named by
     a fingerprint of the set; everything below is about classes.
 2.  Shingles are ordered globally: those found to be frequent last, the rest by hash. Which are called frequent only
-    steers cost - any total order gives the same answer - so that list may be bounded (HOT) and broadcast.
+    steers cost - any total order gives the same answer - so that list may be bounded (HOT) and broadcast. A bitmap of each
+    set (a bit or more for a shingle) bounds from above what two sets share: a bit that only one has is a shingle that
+    only one has.
 3.  Prefix filter: two sets that reach the threshold share a shingle among the first n - ceil(t * n) + 1 of each. Prefixes
     are dealt by shingle; a shingle in one prefix only is dropped.
 4.  Round one: classes meet under their first remaining shingle. Those without a class of a near enough size go; a
@@ -77,6 +79,49 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """The set's hashes modulo a power of two that is at least its size, as bits."""
+    size = 1 << max(6, (len(shingles) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of a group of sets (each a number of 64-bit words that is a power of two), by their lengths."""
+
+    def __init__(self, bits: list[np.ndarray], n: np.ndarray):
+        self.bits, self.n = bits, n
+        length = np.array([len(x) for x in bits])
+        self.own = {w: np.flatnonzero(length == w) for w in np.unique(length).tolist()}
+        self.tables = {(w, w): np.stack([bits[i] for i in at]) for w, at in self.own.items()}
+
+    def table(self, words: int, to: int) -> np.ndarray:
+        """The bitmaps of `words` words, folded to `to`."""
+        if (words, to) not in self.tables:
+            self.tables[words, to] = folded(self.table(words, 2 * to))
+        return self.tables[words, to]
+
+    def most_shared(self, k: int, ok: np.ndarray) -> np.ndarray:
+        """For the sets where ok holds, what they share with set k at most; -1 for the others."""
+        most, n = np.full(len(self.n), -1), self.n
+        for words, at in self.own.items():
+            picked = ok[at]
+            if not picked.any():
+                continue
+            to, mine = min(words, len(self.bits[k])), self.bits[k]
+            while len(mine) > to:
+                mine = folded(mine)
+            theirs, rows = self.table(words, to)[picked], at[picked]
+            most[rows] = np.minimum(n[k] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), n[rows] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+        return most
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    half = bits.shape[-1] // 2
+    return bits[..., :half] | bits[..., half:]
+
+
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - (-(-percent * n // 100)) + 1
 
@@ -95,18 +140,18 @@ def _fingerprints(n: int, local: int):
 
         held, size, seen = [], 0, set()
 
-        names = ["kind", "id", "mark", "n", "v"]
+        names = ["kind", "id", "mark", "n", "v", "bits"]
 
         def frequent(arrays: list[np.ndarray]):
             u, c = np.unique(np.concatenate(arrays), return_counts=True) if arrays else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
             u, c = u[c >= local], c[c >= local]
             none = pa.nulls(len(u), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), dtype=np.int32)), none, none, pa.array(c.astype(np.int64)), pa.array(u.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), dtype=np.int32)), none, none, pa.array(c.astype(np.int64)), pa.array(u.astype(np.int64)), pa.nulls(len(u), pa.binary())], names=names)
 
         for ids, sets, first, batch in _pieces(batches, n):
-            marks = [fingerprint(x) if len(x) else None for x in sets]
+            marks, bits = ([f(x) if len(x) else None for x in sets] for f in (fingerprint, bitmap))
             count = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(count, dtype=np.int32)), ids, batch.column(2).slice(first, count), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(count, dtype=np.int32)), ids, batch.column(2).slice(first, count), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.int64()), pa.array(bits, pa.binary())], names=names)
             for mark, x in zip(marks, sets, strict=True):
                 if mark is not None and mark not in seen:
                     seen.add(mark)
@@ -243,32 +288,69 @@ def _verify(percent: int):
     return run
 
 
+def _partners(k: int, i: int, j: int, percent: int, n: np.ndarray, comp: np.ndarray, home: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What row k of a tile pair must share with each row, and which of the rows after it are to be judged against it: in another
+    component, not met before, in the other tile of the pair, near enough in size."""
+    need = required(n[k], n, percent)
+    ok = (np.arange(len(n)) > k) & (comp != comp[k]) & (home != home[k]) & (need <= np.minimum(n, n[k]))
+    return need, ok & (block != block[k]) if i != j else ok
+
+
+_FACTS = ("n", "comp", "home", "block")
+
+
+def _near_bits(percent: int):
+    """Of each tile pair the rows with a partner that their bitmaps allow."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        blobs, picked = table.column("bits"), []
+        i_, j_, facts = table.column("i").to_numpy(), table.column("j").to_numpy(), [table.column(c).to_numpy() for c in _FACTS]
+        for rows in _groups(table, "g", "i", "j"):
+            own = [x[rows] for x in facts]
+            if len(rows) < 2 or (own[1] == own[1][0]).all():
+                continue
+            maps, chosen = Bitmaps([np.frombuffer(blobs[k].as_buffer(), dtype=np.uint64) for k in rows.tolist()], own[0]), np.zeros(len(rows), dtype=bool)
+            for k in range(len(rows) - 1):
+                need, ok = _partners(k, i_[rows[0]], j_[rows[0]], percent, *own)
+                if chosen[k]:
+                    ok &= ~chosen
+                if ok.any():
+                    near = maps.most_shared(k, ok) >= need
+                    if near.any():
+                        chosen |= near
+                        chosen[k] = True
+            picked.append(rows[chosen])
+        out = table.drop_columns(["bits", "bucket"]).take(pa.array(np.concatenate(picked) if picked else np.empty(0, dtype=np.int64)))
+        release()
+        return out
+
+    return run
+
+
 def _candidates(percent: int):
-    """Of each tile pair the classes with a partner, in another component and not met before, whose prefixes allow the
-    threshold; a pair is judged only where the element is the least that both prefixes hold."""
+    """Of each tile pair the classes with a partner whose prefixes allow the threshold; a pair is judged only where the element
+    is the least that both prefixes hold."""
 
     def run(key, table):
         import pyarrow as pa
 
-        sig, n, comp, home, block, g = (table.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "n", "comp", "home", "block", "g"))
-        i_, j_ = table.column("i").to_numpy(), table.column("j").to_numpy()
+        sig, g = table.column("sig").to_numpy(), table.column("g").to_numpy()
+        i_, j_, facts = table.column("i").to_numpy(), table.column("j").to_numpy(), [table.column(c).to_numpy() for c in _FACTS]
         prefixes = table.column("prefix").combine_chunks()
         at, values = prefixes.offsets.to_numpy(), prefixes.values.to_numpy()
         picked = []
         for rows in _groups(table, "g", "i", "j"):
-            if len(rows) < 2 or (comp[rows] == comp[rows[0]]).all():
+            own = [x[rows] for x in facts]
+            if len(rows) < 2 or (own[1] == own[1][0]).all():
                 continue
-            sets = [values[at[k] : at[k + 1]] for k in rows.tolist()]
+            sets, size = [values[at[k] : at[k + 1]] for k in rows.tolist()], own[0]
             ranks = _ranks(sets)
-            tree, size, c, h, where = Trie(ranks), n[rows], comp[rows], home[rows], block[rows]
-            rest = size - prefix_length(size, percent)
-            i, j = i_[rows[0]], j_[rows[0]]
+            tree, rest = Trie(ranks), size - prefix_length(size, percent)
             chosen = np.zeros(len(rows), dtype=bool)
             for k in range(len(rows)):
-                need = required(size[k], size, percent)
-                ok = (np.arange(len(rows)) > k) & (c != c[k]) & (h != h[k]) & (need <= np.minimum(size, size[k]))
-                if i != j:
-                    ok &= where != where[k]
+                need, ok = _partners(k, i_[rows[0]], j_[rows[0]], percent, *own)
                 if not ok.any() or (chosen[k] and chosen[ok].all()):
                     continue
                 need = np.where(ok, np.maximum(need - np.maximum(rest, rest[k]), 1), NEVER)
@@ -296,11 +378,11 @@ class JaccardJoin:
         marked = self.docs.withColumn("mark", text_mark(F.col("text")))
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
         self.scratch: list[DataFrame] = []
-        marks = materialize(marked.mapInArrow(tidied(_fingerprints(words, HOT_LOCAL)), "kind int, id long, mark long, n long, v long"), "fingerprints")
+        marks = materialize(marked.mapInArrow(tidied(_fingerprints(words, HOT_LOCAL)), "kind int, id long, mark long, n long, v long, bits binary"), "fingerprints")
         self.rows = marks.where("kind = 0").select(F.col("id").alias("doc_id"), "mark", "n", F.col("v").alias("sig"))
         frequent = marks.where("kind = 1").groupBy("v").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "v").limit(HOT)
         self.hot = self.spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in frequent.select("v").collect()], dtype=np.int64)).view(np.uint64))
-        self.classes = materialize(self.rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+        self.classes = materialize(marks.where("kind = 0 and v is not null").groupBy(F.col("v").alias("sig")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
 
     def _cut(self, df: DataFrame, name: str) -> DataFrame:
         """df written to the shared folder until the components are known."""
@@ -326,7 +408,7 @@ class JaccardJoin:
                 seen |= new.keys()
                 yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([ordered(x, hot.value).tobytes() for x in new.values()], pa.binary())], names=["sig", "shingles"])
 
-        wanted = sized(members.select("sig").distinct().join(self.classes, "sig").select(F.col("rep").alias("doc_id")), "wanted", 1_000_000)  # 8 MB of ids at most
+        wanted = sized(members.select("sig").distinct().join(self.classes.select("sig", "rep"), "sig").select(F.col("rep").alias("doc_id")), "wanted", 1_000_000)  # 8 MB of ids at most
         texts = self.docs.join(wanted, "doc_id", "left_semi")
         # Repeated rows of one id give a set once a task; the join below and _verify take repeats as one.
         return texts.mapInArrow(tidied(run), "sig long, shingles binary").join(members, "sig")
@@ -334,19 +416,25 @@ class JaccardJoin:
     def _links(self, members: DataFrame) -> DataFrame:
         """Links within the groups of members(g, i, j, sig)."""
         members = sized(members, "members", 500_000)  # five numbers a row
-        total = members.join(self.classes, "sig").agg(F.sum("n")).first()[0] or 0
+        total = members.join(self.classes.select("sig", "n"), "sig").agg(F.sum("n")).first()[0] or 0
         buckets = max(8, math.ceil(8 * total / BUCKET_BYTES))
         whole = self._whole_sets(members).withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)))
         return materialize(whole.groupBy("bucket").applyInArrow(_verify(self.percent), "a long, b long"), "links")
 
     def _judged(self, rows: DataFrame, facts: DataFrame) -> DataFrame:
-        """Of rows(g, i, j, block, sig, n, comp, home) those whose prefixes leave them a possible partner: (g, i, j, sig)."""
-        rows = self._cut(rows, "judged")
-        total = rows.agg(F.sum("n")).first()[0] or 0
-        buckets = max(8, math.ceil(8 * total * (100 - self.percent) / 100 / BUCKET_BYTES))
-        dealt = rows.drop("n").join(facts, "sig").withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)))
+        """Of rows(g, i, j, block, sig, n, comp, home) those whose bitmaps, and then prefixes, leave them a partner: (g, i, j, sig)."""
+        rows = self._cut(rows.select("g", "i", "j", "block", "sig", "n", "comp", "home"), "judged")
+        bits = rows.join(self.classes.select("sig", "bits"), "sig").withColumn("bucket", self._bucket(rows, F.col("n") / 4 + 64))
+        near = self._cut(bits.groupBy("bucket").applyInArrow(_near_bits(self.percent), rows.schema), "near-bits")
+        dealt = near.join(facts.select("sig", "prefix"), "sig").withColumn("bucket", self._bucket(near, F.col("n") * (8 * (100 - self.percent) / 100)))
         return dealt.groupBy("bucket").applyInArrow(_candidates(self.percent), "g long, i int, j int, sig long")
 
+    @staticmethod
+    def _bucket(rows: DataFrame, size: Column) -> Column:
+        """Numbers of buckets of rows(g, i, j, ...) of `size` bytes each, whole tile pairs in each."""
+        total = rows.agg(F.sum(size)).first()[0] or 0
+        return F.pmod(F.xxhash64("g", "i", "j"), F.lit(max(8, math.ceil(total / BUCKET_BYTES))))
+
     def _close(self, rows: DataFrame) -> DataFrame:
         """Of rows(g, sig, n, ...) those with a neighbour in g whose size is near enough for the threshold. Sizes that are
         near enough are in the same class of sizes or in neighbouring ones, so only (g, class) sums are compared."""
