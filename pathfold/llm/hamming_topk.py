@@ -31,7 +31,7 @@ from pathfold.llm.common import dealt_join, materialize
 #: Codes of a part or tile, queries of a block, and leading bits of a segment that name its parts, at most.
 BLOCK_CODES, BLOCK_QUERIES, MOST_BITS = 1 << 16, 1 << 12, 14
 #: Blocks of queries that are wanted at least, as searching takes long and queries take few bytes.
-WANTED_BLOCKS = 64
+WANTED_BLOCKS = 8
 #: Partitions of the tiles at most; a tile is small in bytes and long in time, so its size must not decide.
 MOST_PARTITIONS = 4096
 
