@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pathfold.operators.prep import ranked
 from pathfold.sources.storage import freeze
 
+#: Rows of group sums that are broadcast at most; a row has a digest, a few keys and a few numbers.
+MOST_BROADCAST = 200_000
 #: Fixed value: parts over which the replicates of all strata are dealt.
 PARTS = 128
 
@@ -45,8 +47,11 @@ def multiplicities(groups: DataFrame, replicates: int, seed: int) -> DataFrame:
 
 def replicate_means(groups: DataFrame, values: list[str], replicates: int, seed: int, *keys: str) -> DataFrame:
     """For each replicate, key and metric ('__micro__', '__macro__' or a stratum) the means of the values."""
-    # Draws are many more than their dealt rows, by whose size they would be taken for broadcasts; the groups are the smaller side.
-    drawn = multiplicities(groups, replicates, seed).join(groups.hint("shuffle_hash"), ["stratum", "g"])
+    groups = freeze(groups, "groups")
+    # Draws are many more than their dealt rows, by whose size they would be taken for broadcasts. Up to a checked size the groups
+    # are broadcast, and the draws stay where they were made until their sums are taken; beyond it both are dealt by group.
+    few = groups.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    drawn = multiplicities(groups, replicates, seed).join(F.broadcast(groups) if few else groups.hint("shuffle_hash"), ["stratum", "g"])
     sets = drawn.groupBy(*keys, "replicate", "stratum").agg(F.sum(F.col("mult") * F.col("n")).alias("n"), *[F.sum(F.col("mult") * F.col(v)).alias(v) for v in values])
     return _levels(freeze(sets, "replicate-sets"), values, *keys, "replicate")  # read once for each level
 
