@@ -529,6 +529,13 @@ def test_mix_reaches_its_targets(spark):
     assert mixed.count() == sum(x.copies for x in rows) and mixed.columns == df.columns
 
 
+def test_mix_without_ids(spark):
+    """Rows without an id do not all draw alike."""
+    df = docs(spark, *[words(20, i) for i in range(600)], sources=["a", "b"] * 300).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = mixing.plan(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) < 0.15 * r.target for r in rows)
+
+
 def test_mix_messy(spark):
     df = messy(spark)
     assert mixing.plan(df).count() == 8 and mixing.mix(df).columns == df.columns and mixing.plan(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
