@@ -23,9 +23,9 @@ def stream_upsert(spark, sf_dir):
     folder = shared_path(spark, "ledger")
     rows = _events(spark, sf_dir).select("user_id", "event_type", "event_id")
     stream.upsert_stream(rows, folder, ("user_id", "event_type"), "event_id", shared_path(spark, "offsets")).awaitTermination()
-    from pathfold.sources.sinks import current_version
+    from pathfold.sources.sinks import read_upserted
 
-    return spark.read.parquet(f"{folder}/v{current_version(spark, folder):09d}")
+    return read_upserted(spark, folder, rows.schema)
 
 
 @query("stream_spend", ORACLE_SQL["spend_prefix"].replace("CAST(after AS DOUBLE) AS after", "round(CAST(after AS DOUBLE), 4) AS after"))

@@ -58,27 +58,57 @@ def finite_or_null(column: Column) -> Column:
     return F.when(~F.isnan(column) & (F.abs(column) != float("inf")), column)
 
 
-def upsert_parquet(changes: DataFrame, folder: str, keys: tuple[str, ...], order: str) -> None:
-    """Merge changes into the ledger below `folder`: the newest row of each key stays. The new version is written whole
-    beside the old ones and becomes current when its commit is complete, so a failed or repeated call changes nothing."""
+#: Parts of an upserted ledger, by a hash of its keys: what a change does not touch is not written again.
+BUCKETS = 64
+
+
+def upsert_parquet(changes: DataFrame, folder: str, keys: tuple[str, ...], order: str, buckets: int = BUCKETS) -> None:
+    """Merge changes into the ledger below `folder`: the newest row of each key stays. Only the buckets that changes fall into
+    are written anew, as folder/v<version>/_bucket=<b>; then folder/map<version> says which version each bucket is at.
+    The map's commit is the version's, so a failed or repeated call changes nothing. What the version before last was
+    the last to need is deleted: readers may still be at the last."""
     from pathfold.operators.ledger import latest
 
     spark = changes.sparkSession
     old = current_version(spark, folder)
-    rows = changes if old is None else spark.read.parquet(f"{folder}/v{old:09d}").unionByName(changes)
-    latest(rows, keys, order).write.mode("overwrite").parquet(f"{folder}/v{0 if old is None else old + 1:09d}")
-    if old:  # readers may still be at the version before
-        jvm = spark._jvm
-        gone = jvm.org.apache.hadoop.fs.Path(f"{folder}/v{old - 1:09d}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    new, at = 0 if old is None else old + 1, _bucket_versions(spark, folder, old)
+    part = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    touched = sorted(r[0] for r in changes.select(part.alias("b")).distinct().collect())  # `buckets` numbers at most
+    held = [f"{folder}/v{at[b]:09d}/_bucket={b}" for b in touched if b in at]
+    rows = spark.read.schema(changes.schema).parquet(*held).unionByName(changes) if held else changes
+    latest(rows, keys, order).select(*changes.columns, part.alias("_bucket")).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/v{new:09d}")
+    spark.createDataFrame([(b, new if b in touched else v) for b, v in {**at, **dict.fromkeys(touched, new)}.items()], "bucket int, version long").coalesce(1).write.mode("overwrite").json(f"{folder}/map{new:09d}")
+    if old:
+        for b, v in _bucket_versions(spark, folder, old - 1).items():
+            if at[b] != v:
+                _delete(spark, f"{folder}/v{v:09d}/_bucket={b}")
+        _delete(spark, f"{folder}/map{old - 1:09d}")
+
+
+def read_upserted(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The ledger as its last committed version has it."""
+    at = _bucket_versions(spark, folder, current_version(spark, folder))
+    paths = [f"{folder}/v{v:09d}/_bucket={b}" for b, v in sorted(at.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _bucket_versions(spark: SparkSession, folder: str, version: int | None) -> dict[int, int]:
+    if version is None:
+        return {}
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").json(f"{folder}/map{version:09d}").collect()}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def current_version(spark: SparkSession, folder: str) -> int | None:
-    """The newest version that Spark committed."""
+    """The newest version whose map Spark committed."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(path):
         return None
     done = [s.getPath().getName() for s in store.listStatus(path) if store.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max((int(n[1:]) for n in done if n.startswith("v")), default=None)
+    return max((int(n[3:]) for n in done if n.startswith("map")), default=None)

@@ -342,9 +342,13 @@ def test_artifacts_and_upserts(spark, tmp_path):
     assert sinks.markdown_table(df).splitlines()[-1] == "| 2 | b\\|c |"
     rows = lambda *x: spark.createDataFrame(list(x), "k int, v string, seq long")
     folder = str(tmp_path / "ledger")
-    for change in (rows((1, "a", 1), (2, "b", 2)), rows((1, "c", 3)), rows((1, "c", 3))):
+    for change in (rows((1, "a", 1), (2, "b", 2)), rows((1, "c", 3)), rows((1, "c", 3)), rows((5, "e", 4))):
         sinks.upsert_parquet(change, folder, ("k",), "seq")
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{folder}/v{sinks.current_version(spark, folder):09d}").collect()) == [(1, "c", 3), (2, "b", 2)]
+    assert sorted(tuple(r) for r in sinks.read_upserted(spark, folder, change.schema).collect()) == [(1, "c", 3), (2, "b", 2), (5, "e", 4)]
+    # Key 2 was never written again; superseded parts of key 1 and old maps are gone.
+    kept = sorted(str(x.relative_to(folder)).split("/_bucket")[0] for x in (tmp_path / "ledger").rglob("_bucket=*"))
+    assert kept == ["v000000000", "v000000001", "v000000002", "v000000003"] or kept == ["v000000000", "v000000002", "v000000003"]
+    assert sinks.current_version(spark, folder) == 3 and not (tmp_path / "ledger/map000000001").exists()
 
 
 def test_rest_works_without_llm():
