@@ -523,8 +523,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat both id and text one stays."""
     rows = materialize(JaccardJoin(docs, id_col, text_col, words, percent).labelled().select("doc_id", "mark", "comp").distinct(), "labelled")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    first = rows.where("comp is not null").groupBy("comp").agg(F.min(place).alias("first"))
-    gone = rows.join(first, "comp").where(place != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    copies = rows.where("comp is not null")
+    first = copies.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("many"))
+    gone = dealt_join(copies, first, ["comp"], F.col("doc_id"), TILE).where(place != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
     ids, mark = F.col(id_col).cast("long"), text_mark(F.col(text_col))
     left = docs.join(gone, ids.eqNullSafe(F.col("_gone")) & (mark == F.col("_mark")), "left_anti")
     return left.dropDuplicates([id_col, text_col]) if _repeats(docs, id_col) else left
