@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathfold.llm import hamming_topk, jaccard, language_id, mixing, piece_bpe, pii, quality, secrets, token_files, token_parquet
+from pathfold.llm import hamming_topk, jaccard, language_id, mixing, piece_bpe, pii, quality, secrets, token_files, token_parquet, turn_trie
 from pathfold.llm.common import read_table
 
 PII_KEY = "pathfold-demo-key"
@@ -73,13 +73,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c begins with the first crc32(c) % 4 turns of conversation c - c % 20."""
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return turn_trie.trie(turns, turn_trie.Heads(lambda c: c - c % 20, lambda c: F.crc32(c.cast("string")) % 4, 3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_hamming_topk, op2_pii_pseudonyms, op3_jaccard_join, op4_token_counts, op5_token_parquet, op6_line_quality, op7_sentencepiece, op8_secret_scan, op9_source_mix, op10_language_id)
+    for f in (op1_hamming_topk, op2_pii_pseudonyms, op3_jaccard_join, op4_token_counts, op5_token_parquet, op6_line_quality, op7_sentencepiece, op8_secret_scan, op9_source_mix, op10_language_id, op13_turn_trie)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: Unsigned CRC-32 of an ASCII text, bit by bit.
+_CRC32 = """xor(list_reduce(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+  lambda crc, byte: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, byte)), 4294967295), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_hamming_topk": """
 WITH bits AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings WHERE len(embedding) = 64),
@@ -143,5 +153,27 @@ r AS (
          CAST(CAST('0x' || substr(sha256('mix:' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r
+""",
+    "op13_turn_trie": rf"""
+WITH t AS (
+  SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS k, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS r FROM t),
+convs AS (SELECT DISTINCT conv_id AS c, conv_id - conv_id % 20 AS base, {_CRC32.format("conv_id")} % 4 AS h FROM t),
+joined AS (
+  SELECT c, 0 AS side, r, k, words FROM convs JOIN numbered n ON n.conv_id = base AND r <= h UNION ALL
+  SELECT c, 1, r, k, words FROM convs JOIN numbered n ON n.conv_id = c AND r > h),
+places AS (
+  SELECT c, row_number() OVER w AS d, words, string_agg(k, '') OVER w AS name FROM joined WINDOW w AS (PARTITION BY c ORDER BY side, r ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+ended AS (SELECT c, arg_max(name, d) AS name FROM places GROUP BY c),
+nodes AS (SELECT name, d AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM places GROUP BY name, d),
+kids AS (SELECT substr(name, 1, 64 * (depth - 1)) AS name, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN kids USING (name) LEFT JOIN nodes p ON n.depth > 0 AND p.name = substr(n.name, 1, 64 * (n.depth - 1))),
+above AS (SELECT substr(name, 1, 64 * k) AS name, n_children = 0 AS leaf, (n_convs - 1) * words AS saved FROM own, LATERAL (SELECT unnest(range(CAST(length(name) // 64 + 1 AS BIGINT))) AS k)),
+sums AS (SELECT name, CAST(count(*) FILTER (leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY 1),
+hashes AS (SELECT name, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM ended GROUP BY 1)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN sums USING (name) LEFT JOIN hashes USING (name)
 """,
 }
