@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathfold.llm import hamming_topk, jaccard, language_id, mixing, piece_bpe, pii, quality, secrets, token_align, token_files, token_parquet, turn_trie
+from pathfold.llm import hamming_topk, jaccard, language_id, media, mixing, piece_bpe, pii, quality, secrets, token_align, token_files, token_parquet, turn_trie
 from pathfold.llm.common import read_table
 
 PII_KEY = "pathfold-demo-key"
@@ -73,6 +73,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is the difference hash; the tile's digest stands for the tile."""
+    found = media.round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    own = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    return found.select(*own, F.col("dhash").alias("feature"), F.sha2("tile", 256).alias("tile_sha256"))
+
+
 def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return token_align.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
@@ -86,7 +93,7 @@ def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_hamming_topk, op2_pii_pseudonyms, op3_jaccard_join, op4_token_counts, op5_token_parquet, op6_line_quality, op7_sentencepiece, op8_secret_scan, op9_source_mix, op10_language_id, op12_token_align, op13_turn_trie)
+    for f in (op1_hamming_topk, op2_pii_pseudonyms, op3_jaccard_join, op4_token_counts, op5_token_parquet, op6_line_quality, op7_sentencepiece, op8_secret_scan, op9_source_mix, op10_language_id, op11_media_columns, op12_token_align, op13_turn_trie)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
