@@ -20,7 +20,8 @@ Nothing is collected but HOT and a few counts. Classes are named by 64-bit finge
 probability n * n / 2**65.
 
 Defined results: a text without words has no shingles and no links; one with fewer than n words has one shingle, its
-whole sequence; a null id has no say in a component's id; repeated rows are copies; one id may have several texts, each
+whole sequence; a document with a null id links others like any, but has no say in a component's id (null where all of its
+documents have none); an empty table gives an empty one; repeated rows are copies; one id may have several texts, each
 in its own group; other columns, whatever their names, are ignored; texts of any length are taken whole.
 """
 
@@ -382,7 +383,7 @@ class JaccardJoin:
         self.rows = marks.where("kind = 0").select(F.col("id").alias("doc_id"), "mark", "n", F.col("v").alias("sig"))
         frequent = marks.where("kind = 1").groupBy("v").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "v").limit(HOT)
         self.hot = self.spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in frequent.select("v").collect()], dtype=np.int64)).view(np.uint64))
-        self.classes = materialize(marks.where("kind = 0 and v is not null").groupBy(F.col("v").alias("sig")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+        self.classes = materialize(marks.where("kind = 0 and v is not null").groupBy(F.col("v").alias("sig")).agg(F.min("id").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("doc_id"), "mark")).alias("own"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
 
     def _cut(self, df: DataFrame, name: str) -> DataFrame:
         """df written to the shared folder until the components are known."""
@@ -408,9 +409,11 @@ class JaccardJoin:
                 seen |= new.keys()
                 yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([ordered(x, hot.value).tobytes() for x in new.values()], pa.binary())], names=["sig", "shingles"])
 
-        wanted = sized(members.select("sig").distinct().join(self.classes.select("sig", "rep"), "sig").select(F.col("rep").alias("doc_id")), "wanted", 1_000_000)  # 8 MB of ids at most
-        texts = self.docs.join(wanted, "doc_id", "left_semi")
-        # Repeated rows of one id give a set once a task; the join below and _verify take repeats as one.
+        # A class's text is known by id and mark: several texts may have one id, or none.
+        wanted = sized(members.select("sig").distinct().join(self.classes, "sig").select("own.doc_id", "own.mark"), "wanted", 1_000_000).alias("w")  # 16 MB of numbers at most
+        docs = self.docs.withColumn("mark", text_mark(F.col("text"))).alias("d")
+        texts = docs.join(wanted, (F.col("d.mark") == F.col("w.mark")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("doc_id", "text")
+        # Repeated rows give a set once a task; the join below and _verify take repeats as one.
         return texts.mapInArrow(tidied(run), "sig long, shingles binary").join(members, "sig")
 
     def _links(self, members: DataFrame) -> DataFrame:
@@ -525,9 +528,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     copies = rows.where("comp is not null")
     first = copies.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("many"))
-    gone = dealt_join(copies, first, ["comp"], F.col("doc_id"), TILE).where(place != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
-    ids, mark = F.col(id_col).cast("long"), text_mark(F.col(text_col))
-    left = docs.join(gone, ids.eqNullSafe(F.col("_gone")) & (mark == F.col("_mark")), "left_anti")
+    gone = dealt_join(copies, first, ["comp"], F.col("doc_id"), TILE).where(place != F.col("first")).select("doc_id", "mark").distinct().alias("g")
+    held = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("mark")).alias("h")
+    left = held.join(gone, F.col("h.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("h.mark") == F.col("g.mark")), "left_anti").select("row.*")
     return left.dropDuplicates([id_col, text_col]) if _repeats(docs, id_col) else left
 
 

@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in built-in column functions only.
 
 Spans are found by one alternation of patterns, validated, and replaced by a keyed permutation of their own format:
-a Feistel network over two residues (a, b), whose rounds add a SHA-256 digest of (key, kind, round, other half) to one
+a Feistel network over two residues (a, b), whose rounds add an HMAC-SHA-256 of (kind, round, other half) under the key to one
 of them. It is a bijection of each format, so equal values stay equal in all documents and different ones stay
 different, and nobody without the key can go back.
 
@@ -16,13 +16,15 @@ different, and nobody without the key can go back.
 
 Separators, brackets, the domain and everything else keep their places. Values that fail their validation stay. Long
 local parts are permuted whole: in parts of PART characters, whose letters go in pieces of 20 and digits of 30.
-Defined results: a null text stays null with no finds; an empty text stays empty; rows are changed in place, one
+Defined results: a null text stays null with no finds; null ids are kept; an empty table stays one; an empty text stays empty; rows are changed in place, one
 for one, without a shuffle, so repeated rows stay equal; other columns stay as they are, whatever their names; texts of
 any length, and addresses of any length in them, are handled in linear time.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +72,28 @@ def _long(x) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("bigint")
 
 
-def feistel(a: Column, b: Column, size_a: Column, size_b: Column, kind: str, key: str) -> Column:
+def keyed(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `_mac`, the two padded blocks of an HMAC under the key (UTF-8; hashed where it is longer than a block). The blocks
+    are the one row of a table, so neither they nor the key stand in a plan, its JSON, the UI or an event log; they are in the
+    closure of the tasks that read that row, and in memory."""
+    secret = key.encode()
+    block = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    pads = [bytearray(x ^ y for x in block) for y in (0x36, 0x5C)]
+    table = rows.sparkSession.createDataFrame([(pads,)], "_mac struct<inner: binary, outer: binary>")
+    return rows.crossJoin(F.broadcast(table))  # one row
+
+
+def mac(key: Column, text: Column) -> Column:
+    """HMAC-SHA-256 of text in hexadecimal; key is the column `_mac`."""
+    return F.sha2(F.concat(key["outer"], F.unhex(F.sha2(F.concat(key["inner"], F.encode(text, "UTF-8")), 256))), 256)
+
+
+def feistel(a: Column, b: Column, size_a: Column, size_b: Column, kind: str, key: Column) -> Column:
     """Keyed permutation of the pairs (a, b) with a < size_a, b < size_b, as a struct (a, b)."""
 
     def digest(half: Column, turn: Column) -> Column:
-        text = F.concat_ws("|", F.lit(key), F.lit(kind), size_a.cast("string"), size_b.cast("string"), turn.cast("string"), half.cast("string"))
-        return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint")
+        text = F.concat_ws("|", F.lit(kind), size_a.cast("string"), size_b.cast("string"), turn.cast("string"), half.cast("string"))
+        return F.conv(F.substring(mac(key, text), 1, 13), 16, 10).cast("bigint")
 
     def turn(acc: Column, i: Column) -> Column:
         left = F.when(i % 2 == 0, F.pmod(acc["a"] + digest(acc["b"], i), size_a)).otherwise(acc["a"])
@@ -94,7 +112,7 @@ def _power(base: int, n: Column) -> Column:
     return F.pow(F.lit(float(base)), n).cast("bigint")
 
 
-def permute_digits(digits: Column, kind: str, key: str) -> Column:
+def permute_digits(digits: Column, kind: str, key: Column) -> Column:
     """A string of digits (up to 30), permuted among those of its length."""
     n = F.length(digits)
     u = F.floor(n / 2).cast("int")
@@ -117,7 +135,7 @@ def _number_letters(number: Column, n: Column) -> Column:
     return spelled
 
 
-def permute_letters(letters: Column, key: str) -> Column:
+def permute_letters(letters: Column, key: Column) -> Column:
     """Lower-case ASCII letters, permuted among those of their number, in pieces of 20."""
 
     def permuted(piece: Column) -> Column:
@@ -206,13 +224,13 @@ def kind_of(s: Column) -> Column:
     )
 
 
-def _card(s: Column, key: str) -> Column:
+def _card(s: Column, key: Column) -> Column:
     digits = _digits(s)
     payload = permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), "card", key)
     return _with(payload, lambda p: _fill(s, F.concat(p, ((10 - luhn_sum(F.concat(p, F.lit("0"))) % 10) % 10).cast("string")), "[0-9]"))
 
 
-def _iban(s: Column, key: str) -> Column:
+def _iban(s: Column, key: Column) -> Column:
     flat = F.regexp_replace(s, " ", "")
     country, rest = F.substring(flat, 1, 2), F.substring(flat, F.lit(5), F.length(flat))
     numbers = _digits(rest)
@@ -225,7 +243,7 @@ def _iban(s: Column, key: str) -> Column:
     return _with(account, build)
 
 
-def _ssn(s: Column, key: str) -> Column:
+def _ssn(s: Column, key: Column) -> Column:
     area = F.substring(s, 1, 3).cast("int")
     serial = (F.substring(s, 5, 2).cast("int") - 1) * 9999 + F.substring(s, 8, 4).cast("int") - 1
     mixed = feistel(area - 1 - (area > 666).cast("int"), serial, _long(AREAS), _long(SERIALS), "ssn", key)
@@ -237,14 +255,14 @@ def _ssn(s: Column, key: str) -> Column:
     return _with(mixed, build)
 
 
-def _ip(s: Column, key: str) -> Column:
+def _ip(s: Column, key: Column) -> Column:
     part = lambda i: F.element_at(F.split(s, r"\."), i).cast("bigint")
     mixed = feistel(part(1) * 256 + part(2), part(3) * 256 + part(4), _long(65536), _long(65536), "ip", key)
     octet = lambda x: (F.floor(x / F.lit(256)).cast("string"), (x % 256).cast("string"))
     return _with(mixed, lambda m: F.concat_ws(".", *octet(m["a"]), *octet(m["b"])))
 
 
-def _date(s: Column, key: str) -> Column:
+def _date(s: Column, key: Column) -> Column:
     first = F.lit(FIRST_DAY).cast("date")
 
     def moved(day: Column) -> Column:
@@ -262,29 +280,31 @@ def _date(s: Column, key: str) -> Column:
     return F.when(_day_first(s).isNotNull(), _with(moved(_day_first(s)), text)).otherwise(american)
 
 
-def _phone(s: Column, key: str) -> Column:
+def _phone(s: Column, key: Column) -> Column:
     prefix = F.regexp_extract(s, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9]{2})?", 0)
     rest = F.substring(s, F.length(prefix) + 1, F.length(s))
     return F.concat(prefix, _fill(rest, permute_digits(_digits(rest), "phone", key), "[0-9]"))
 
 
-def _local_part(part: Column, key: str) -> Column:
-    letters, numbers = F.regexp_replace(part, "[^a-z]", ""), _digits(part)
-    spelled = F.when(F.length(letters) > 0, _fill(part, permute_letters(letters, key), "[a-z]")).otherwise(part)
+def _local_part(part: Column, key: Column) -> Column:
+    """Letters are permuted as lower-case ones and keep the case of their places, so different parts stay different."""
+    letters, numbers = F.regexp_replace(part, "[^A-Za-z]", ""), _digits(part)
+    cased = _with(permute_letters(F.lower(letters), key), lambda new: F.array_join(F.zip_with(F.split(letters, ""), F.split(new, ""), lambda old, c: F.when(old.rlike("[A-Z]"), F.upper(c)).otherwise(c)), ""))
+    spelled = F.when(F.length(letters) > 0, _fill(part, cased, "[A-Za-z]")).otherwise(part)
     moved = F.array_join(F.transform(F.regexp_extract_all(numbers, F.lit("[0-9]{1,30}"), F.lit(0)), lambda x: permute_digits(x, "email", key)), "")
     return F.when(F.length(numbers) > 0, _fill(spelled, moved, "[0-9]")).otherwise(spelled)
 
 
-def _email(s: Column, key: str) -> Column:
-    local = F.lower(F.substring_index(s, "@", 1))
+def _email(s: Column, key: Column) -> Column:
+    local = F.substring_index(s, "@", 1)
     parts = F.regexp_extract_all(local, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
     new = F.array_join(F.transform(parts, lambda x: _local_part(x, key)), "")
     # A local part that is all other letters, or that the permutation maps to itself, gets digits of its digest.
-    digest = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), s), 256), 1, 10), 16, 10)
+    digest = F.conv(F.substring(mac(key, F.concat(F.lit("email|"), s)), 1, 10), 16, 10)
     return F.concat(_with(new, lambda n: F.when(n == local, F.concat(F.lit("u"), digest)).otherwise(n)), F.lit("@"), F.substring_index(s, "@", -1))
 
 
-def pseudonym(s: Column, kind: Column, key: str) -> Column:
+def pseudonym(s: Column, kind: Column, key: Column) -> Column:
     made = F.when(kind == "email", _email(s, key))
     for name, make in (("iban", _iban), ("date", _date), ("ip", _ip), ("ssn", _ssn), ("card", _card), ("phone", _phone)):
         made = made.when(kind == name, make(s, key))
@@ -302,8 +322,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", counts: bool
     searched = F.coalesce(text.rlike(HINT), F.lit(False))
     empty = F.array().cast("array<string>")
     held = docs.select(F.struct("*").alias("_row"), text.alias("_text"), F.when(searched, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(empty).alias("_found"))
-    typed = held.withColumn("_found", F.transform("_found", lambda s: F.struct(s.alias("old"), kind_of(s).alias("kind"))))
-    made = typed.withColumn("_found", F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["old"], x["kind"], key).alias("new"))))
+    typed = keyed(held, key).withColumn("_found", F.transform("_found", lambda s: F.struct(s.alias("old"), kind_of(s).alias("kind"))))
+    made = typed.withColumn("_found", F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["old"], x["kind"], F.col("_mac")).alias("new"))))
     between = F.split("_text", ANY, -1)
     pieces = F.zip_with(between, F.col("_found"), lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit(""))))
     new = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(F.col("_text"))

@@ -34,11 +34,22 @@ def qualified(spark: SparkSession, path: str) -> str:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
+def most_id(tokenizer: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+
+
 def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write flat files for each partition of docs below `path` (a URL or folder that executors share), without a
     shuffle. Gives the rows (file, ordinal, doc_id) of what was written; the files themselves hold no index. Each
     attempt of a task has a file of its own that gets its name when it is whole; the rows of the attempt that Spark
-    commits name the file that counts."""
+    commits name the file that counts. A vocabulary or an end id that dtype cannot hold is an error."""
+    import numpy as np
+
+    most = np.iinfo(np.dtype(dtype)).max
+    if max(most_id(tokenizer), end_id) > most or end_id < 0:
+        raise ValueError(f"ids up to {max(most_id(tokenizer), end_id)} do not fit {dtype}")
 
     def put(batches: Iterator) -> Iterator:
         import numpy as np

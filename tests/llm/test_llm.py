@@ -29,7 +29,7 @@ def words(n, seed=0, size=2000):
 def messy(spark):
     """Nulls in every column, empty and blank texts, repeats, and columns whose names clash with the operators' own."""
     rows = [(0, words(80), "en", "a", 1), (0, words(80), "en", "a", 1), (1, None, None, None, None), (None, words(60, 1), "en", "b", 1), (3, "", "en", "b", 0), (4, " \n\t ", "fr", "b", 0), (5, "x" * 30_000, "fr", None, 1), (6, "é日本😀 " * 20, "fr", "b", 1)]
-    names = ("sig", "n", "e", "g", "kept", "size", "rate", "row", "_row", "_text", "copies", "target", "ids", "code", "rank", "spans", "component_id")
+    names = ("_gone", "_mark", "_mac", "sig", "n", "e", "g", "kept", "size", "rate", "row", "_row", "_text", "copies", "target", "ids", "code", "rank", "spans", "component_id")
     return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in names})
 
 
@@ -138,13 +138,29 @@ def test_links_stay_and_clean_texts_too(spark):
 def test_permutations_are_bijections(spark):
     n = 1000
     rows = spark.range(n).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
-    assert rows.select(pii.permute_digits(F.col("d"), "x", "k")).distinct().count() == n
-    days = spark.range(0, 73049, 7).select(pii._date(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd"), "k").alias("d"))
+    mac = F.col("_mac")
+    assert pii.keyed(rows, "k").select(pii.permute_digits(F.col("d"), "x", mac)).distinct().count() == n
+    days = pii.keyed(spark.range(0, 73049, 7), "k").select(pii._date(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd"), mac).alias("d"))
     assert days.distinct().count() == days.count()
-    ssn = spark.range(1, 900).where("id <> 666").select(pii._ssn(F.concat(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("-01-0001")), "k").alias("s"))
+    ssn = pii.keyed(spark.range(1, 900).where("id <> 666"), "k").select(pii._ssn(F.concat(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("-01-0001")), mac).alias("s"))
     assert ssn.distinct().count() == 898 and ssn.where(pii.kind_of(F.col("s")) != "ssn").count() == 0
 
 
+def test_key_stays_out_of_plans(spark):
+    """Neither the key nor its pads, in text or hexadecimal, stand in any form of the plan."""
+    key = "very-secret-key"
+    plan = pii.pseudonymize(docs(spark, "4111111111111111", "a@b.org"), key)._jdf.queryExecution()
+    said = plan.toString() + plan.logical().toJSON() + plan.optimizedPlan().toJSON() + plan.executedPlan().toString() + plan.debug().codegenToSeq().toString()
+    pads = [bytes(x ^ y for x in key.encode().ljust(64, b"\0")) for y in (0x36, 0x5C)]
+    assert not any(x in said for x in (key, key.encode().hex(), *[p.hex() for p in pads], *[p.hex().upper() for p in pads], *[str(list(p))[1:20] for p in pads]))
+
+
+def test_local_parts_keep_their_case(spark):
+    got = [t.split("@")[0] for t, _ in pseudonyms(spark, "Ann.Lee42@a.org", "ann.lee42@a.org", "ANN.LEE42@a.org")]
+    shape = lambda s: re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", s)))
+    assert [shape(x) for x in got] == ["Aaa.Aaa99", "aaa.aaa99", "AAA.AAA99"] and len(set(got)) == 3 and len({x.lower() for x in got}) == 1
+
+
 def test_pii_messy(spark):
     df = messy(spark)
     out = pii.pseudonymize(df, "k", counts=False)
@@ -643,6 +659,54 @@ def test_pipeline(spark, sf):
     assert sorted((r.doc_id, tuple(r.piece_ids)) for r in got.collect()) == sorted(want)
 
 
+def test_links_over_documents_without_ids(spark):
+    """A class whose documents all have a null id is judged, links others, and keeps one copy."""
+    base = words(300, 9).split()
+    a, b, c = base[:], base[:], base[:]
+    for i in (10, 60, 110, 160):
+        a[i] = f"a{i}"
+    for i in (20, 70, 120, 170):
+        c[i] = f"c{i}"
+    texts = [(1, " ".join(a)), (None, " ".join(b)), (5, " ".join(c))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS)
+    alone, label = brute_components([" ".join(a), " ".join(c)])
+    assert len(set(label)) == 2  # the two others are linked by the one without an id only
+    assert {r.doc_id: r.component_id for r in jaccard.groups(df).collect()} == {1: 1, None: 1, 5: 1}
+    pair = spark.createDataFrame([(None, " ".join(a), "en", "s", 0), (None, " ".join(b), "en", "s", 0)], DOCS)
+    assert jaccard.one_of_each(pair).count() == 1
+
+
+def test_a_third_of_ids_null(spark):
+    r = random.Random(12)
+    texts = []
+    for g in range(12):
+        base = words(120, g).split()
+        for _ in range(r.randrange(1, 5)):
+            w = base[:]
+            for _ in range(r.randrange(0, 4)):
+                w[r.randrange(120)] = f"x{r.randrange(99)}"
+            texts.append(" ".join(w))
+    ids = [None if r.random() < 0.34 else i for i in range(len(texts))]
+    sizes, label = brute_components(texts)
+    least = {}
+    for i, c in zip(ids, label):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    got = jaccard.groups(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts)], DOCS)).collect()
+    want = sorted((str(i), str(least.get(c))) for i, c in zip(ids, label))
+    assert sorted((str(x.doc_id), str(x.component_id)) for x in got) == want
+    names = ("_gone", "_mark", "gone", "mark", "row", "comp")
+    clash = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts)], DOCS).withColumns({c: F.lit("x") for c in names})
+    kept = jaccard.one_of_each(clash)
+    assert kept.columns == clash.columns and kept.count() == len(set(label)) and kept.where("_gone = 'x' AND mark = 'x'").count() == len(set(label))
+
+
+def test_ids_fit_their_type(spark, tmp_path):
+    for kind, end in (("u1", 0), ("<u2", 70_000), ("<i2", 0)):
+        with pytest.raises(ValueError, match="do not fit"):
+            token_files.write_files(docs(spark, "a"), str(tmp_path), BPE, end, kind)
+
+
 def test_pipeline_stages_take_empty_and_messy_tables(spark, sf):
     import corpus_pipeline
 
