@@ -110,16 +110,6 @@ def domain_static(spark, sf_dir):
     return parts(spark, sf_dir).select("dataset").distinct().join(each, "dataset", "left").crossJoin(F.broadcast(every)).select("dataset", F.coalesce("own", "all").alias("model_id"))
 
 
-@query("policy_grid", "SELECT kind, count(*) AS n FROM (VALUES " + ", ".join(f"('{k}')" for _, k, _, _ in POLICIES) + ") g(kind) GROUP BY kind")
-def policy_grid(spark, sf_dir):
-    return spark.createDataFrame(POLICIES, "policy_id string, kind string, value double, model string").groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("candidate_grid", "SELECT f.family, k.kind, count(*) AS n FROM (SELECT unnest(['handcrafted', 'tfidf', 'embedding', 'embedding_handcrafted']) AS family) f, (VALUES ('threshold', 21), ('utility', 8), ('advantage', 5)) k(kind, m), LATERAL (SELECT unnest(range(4 * m))) x GROUP BY ALL")
-def candidate_grid(spark, sf_dir):
-    return spark.createDataFrame(routing.candidate_grid(), "candidate_id string, family string, kind string, value double, gate double").groupBy("family", "kind").agg(F.count("*").alias("n"))
-
-
 # -- the grid on every prompt ---------------------------------------------------------------------------------------
 
 _VALUES = ", ".join(f"('{a}', '{k}', {'NULL' if v is None else repr(v)}::DOUBLE, {'NULL' if m is None else repr(m)})" for a, k, v, m in POLICIES)
@@ -453,62 +443,3 @@ def fold_stability(spark, sf_dir):
     fold = F.conv(F.substring(F.sha2(F.concat(F.lit("fold:"), "text_group"), 256), 1, 8), 16, 10).cast("bigint") % 5
     d = F.avg(F.col("ry") - F.col("by_"))
     return pairs(spark, sf_dir).groupBy(fold.alias("fold")).agg(F.count("*").alias("n"), F.round(d, 9).alias("delta"), F.round(1 - F.avg("rc") / F.avg("bc"), 9).alias("savings"), (d >= -routing.SLACK).alias("passes"))
-
-
-# -- candidates of all families behind all gates --------------------------------------------------------------------
-
-_GATES = ", ".join(f"({q}::DOUBLE)" for q in routing.GATE_QUANTILES)
-_FAMILY_SQL = (
-    GRID_SQL
-    + f""", families(family) AS (VALUES {", ".join(f"('{f}')" for f in routing.FAMILIES)}), gates(gate) AS (VALUES {_GATES}),
-fp AS (SELECT v.* REPLACE (CAST(CAST(round(p * 1000) AS BIGINT) + CAST('0x' || substr(sha256(prompt_id || ':' || model_id || ':' || family), 1, 8) AS BIGINT) % 201 - 100 AS DOUBLE) / 1e3 AS p), family FROM val v CROSS JOIN families),
-fwide AS (SELECT v.*, r.c AS rc, r.p AS rp, r.y AS ry, r.cost AS rcost, max(v.c) OVER (PARTITION BY v.prompt_id, v.family) AS top FROM fp v JOIN fp r ON r.prompt_id = v.prompt_id AND r.family = v.family AND r.model_id = '{REFERENCE}'),
-facts_ AS (
-  SELECT w.*, g.policy_id FROM fwide w CROSS JOIN policies g WHERE g.kind <> 'static'
-  QUALIFY row_number() OVER (PARTITION BY w.prompt_id, w.family, g.policy_id ORDER BY
-    CASE WHEN g.kind = 'threshold' AND p < g.value THEN 1 WHEN g.kind = 'advantage' AND NOT (c < rc AND p >= rp + g.value) THEN CASE WHEN w.model_id = '{REFERENCE}' THEN 1 ELSE 2 END ELSE 0 END,
-    CASE WHEN g.kind = 'utility' THEN -(p - g.value * c / top) WHEN g.kind = 'threshold' AND p < g.value THEN -p ELSE c END,
-    CASE WHEN g.kind = 'utility' OR (g.kind = 'threshold' AND p < g.value) THEN c ELSE -p END, w.model_id) = 1),
-sims AS (SELECT DISTINCT prompt_id, split, CAST(CAST('0x' || substr(sha256(prompt_id || ':novelty'), 1, 8) AS BIGINT) % 10000 AS DOUBLE) / 1e4 AS sim FROM cand),
-trained AS (SELECT sim, row_number() OVER (ORDER BY sim) AS k, count(*) OVER () AS n FROM sims WHERE split = 'train'),
-cuts AS (SELECT gate, min(sim) AS cut FROM gates LEFT JOIN trained ON gate > 0 AND k >= gate * n GROUP BY gate)
-"""
-)
-
-
-def _similarity(prompt_id):
-    """A stand-in for a prompt's similarity to the training prompts; the measured one is novelty_similarity."""
-    return F.conv(F.substring(F.sha2(F.concat(prompt_id, F.lit(":novelty")), 256), 1, 8), 16, 10).cast("bigint") % 10000 / F.lit(1e4)
-
-
-@query(
-    "candidate_outcomes",
-    _FAMILY_SQL
-    + f"""SELECT family || '__' || policy_id || '__gate_' || printf('%.2f', gate) AS candidate_id, count(*) AS n, count(*) FILTER (gate > 0 AND sim < cut) AS gated, count(*) FILTER (model_id = '{REFERENCE}' OR (gate > 0 AND sim < cut)) AS baseline,
-  round(avg(CASE WHEN gate > 0 AND sim < cut THEN ry ELSE y END), 9) AS quality, round(avg(CASE WHEN gate > 0 AND sim < cut THEN rcost ELSE cost END), 9) AS cost
-FROM facts_ JOIN sims USING (prompt_id) CROSS JOIN cuts GROUP BY family, policy_id, gate""",
-)
-def candidate_outcomes(spark, sf_dir):
-    """All 544 candidates on every validation prompt: four families' probabilities, 34 rules, and four gates below which the
-    reference answers (equality passes). Families, rules and gates are arrays within a prompt's row; nothing is joined."""
-    sims = parts(spark, sf_dir).where("split = 'train'").select("prompt_id").distinct().select(_similarity(F.col("prompt_id")).alias("sim"))
-    exact = sims.agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY sim)").alias(f"q{i}") if q else F.lit(None).cast("double").alias(f"q{i}") for i, q in enumerate(routing.GATE_QUANTILES)])
-    pool_ = F.col("pool")
-
-    def moved(family: str):
-        def own(x):
-            h = F.conv(F.substring(F.sha2(F.concat_ws(":", "prompt_id", x["model_id"], F.lit(family)), 256), 1, 8), 16, 10).cast("bigint")
-            return F.struct(x["model_id"].alias("model_id"), x["idx"].alias("idx"), x["c"].alias("c"), ((F.round(x["p"] * 1000).cast("bigint") + h % 201 - 100) / F.lit(1e3)).alias("p"), x["y"].alias("y"), x["cost"].alias("cost"))
-
-        return F.struct(F.lit(family).alias("family"), F.transform(pool_, own).alias("pool"))
-
-    rows = pools(spark, sf_dir).select("prompt_id", F.inline(F.array(*[moved(f) for f in routing.FAMILIES])))
-    rows = rows.withColumn("ref", routing.static(pool_, F.lit(REFERENCE))).withColumn("sim", _similarity(F.col("prompt_id")))
-    chosen = routing.grid_actions(rows, [r for r in POLICIES if r[1] != "static"], REFERENCE).crossJoin(F.broadcast(exact))  # one row
-    gates = F.explode(F.array(*[F.struct(F.lit(f"{q:.2f}").alias("gate"), (F.col("sim") < F.col(f"q{i}")).alias("shut") if q else F.lit(False).alias("shut")) for i, q in enumerate(routing.GATE_QUANTILES)]))
-    each = chosen.select("family", "policy_id", "it", "ref", gates.alias("g"))
-    it = F.when(F.col("g.shut"), F.col("ref")).otherwise(F.col("it"))
-    name = F.concat("family", F.lit("__"), "policy_id", F.lit("__gate_"), F.col("g.gate"))
-    return each.select(name.alias("candidate_id"), F.col("g.shut").alias("shut"), it.alias("it")).groupBy("candidate_id").agg(
-        F.count("*").alias("n"), F.count_if("shut").alias("gated"), F.count_if(F.col("it.model_id") == REFERENCE).alias("baseline"), F.round(F.avg("it.y"), 9).alias("quality"), F.round(F.avg("it.cost"), 9).alias("cost")
-    )
