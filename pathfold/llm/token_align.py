@@ -64,16 +64,9 @@ class TokenBytes:
         return self.flat[np.arange(total) + np.repeat(self.at[ids] - begin, size)]
 
 
-class Digits:
-    """Decimal numbers of ids as rows of fixed width, with room for a separator."""
-
-    def __init__(self, n: int):
-        width = len(str(n - 1))
-        text = np.char.zfill(np.arange(n).astype(str), width)
-        self.rows = np.zeros((n, width + 1), dtype=np.uint8)
-        self.rows[:, :width] = np.array([list(t.encode()) for t in text], dtype=np.uint8)
-        used = np.maximum(1, np.floor(np.log10(np.maximum(np.arange(n), 1))).astype(int) + 1)
-        self.keep = np.arange(width + 1)[None, :] >= (width - used)[:, None]
+def spelled(n: int) -> np.ndarray:
+    """Decimal numbers below n with what may follow one: ',' at i, '|' at n + i, ';' at 2 * n + i."""
+    return np.array([b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(n)], dtype=object)
 
 
 class Pair:
@@ -87,7 +80,8 @@ class Pair:
             entries[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         self.a_bytes = TokenBytes(entries)
         self.b_bytes = TokenBytes([bytes([self.b.byte_of[i]]) if i in self.b.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.b.pieces)])
-        self.digits = Digits(max(len(entries), len(self.b.pieces)))
+        self.ids = max(len(entries), len(self.b.pieces))
+        self.spelled = spelled(self.ids)
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -125,37 +119,38 @@ class Aligned:
         ids_a, ids_b = [[x if g else empty for x, g in zip(ids, good.tolist(), strict=True)] for ids in (ids_a, ids_b)]
         self.n_a, self.n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (ids_a, ids_b))
         self.a, self.b = (np.concatenate([*ids, empty]).astype(np.int64) for ids in (ids_a, ids_b))
-        self.ends_a, self.ends_b = np.cumsum(tok.a_bytes.size[self.a]), np.cumsum(tok.b_bytes.size[self.b])
-        self.doc_ends = np.cumsum(np.where(good, size, 0))
-        self.shared = np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
-        cuts = np.union1d(self.ends_a, self.ends_b)
-        self.doc = np.searchsorted(self.doc_ends, cuts, side="left")
-        self.link_a, self.link_b = self.a[np.searchsorted(self.ends_a, cuts)], self.b[np.searchsorted(self.ends_b, cuts)]
-        of = lambda ends: np.bincount(np.searchsorted(self.doc_ends, ends, side="left"), minlength=n)[:n].astype(np.int64)
-        self.n_groups, self.n_links = of(self.shared), of(cuts)
-        self.digits = tok.digits
+        # Flags on the places of all bytes: where an A or a B token ends.
+        doc_ends, total = np.cumsum(np.where(good, size, 0)), int(size[good].sum()) + 1
+        ends = np.zeros((2, total), dtype=bool)
+        ends[0, np.cumsum(tok.a_bytes.size[self.a])] = ends[1, np.cumsum(tok.b_bytes.size[self.b])] = True
+        either, both = ends[0] | ends[1], ends[0] & ends[1]
+        per_doc = lambda flags: np.diff(np.cumsum(flags)[doc_ends], prepend=0).astype(np.int64)
+        self.n_links, self.n_groups = per_doc(either), per_doc(both)
+        cuts = np.flatnonzero(either)
+        self.here, shared = ends[:, cuts], both[cuts]
+        self.group = np.cumsum(shared) - shared
+        own_a, own_b = (np.cumsum(x) - x for x in self.here)
+        self.link_a, self.link_b = self.a[own_a], self.b[own_b]
+        self.doc = np.repeat(np.arange(n), self.n_links)
+        self.shared, self.tok = shared, tok
 
     def groups(self) -> list[bytes]:
         """'a1,a2|b1;a3|b2,b3' of each text."""
-        after_a, after_b = np.searchsorted(self.shared, self.ends_a, "left"), np.searchsorted(self.shared, self.ends_b, "left")  # group of each token
+        if not len(self.shared):
+            return [b""] * len(self.n_a)
+        last = np.flatnonzero(self.shared)
+        upto_a, upto_b = (np.cumsum(x)[last] for x in self.here)  # tokens up to the end of each group
+        group_a, group_b = (self.group[x] for x in self.here)
         # A's tokens of a group, then B's: a token's place is its own number and that of the other side's before it.
-        b_upto = np.searchsorted(self.ends_b, np.concatenate(([0], self.shared)), "right")
-        a_upto = np.searchsorted(self.ends_a, self.shared, "right")
-        place_a, place_b = np.arange(len(self.a)) + b_upto[after_a], np.arange(len(self.b)) + a_upto[after_b]
-        ids = np.empty(len(self.a) + len(self.b), dtype=np.int64)
-        ids[place_a], ids[place_b] = self.a, self.b
-        ends_a, ends_b = np.zeros(len(self.a), dtype=bool), np.zeros(len(self.b), dtype=bool)
-        ends_a[a_upto - 1] = True
-        ends_b[b_upto[1:] - 1] = True
-        mark = np.empty(len(ids), dtype=np.uint8)
-        mark[place_a], mark[place_b] = np.where(ends_a, ord("|"), ord(",")), np.where(ends_b, ord(";"), ord(","))
-        upto = np.concatenate(([0], np.cumsum(self.n_a + self.n_b)))
-        out = []
-        for lo, hi in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
-            rows = self.digits.rows[ids[lo:hi]]
-            rows[:, -1] = mark[lo:hi]
-            out.append(rows[self.digits.keep[ids[lo:hi]]][:-1].tobytes())
-        return out
+        place_a = np.arange(len(self.a)) + np.concatenate(([0], upto_b))[group_a]
+        place_b = np.arange(len(self.b)) + upto_a[group_b]
+        said = np.empty(len(self.a) + len(self.b), dtype=np.int64)
+        said[place_a], said[place_b] = self.a, self.b
+        said[place_a[upto_a - 1]] += self.tok.ids
+        said[place_b[upto_b - 1]] += 2 * self.tok.ids
+        words = self.tok.spelled[said].tolist()
+        upto = np.concatenate(([0], np.cumsum(self.n_a + self.n_b))).tolist()
+        return [b"".join(words[lo:hi])[:-1] for lo, hi in zip(upto[:-1], upto[1:], strict=True)]
 
     def links(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pair, doc, occurrences), by pair and document; pair is a * width + b."""
