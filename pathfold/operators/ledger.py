@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathfold.operators import scan
+
 #: Fixed values.
 STATUSES = ("success", "parsing_failure", "grading_failure", "provider_error", "skipped_model")
 RESPONDED = ("success", "parsing_failure", "grading_failure")
@@ -59,9 +61,10 @@ def classification() -> Column:
 
 def running_spend(rows: DataFrame, cap, *order: str, key: str | None = None) -> DataFrame:
     """Spend before and after each call, and whether the call is made: calls stop before the first that could pass the cap.
-    A failed attempt is charged its whole bound."""
-    window = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    A failed attempt is charged its whole bound. Totals are made by ranges, so one account may hold all rows."""
+    keys, by = [key] if key else [], [F.col(c) for c in order]
     charged = rows.withColumn("charge", F.when(F.col("failed"), F.col("bound")).otherwise(F.col("cost")))
-    spent = charged.withColumn("after", F.sum("charge").over(window))
+    spent = scan.running(charged, keys, by, {"after": ("sum", F.col("charge"))})
     over = (F.col("after") - F.col("charge") + F.col("bound") > cap).cast("int")
-    return spent.withColumn("stopped", F.max(over).over(window) == 1)
+    stopped = scan.running(spent, keys, by, {"stops": ("max", over)})
+    return stopped.withColumn("stopped", F.col("stops") == 1).drop("stops")

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathfold.operators import scan
+
 BLOCK = 4096
 
 
@@ -45,5 +47,4 @@ def max_similarity(asks: DataFrame, refs: DataFrame, other_groups: bool = False,
 
 def cutoffs(similarity: DataFrame) -> DataFrame:
     """Quantiles .01, .05 and .1 with linear interpolation."""
-    q = F.percentile("similarity", F.array(F.lit(0.01), F.lit(0.05), F.lit(0.1)))
-    return similarity.agg(q.alias("q")).select(*[F.col("q")[i].alias(n) for i, n in enumerate(("c01", "c05", "c10"))])
+    return scan.quantiles(similarity, [], "similarity", (0.01, 0.05, 0.1)).select(*[F.col("q")[i].alias(n) for i, n in enumerate(("c01", "c05", "c10"))])

@@ -10,13 +10,13 @@ from pathfold.operators import learning
 from pathfold.plans.bridge import table
 from pathfold.plans.registry import query
 
-_TERMS_SQL = r"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents WHERE doc_id % 1 = 0),
+_TERMS_SQL = r"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
 terms AS (SELECT doc_id, unnest(w) AS term FROM toks UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM toks)),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
 voc AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 50000),
 w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1e0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN voc USING (term)),
 tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w)
-""".replace(" WHERE doc_id % 1 = 0", "")
+"""
 
 
 @query("tfidf", _TERMS_SQL + "SELECT doc_id, count(*) AS terms, round(sum(w), 6) AS weight, round(max(w), 6) AS heaviest FROM tfidf GROUP BY 1")
@@ -107,11 +107,14 @@ def grade_choice(spark, sf_dir):
     return rows.groupBy("parsed").agg(F.count("*").alias("n"), F.count_if(grading.grade_choice(F.col("parsed"), F.char(F.col("user_id") % 6 + 65))).alias("right_answers"))
 
 
-@query("extract_code", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text) END AS code FROM conversations WHERE text NOT LIKE '%```%'")
+_CODE_SQL = r"regexp_replace(regexp_extract('Here:' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'Done.', '(?is)```(?:python|py)?[ \t]*\r?\n(.*?)```', 1), '^\s+|\s+$', '', 'g')"
+
+
+@query("extract_code", f"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN nullif({_CODE_SQL}, '') END AS code FROM conversations")
 def extract_code(spark, sf_dir):
+    """Every second turn's text in a fence is code; the others have neither fences nor lines of code."""
     fenced = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Here:\n```python\n"), "text", F.lit("\n```\nDone.")))
-    rows = table(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("```")))
-    return rows.select("conv_id", "turn", grading.extract_code(fenced).alias("code"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", grading.extract_code(fenced).alias("code"))
 
 
 def _saved(spark, sf_dir):

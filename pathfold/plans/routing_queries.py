@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathfold.operators import routing
+from pathfold.operators import routing, scan
 from pathfold.plans.bridge import BASE_SQL, MODEL_IDS, REFERENCE, pool
 from pathfold.plans.prep_queries import matrix, parts
 from pathfold.plans.registry import query
+from pathfold.sources.storage import freeze
 
 POLICIES = routing.grid(MODEL_IDS)
 
@@ -319,20 +320,28 @@ def model_summary(spark, sf_dir):
     from pathfold.plans.prep_queries import outcomes
 
     total = prompts(spark, sf_dir).agg(F.count("*").alias("total"))
-    stats = outcomes(spark, sf_dir).where("eligible").groupBy("model_id").agg(F.count("*").alias("n"), *_means())
+    rows = outcomes(spark, sf_dir).where("eligible").select("model_id", "success", "raw_score", "cost_usd")
+    stats = with_median(rows.groupBy("model_id").agg(F.count("*").alias("n"), *_means()), rows, "model_id")
     return stats.crossJoin(F.broadcast(total)).withColumn("coverage", F.round(F.col("n") / F.col("total"), 9)).drop("total")
 
 
 def _means() -> list:
     """Costs are whole micro-dollars, so their sum is exact and the mean does not hang on the order of rows."""
     micro = F.sum(F.round(F.col("cost_usd") * 1e6).cast("bigint")).cast("double")
-    return [F.round(F.avg("success"), 9).alias("success"), F.round(F.avg("raw_score"), 9).alias("raw_score"), F.round(micro / F.count("*") / 1e6, 9).alias("mean_cost"), F.round(F.percentile("cost_usd", F.lit(0.5)), 9).alias("median_cost")]
+    return [F.round(F.avg("success"), 9).alias("success"), F.round(F.avg("raw_score"), 9).alias("raw_score"), F.round(micro / F.count("*") / 1e6, 9).alias("mean_cost")]
+
+
+def with_median(stats: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """stats with the exact median cost of each key, however many rows a key has."""
+    medians = scan.quantiles(rows, list(keys), "cost_usd", (0.5,))
+    return stats.join(medians, list(keys), "left").select(*stats.columns, F.round(F.col("q")[0], 9).alias("median_cost"))
 
 
 @query("static_model_summary", BASE_SQL + "SELECT split, coalesce(dataset, '__all__') AS dataset, model_id, count(*) AS n, round(avg(success), 9) AS success, round(avg(raw_score), 9) AS raw_score, round(CAST(sum(CAST(round(cost_usd * 1e6) AS BIGINT)) AS DOUBLE) / count(*) / 1e6, 9) AS mean_cost, round(quantile_cont(cost_usd, 0.5), 9) AS median_cost FROM parts GROUP BY GROUPING SETS ((split, model_id), (split, dataset, model_id))")
 def static_model_summary(spark, sf_dir):
-    sets = parts(spark, sf_dir).groupingSets([["split", "model_id"], ["split", "dataset", "model_id"]], "split", "dataset", "model_id")
-    return sets.agg(F.count("*").alias("n"), *_means()).fillna("__all__", ["dataset"])
+    rows = parts(spark, sf_dir).select("split", "model_id", "success", "raw_score", "cost_usd", F.explode(F.array("dataset", F.lit("__all__"))).alias("dataset"))
+    rows = freeze(rows, "summary-rows")  # read for the means and for the medians
+    return with_median(rows.groupBy("split", "dataset", "model_id").agg(F.count("*").alias("n"), *_means()), rows, "split", "dataset", "model_id")
 
 
 @query("calibration_bins", BASE_SQL + "SELECT model_id, least(CAST(floor(p * 10) AS BIGINT), 9) AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(success), 9) AS observed FROM parts WHERE split <> 'train' GROUP BY ALL")
@@ -365,10 +374,13 @@ curve AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER
 
 
 def score_curve(rows: DataFrame) -> DataFrame:
-    """Equal scores are one step of the curve: they are summed before the running totals."""
+    """Equal scores are one step of the curve: they are summed before the running totals, which are made by ranges of scores, so one
+    model may hold all rows."""
     tied = rows.groupBy("model_id", "p").agg(F.sum("success").alias("pos"), (F.count("*") - F.sum("success")).alias("neg"))
-    down, whole = Window.partitionBy("model_id").orderBy(F.desc("p")), Window.partitionBy("model_id")
-    return tied.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "np": F.sum("pos").over(whole), "nn": F.sum("neg").over(whole)})
+    tied = freeze(tied, "tied")
+    curve = scan.running(tied, ["model_id"], [-F.col("p")], {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))})
+    whole = tied.groupBy("model_id").agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    return curve.join(F.broadcast(whole), "model_id")  # a row for each model of the pool
 
 
 @query("roc_auc", BASE_SQL + _CURVE_SQL + "SELECT model_id, round(CAST(sum(neg * (2 * tp - pos)) AS DOUBLE) / (2 * CAST(any_value(np) * any_value(nn) AS DOUBLE)), 9) AS auc FROM curve GROUP BY 1")

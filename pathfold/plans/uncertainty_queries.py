@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathfold.operators import novelty, routing
+from pathfold.operators import novelty, routing, scan
 from pathfold.operators import uncertainty as unc
 from pathfold.plans.bridge import MODEL_IDS, REFERENCE, SEED, table
 from pathfold.plans.registry import query
@@ -170,8 +170,8 @@ def select_joint(spark, sf_dir):
 
 @query("quantiles", "SELECT event_type, round(quantile_cont(value, 0.01), 9) AS q01, round(quantile_cont(value, 0.5), 9) AS q50, round(quantile_cont(value, 0.95), 9) AS q95 FROM events GROUP BY 1")
 def quantiles(spark, sf_dir):
-    q = F.percentile("value", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.95)))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(q.alias("q")).select("event_type", *[F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(("q01", "q50", "q95"))])
+    found = scan.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", (0.01, 0.5, 0.95))
+    return found.select("event_type", *[F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(("q01", "q50", "q95"))])
 
 
 # -- novelty --------------------------------------------------------------------------------------------------------
