@@ -44,3 +44,22 @@ def prompt_features(text: Column) -> dict[str, Column]:
         "semicolon_count": count_text(text, ";"),
         "bracket_count": count_chars(text, BRACKETS),
     }
+
+
+#: The names of the features above, in order.
+NAMES = (
+    "character_length", "word_count", "token_estimate", "line_count", "code_fence_count", "contains_code", "contains_math", "answer_choice_count",
+    "digit_count", "question_mark_count", "punctuation_count", "comma_count", "period_count", "colon_count", "semicolon_count", "bracket_count",
+)
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each lower-case ASCII letter occurs."""
+    return F.transform(F.array(*[F.lit(x) for x in LETTERS]), lambda x: (F.length(text) - F.length(F.replace(text, x, F.lit("")))).cast("double"))
+
+
+def unit(vector: Column) -> Column:
+    """The vector at length 1; one without length stays zero."""
+    size = F.greatest(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x)), F.lit(1e-12))
+    return F.transform(vector, lambda x: x / size)

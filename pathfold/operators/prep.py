@@ -84,8 +84,9 @@ def normalized_text(text: Column) -> Column:
 
 
 def exact_text(text: Column) -> Column:
-    """NFKC, case folding and collapsed white space. Texts in ASCII only need built-in functions; the others go to a pandas UDF."""
-    other = text.rlike(r"[^\x00-\x7F]")
+    """NFKC, case folding and collapsed white space. Texts in ASCII without separators U+001C to U+001F only need built-in functions;
+    the others go to a pandas UDF."""
+    other = text.rlike(r"[^\x00-\x1B\x20-\x7F]")
     return F.when(other, normalize_exact(F.when(other, text))).otherwise(normalized_text(text))
 
 

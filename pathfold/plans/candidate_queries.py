@@ -8,13 +8,13 @@ own, those of the same text left out.
 
 from __future__ import annotations
 
-import string
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathfold.functions.text import LETTERS, letter_counts, unit
 from pathfold.operators import candidates, novelty, routing, scan
 from pathfold.plans.bridge import MODEL_IDS, SEED, prompts
 from pathfold.plans.prep_queries import parts
@@ -23,7 +23,6 @@ from pathfold.plans.routing_queries import GRID_SQL, actions, best_single_of, tr
 from pathfold.plans.uncertainty_queries import REPLICATES, _bounds_sql
 from pathfold.sources.storage import freeze
 
-LETTERS = tuple(string.ascii_lowercase)
 LISTED = candidates.candidate_list(len(MODEL_IDS))
 OWN = len(LISTED) // len(MODEL_IDS)
 
@@ -69,13 +68,11 @@ alike AS (SELECT anchor, candidate_id, sha256(string_agg(prompt_id || model_id,
 
 def prompt_cells(spark, sf_dir) -> DataFrame:
     """(prompt_id, cells: a name for each family, vec)."""
-    text = F.col("prompt")
-    v = F.transform(F.array(*[F.lit(x) for x in LETTERS]), lambda x: (F.length(text) - F.length(F.replace(text, x, F.lit("")))).cast("double"))
+    text, v = F.col("prompt"), letter_counts(F.col("prompt"))
     rows = prompts(spark, sf_dir).select("prompt_id", F.concat_ws(":", "dataset", F.coalesce("source_split", F.lit(""))).alias("lexical"), F.concat(F.least(F.floor(F.length(text) / 500), F.lit(11)).cast("string"), F.when(text.rlike("[0-9]"), "d").otherwise("")).alias("shape"), v.alias("v"))
     rows = freeze(rows, "letters")  # 26 scans of a text, once
     topic = F.array_position("v", F.array_max("v")).cast("string")
-    size = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)), F.lit(1e-12))
-    return rows.select("prompt_id", F.array("shape", "lexical", topic, F.concat_ws(":", topic, "shape")).alias("cells"), F.transform("v", lambda x: x / size).alias("vec"))
+    return rows.select("prompt_id", F.array("shape", "lexical", topic, F.concat_ws(":", topic, "shape")).alias("cells"), unit(F.col("v")).alias("vec"))
 
 
 def similarities(rows: DataFrame) -> tuple[DataFrame, dict[float, float]]:

