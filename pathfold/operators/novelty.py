@@ -1,48 +1,165 @@
-"""The novelty gate: largest cosine of unit vectors to a reference set, in blocks.
+"""The novelty gate: largest cosine of unit vectors to a reference set, through an exact metric index.
 
-Both sides are dealt into blocks of a set size and each pair of blocks is one matrix product in numpy; a side's block is
-sent once for each block of the other, no side is broadcast, and a task holds two blocks however large the tables are.
+A bounded number of references are pivots, and every reference belongs to the cell of its nearest pivot, whose radius is the
+largest angle to a member. By the triangle inequality of angles no member of a cell can be nearer to an asker than
+its angle to the pivot less the radius. Askers visit cells in the order of that bound: the best one first, then GROWTH times as many in
+each round, and stop at the first cell whose bound does not exceed what they have found. So the answer is that of
+all pairs, and rounds are few. A visited cell and its askers are cut into blocks of at most `block`; each pair of blocks
+is one matrix product in numpy.
+
+Defined results: equal vectors of one label are one reference; a vector without length has the similarity 0 to all;
+without any reference (of another label, with other_groups) the similarity is null; a null label is nobody's own; a similarity above
+1.0001 means vectors that are not of unit length and is an error; without askers there are no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathfold.operators import scan
+from pathfold.sources.storage import freeze
 
 BLOCK = 4096
+#: References that a cell should have, pivots at most, and how the cells of a round grow.
+CELL, MOST_PIVOTS, GROWTH = 256, 2048, 16
+_ASK = "vec_id long, embedding array<double>, label long"
 
 
-def max_similarity(asks: DataFrame, refs: DataFrame, other_groups: bool = False, block: int = BLOCK) -> DataFrame:
-    """asks and refs (vec_id, embedding, label) -> (vec_id, similarity); with other_groups, references of the asker's own
-    label do not count. A similarity above 1.0001 means vectors that are not of unit length and is an error. Without any
-    reference the similarity is null."""
-    n_asks, n_refs = max(1, -(-asks.count() // block)), max(1, -(-refs.count() // block))
-
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other), "vec_id", F.col("embedding"), F.col("label").cast("long").alias("label"))
-
-    def tile(key, a, b):
-        import pandas as pd
-
-        if not len(a):
-            return pd.DataFrame({"vec_id": np.empty(0, dtype=np.int64), "similarity": np.empty(0)})
-        best = np.full(len(a), np.nan)
-        if len(b):
-            sims = np.vstack(a["embedding"].to_numpy()).astype(np.float64) @ np.vstack(b["embedding"].to_numpy()).astype(np.float64).T
-            if np.abs(sims).max() > 1.0001:
+def _matrix(column) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    sims = x @ pivots.T
+    if sims.size and sims.max() > 1.0001:
+        raise ValueError("vectors are not of unit length")
+    return np.arccos(np.clip(sims, -1, 1))
+
+
+class Index:
+    """Cells of a reference set refs(vec_id, embedding, label); `visited` counts the pairs that were compared."""
+
+    def __init__(self, refs: DataFrame, block: int = BLOCK, cell: int = CELL):
+        self.block, self.visited, spark = block, 0, refs.sparkSession
+        vectors = refs.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+        same = [F.xxhash64("embedding").alias("h0"), F.xxhash64("embedding", F.lit(1)).alias("h1"), "label"]
+        once = freeze(vectors.groupBy(*same).agg(F.min("vec_id").alias("vec_id"), F.first("embedding").alias("embedding")).select("vec_id", "embedding", "label"), "references")
+        self.count = once.count()
+        n = min(MOST_PIVOTS, max(1, self.count // cell))
+        if n == 1:  # one cell, whose bound leaves nothing out
+            self.pivots, self.cells = np.empty((0, 0)), once.select(F.lit(0).alias("cell"), "vec_id", "embedding", "label")
+            self.names, self.radius, self.sizes = np.array([0][: self.count]), np.array([np.pi][: self.count]), np.array([self.count][: self.count])
+            return
+        long = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x) > 0.25  # vectors without length are no directions
+        chosen = [r.embedding for r in once.where(long).orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("embedding").collect()]
+        pivots = np.array(chosen, dtype=float)
+        self.pivots = pivots
+
+        def assign(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                x = _matrix(batch.column(1))
+                if len(x) and len(pivots):
+                    angles = _angles(x, pivots)
+                    place = angles.argmin(axis=1)
+                    angle = angles[np.arange(len(x)), place]
+                    angle[(x * x).sum(axis=1) <= 0.25] = np.pi  # such a member is in reach of everyone
+                else:
+                    place, angle = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.pi)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(angle), *batch.columns], names=["cell", "angle", "vec_id", "embedding", "label"])
+
+        self.cells = freeze(once.mapInArrow(assign, f"cell int, angle double, {_ASK}"), "cells")
+        found = self.cells.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).orderBy("cell").collect()  # a row for each pivot
+        self.names, self.radius, self.sizes = (np.array([r[i] for r in found]) for i in range(3))
+
+    def _visits(self, asks: DataFrame, begin: int, end: int) -> DataFrame:
+        """asks(vec_id, embedding, label, best) with the cells at places begin to end of its order whose bound exceeds its best."""
+        pivots, names, radius = self.pivots, self.names, self.radius
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                x = _matrix(batch.column(1))
+                if not len(x):
+                    continue
+                angles = _angles(x, pivots[names]) if len(pivots) else np.zeros((len(x), len(names)))
+                bound = np.cos(np.maximum(0, angles - radius))
+                bound[:, radius >= np.pi] = 1.0
+                order = np.lexsort((angles, -bound), axis=1)[:, begin:end]
+                best = batch.column(3).to_numpy(zero_copy_only=False).astype(float)
+                open_ = ~(np.take_along_axis(bound, order, 1) + 1e-9 <= np.where(np.isnan(best), -2, best)[:, None])
+                row, place = np.nonzero(open_)
+                taken = batch.select([0, 1, 2]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(names[order[row, place]], pa.int32()), *taken.columns], names=["cell", "vec_id", "embedding", "label"])
+
+        return asks.select("vec_id", "embedding", "label", "best").mapInArrow(run, f"cell int, {_ASK}")
+
+    def _compared(self, visits: DataFrame, other_groups: bool) -> DataFrame:
+        """(vec_id, similarity): the best of each visit's cell, by blocks of the cell and of its askers; null if its cell has none that
+        counts."""
+        spark, block = visits.sparkSession, self.block
+        asked = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each pivot
+        sizes = dict(zip(self.names.tolist(), self.sizes.tolist(), strict=True))
+        self.visited += sum(n * sizes[c] for c, n in asked.items())
+        if not asked:
+            return spark.createDataFrame([], "vec_id long, similarity double")
+        cuts = F.broadcast(spark.createDataFrame([(c, -(-n // block), -(-sizes[c] // block)) for c, n in asked.items()], "cell int, lefts int, rights int"))
+        part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = visits.join(cuts, "cell").select("cell", part("lefts").alias("i"), every("rights").alias("j"), "vec_id", "embedding", "label")
+        right = self.cells.join(cuts, "cell").select("cell", every("lefts").alias("i"), part("rights").alias("j"), "vec_id", "embedding", "label")
+
+        def product(key, a, b):
+            import pyarrow as pa
+
+            if not a.num_rows or not b.num_rows:
+                return pa.table({"vec_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+            sims = _matrix(a.column("embedding").combine_chunks()) @ _matrix(b.column("embedding").combine_chunks()).T
+            if sims.max() > 1.0001:
                 raise ValueError("vectors are not of unit length")
             if other_groups:
-                sims[a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None, :]] = -np.inf
+                own, theirs = (t.column("label").to_numpy() for t in (a, b))
+                sims[own[:, None] == theirs[None, :]] = -np.inf
             best = sims.max(axis=1)
-            best[np.isneginf(best)] = np.nan
-        return pd.DataFrame({"vec_id": a["vec_id"].to_numpy(), "similarity": best})
+            return pa.table({"vec_id": a.column("vec_id"), "similarity": pa.array(np.where(np.isneginf(best), np.nan, best))})
 
-    left, right = dealt(asks, "i", n_asks, "j", n_refs), dealt(refs, "j", n_refs, "i", n_asks)
-    tiles = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, "vec_id long, similarity double")
-    return tiles.groupBy("vec_id").agg(F.max(F.when(~F.isnan("similarity"), F.col("similarity"))).alias("similarity"))
+        tiles = left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInArrow(product, "vec_id long, similarity double")
+        return tiles.groupBy("vec_id").agg(F.max(F.when(~F.isnan("similarity"), F.col("similarity"))).alias("similarity"))
+
+    def nearest(self, asks: DataFrame, other_groups: bool = False) -> DataFrame:
+        """asks(vec_id, embedding, label) -> (vec_id, similarity); with other_groups references of the asker's own label do not count."""
+        label = F.col("label").cast("long") if other_groups else F.lit(None).cast("long")
+        rows = freeze(asks.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), label.alias("label")), "askers")
+        if len(self.names) == 1:
+            return self._compared(rows.withColumn("cell", F.lit(0)), other_groups)
+        state = rows.withColumn("best", F.lit(None).cast("double"))
+        begin, end = 0, 1
+        while begin < len(self.names):
+            visits = freeze(self._visits(state, begin, end), "visits")
+            found = self._compared(visits, other_groups)
+            joined = state.join(found, "vec_id", "left").withColumn("best", F.greatest("best", "similarity")).drop("similarity")
+            state = freeze(joined, "found")
+            if begin and not self._open(visits):
+                break
+            begin, end = end, end * (1 + GROWTH)
+        return state.select("vec_id", F.col("best").alias("similarity"))
+
+    @staticmethod
+    def _open(visits: DataFrame) -> bool:
+        return bool(visits.limit(1).count())
+
+
+def max_similarity(asks: DataFrame, refs: DataFrame, other_groups: bool = False, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """asks and refs (vec_id, embedding, label) -> (vec_id, similarity); with other_groups, references of the asker's own
+    label do not count. Without any reference the similarity is null."""
+    return Index(refs, block, cell).nearest(asks, other_groups)
 
 
 def cutoffs(similarity: DataFrame) -> DataFrame:
