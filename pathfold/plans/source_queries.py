@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
 
 from pyspark.sql import functions as F
 
 from pathfold.plans.bridge import table
 from pathfold.plans.registry import query
-from pathfold.sources import readers, sinks
-from pathfold.sources.storage import shared_path
+from pathfold.sources import archives, readers, sinks
+from pathfold.sources.storage import freeze, shared_path
 
 
 def _put(spark, path: str, body: bytes) -> None:
@@ -23,28 +21,58 @@ def _put(spark, path: str, body: bytes) -> None:
     out.close()
 
 
-@query("archive_records", "SELECT r_name AS dataset, 'm' || m AS model_id, count(*) AS records, count(*) AS agreeing, CAST(sum(n_nationkey * (m + 1)) AS BIGINT) AS tokens FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN (SELECT unnest(range(3)) AS m) GROUP BY ALL")
+_RUNS_SQL = """WITH runs AS (
+  SELECT lang AS dataset, coalesce(source, 'none') AS source_split, 'm' || doc_id % 3 AS model_id, doc_id // 600 AS piece, length(text) AS cost, doc_id FROM documents),
+files AS (SELECT dataset, source_split, model_id, piece, count(*) AS records, CAST(sum(cost) AS DOUBLE) AS record_cost_sum, dataset = 'de' AND model_id = 'm2' AS renamed FROM runs GROUP BY ALL)
+"""
+
+
+def _runs(spark, sf_dir):
+    """Result files (archive, member, body): documents as records, an archive for each source, a file for each language, candidate
+    and 600 ids. Headers of German files of m2 name another model than their path."""
+    docs = table(spark, sf_dir, "documents").select("lang", F.coalesce("source", F.lit("none")).alias("source"), F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"), F.floor(F.col("doc_id") / 600).alias("piece"), "doc_id", "text")
+    cost = F.length("text").cast("double")
+    record = F.struct(F.col("doc_id").alias("index"), F.col("text").alias("prompt"), F.substring_index("text", "\n", 1).alias("origin_query"), F.lit("x").alias("raw_output"), F.lit("p").alias("prediction"), F.lit("g").alias("ground_truth"), F.lit(1.0).alias("score"), cost.alias("cost"), F.length("text").cast("bigint").alias("prompt_tokens"), F.lit(1).cast("bigint").alias("completion_tokens"))
+    files = docs.groupBy("lang", "source", "model", "piece").agg(F.sort_array(F.collect_list(record)).alias("records"), F.sum(cost).alias("cost"))  # 200 records at most
+    named = F.when((F.col("lang") == "de") & (F.col("model") == "m2"), "m2-old").otherwise(F.col("model"))
+    body = F.to_json(F.struct(F.col("lang").alias("dataset_name"), F.col("source").alias("split"), named.alias("model_name"), F.size("records").cast("bigint").alias("counts"), F.lit(1.0).alias("performance"), "cost", F.lit(False).alias("demo"), "records"))
+    member = F.concat_ws("/", F.lit("release"), "lang", "source", "model", F.concat(F.lit("run-"), F.col("piece").cast("string"), F.lit(".json")))
+    return files.select(F.col("source").alias("archive"), member.alias("member"), body.alias("body"))
+
+
+def _archived(spark, sf_dir):
+    """(written, members): what executors wrote as archives, and the archives read back."""
+    path = shared_path(spark, "archives")
+    written = freeze(archives.write(_runs(spark, sf_dir), path), "archived")
+    return written, readers.read_archive(spark, path)
+
+
+@query("archive_records", _RUNS_SQL + "SELECT dataset, CASE WHEN dataset = 'de' AND model_id = 'm2' THEN 'm2-old' ELSE model_id END AS model_id, count(*) AS records, count(*) FILTER (dataset <> 'de' OR model_id <> 'm2') AS agreeing, CAST(sum(cost) AS BIGINT) AS tokens FROM runs GROUP BY ALL")
 def archive_records(spark, sf_dir):
-    """Result files of a tar.gz, member by member: the nations of a region as a dataset's records, by three candidates."""
-    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey").collect()  # a table of fixed size
-    packed = io.BytesIO()
-    with tarfile.open(fileobj=packed, mode="w:gz") as tar:
-        for name in sorted({r.r_name for r in rows}):
-            for m in range(3):
-                records = [
-                    {"index": i, "prompt": r.n_name, "origin_query": r.n_name, "raw_output": "x", "prediction": "p", "ground_truth": "g", "score": 1.0, "cost": 0.5, "prompt_tokens": r.n_nationkey * (m + 1), "completion_tokens": 1}
-                    for i, r in enumerate(x for x in rows if x.r_name == name)
-                ]
-                body = json.dumps({"dataset_name": name, "split": "test", "model_name": f"m{m}", "counts": len(records), "performance": 1.0, "cost": 0.5, "demo": False, "records": records}).encode()
-                member = tarfile.TarInfo(f"release/{name}/test/m{m}/run.json")
-                member.size = len(body)
-                tar.addfile(member, io.BytesIO(body))
-    path = shared_path(spark, "archive") + "/results.tar.gz"
-    _put(spark, path, packed.getvalue())
-    found = readers.explode_results(readers.read_archive(spark, path))
+    """Records of all result files of all archives, with the identity that their headers give."""
+    _, members = _archived(spark, sf_dir)
+    found = readers.explode_results(members)
     return found.groupBy("dataset", "model_id").agg(F.count("*").alias("records"), F.count_if("header_agrees").alias("agreeing"), F.sum("input_tokens").alias("tokens"))
 
 
+@query(
+    "archive_inventory",
+    _RUNS_SQL
+    + """SELECT 'release/' || dataset || '/' || source_split || '/' || model_id || '/run-' || piece || '.json' AS member, records, records AS reported_counts, record_cost_sum, true AS intact, NOT renamed AS path_agrees, renamed AND piece = 0 AS pinned,
+  CASE WHEN renamed AND piece > 0 THEN 'identity' END AS problem FROM files""",
+)
+def archive_inventory(spark, sf_dir):
+    """A row for each file of the archives: counts, exact costs, whether bytes and digest are those written, and whether a header
+    that disagrees with the path is pinned. Only the first files of the renamed model are."""
+    written, members = _archived(spark, sf_dir)
+    files = written.select("member").where(F.col("member").rlike("^release/de/[^/]*/m2/run-0[.]json$"))
+    pinned = files.select("member", F.lit("de").alias("dataset"), F.split("member", "/")[2].alias("source_split"), F.lit("m2-old").alias("model_id"))
+    found = freeze(archives.inventory(members, pinned), "inventory")
+    kept = written.select("member", F.col("bytes").alias("wb"), F.col("sha256").alias("ws"))
+    rows = found.join(kept, "member", "left").join(archives.problems(found), "member", "left")
+    return rows.select("member", "records", "reported_counts", "record_cost_sum", ((F.col("bytes") == F.col("wb")) & (F.col("sha256") == F.col("ws"))).alias("intact"), "path_agrees", "pinned", "problem")
+
+
 @query("jsonl_records", "SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1")
 def jsonl_records(spark, sf_dir):
     """JSON lines with blank lines between them."""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed layout of a result file's records.
@@ -17,29 +15,10 @@ RESULT_FILE = f"dataset_name string, split string, model_name string, counts big
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Members of tar.gz archives as rows (archive, member, bytes, sha256, body), one archive a task, streamed member by member.
     A path that is absolute or climbs, a link or a repeated member is an error: archives are not trusted."""
+    from pathfold.sources import archives
 
-    def members(batches: Iterator) -> Iterator:
-        import hashlib
-        import io
-        import tarfile
-
-        import pandas as pd
-
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                seen: set[str] = set()
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
-                    for m in tar:
-                        if m.isdir():
-                            continue
-                        if not m.isfile() or m.name.startswith("/") or ".." in m.name.split("/") or m.name in seen:
-                            raise ValueError(f"bad archive member: {m.name}")
-                        seen.add(m.name)
-                        body = tar.extractfile(m).read()
-                        yield pd.DataFrame({"archive": [name], "member": [m.name], "bytes": [len(body)], "sha256": [hashlib.sha256(body).hexdigest()], "body": [body.decode()]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(members, "archive string, member string, bytes long, sha256 string, body string")
+    archives.register(spark)
+    return spark.read.format("result_archive").load(path)
 
 
 def explode_results(members: DataFrame) -> DataFrame:
@@ -68,6 +47,23 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines from 1, whatever blocks the files are read in: lines are counted by block, and a block
+    begins after the lines of those before it."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    raw = raw.withColumn("at", F.monotonically_increasing_id())  # a block's lines are neighbours
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return raw.join(blocks.withColumn("before", before), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def jsonl_problems(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line, value) of the lines that are neither blank nor a JSON object of the schema."""
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    lines = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("it", parsed)
+    return lines.where(F.col("it").isNull() | F.col("it._corrupt_record").isNotNull() | ~F.startswith(F.trim("value"), F.lit("{"))).select("file", "line", "value")
+
+
 def read_requests(spark: SparkSession, path: str | None = None, prompt: str | None = None) -> DataFrame:
     """Requests (id, prompt, order) from JSON lines, or one from a text."""
     if prompt is not None:
