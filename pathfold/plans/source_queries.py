@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from pathfold.plans.bridge import table
@@ -12,15 +10,6 @@ from pathfold.sources import archives, readers, sinks
 from pathfold.sources.storage import freeze, shared_path
 
 
-def _put(spark, path: str, body: bytes) -> None:
-    """A small file, through the file system that Spark's readers would use."""
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
-    out.write(body)
-    out.close()
-
-
 _RUNS_SQL = """WITH runs AS (
   SELECT lang AS dataset, coalesce(source, 'none') AS source_split, 'm' || doc_id % 3 AS model_id, doc_id // 600 AS piece, length(text) AS cost, doc_id FROM documents),
 files AS (SELECT dataset, source_split, model_id, piece, count(*) AS records, CAST(sum(cost) AS DOUBLE) AS record_cost_sum, dataset = 'de' AND model_id = 'm2' AS renamed FROM runs GROUP BY ALL)
@@ -91,26 +80,35 @@ def request_file(spark, sf_dir):
     return readers.request_problems(readers.read_requests(spark, path)).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-#: Entries of a manifest, and whether the loader fits the task.
-_ENTRIES = (("a", "choice", "multiple_choice", True), ("b", "math", "math", True), ("c", "code", "math", False), ("d", "unknown", "code", False))
+#: Loaders, and the task types that an entry may name.
+_LOADERS, _TYPES = ("choice", "math", "code", "unknown"), ("multiple_choice", "math", "code")
 
 
-@query("manifest_check", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {fits})" for n, _, _, fits in _ENTRIES) + ") t(name, fits)")
+@query("manifest_check", f"SELECT n_name AS name, {list(_TYPES)}[1 + CAST(n_nationkey % 3 AS INT)] = CASE {list(_LOADERS)}[1 + CAST(n_regionkey % 4 AS INT)] WHEN 'choice' THEN 'multiple_choice' WHEN 'unknown' THEN '' ELSE {list(_LOADERS)}[1 + CAST(n_regionkey % 4 AS INT)] END AS fits FROM nation")
 def manifest_check(spark, sf_dir):
-    path = shared_path(spark, "manifest") + "/manifest.json"
-    _put(spark, path, json.dumps([{"name": n, "loader": a, "task_type": t, "path": f"{n}.jsonl"} for n, a, t, _ in _ENTRIES], indent=1).encode())
+    """A manifest with an entry for each nation, and whether its loader fits the task type."""
+    path = shared_path(spark, "manifest")
+    pick = lambda names, i: F.get(F.array(*[F.lit(x) for x in names]), i.cast("int"))
+    entries = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), pick(_LOADERS, F.col("n_regionkey") % 4).alias("loader"), pick(_TYPES, F.col("n_nationkey") % 3).alias("task_type"), F.concat("n_name", F.lit(".jsonl")).alias("path"))
+    entries.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)  # one document, a row for each benchmark
     return readers.read_manifest(spark, path).select("name", "fits")
 
 
-#: Fixed value: split settings with an incomplete partition, a repeated model and no holdout.
-_CONFIG = {"standard_fractions": [0.7, 0.2, 0.2], "ood_validation_fraction": 0.15, "models": ["a", "b", "c", "d", "a"], "ood_held_out_datasets": []}
-
-
-@query("config_check", "SELECT * FROM (VALUES ('fractions'), ('models'), ('holdout')) t(problem)")
+@query(
+    "config_check",
+    """SELECT n_name AS name, unnest(list_filter([CASE WHEN n_nationkey % 2 = 1 THEN 'fractions' END, CASE WHEN n_nationkey % 4 <> 1 THEN 'validation' END,
+  CASE WHEN n_nationkey % 10 NOT BETWEEN 4 AND 7 OR n_regionkey = 0 THEN 'models' END, CASE WHEN n_nationkey % 3 = 0 THEN 'holdout' END], lambda x: x IS NOT NULL)) AS problem FROM nation""",
+)
 def config_check(spark, sf_dir):
-    path = shared_path(spark, "config") + "/config.json"
-    _put(spark, path, json.dumps(_CONFIG, indent=1).encode())
-    return spark.createDataFrame([(x,) for x in readers.config_problems(readers.read_config(spark, path))], "problem string")
+    """Settings of each nation's campaign, and what is wrong with them."""
+    path, k = shared_path(spark, "configs"), F.col("n_nationkey").cast("int")
+    models = F.transform(F.sequence(F.lit(0), k % 10), lambda i: F.concat(F.lit("m"), F.when(F.col("n_regionkey") == 0, F.lit("0")).otherwise(i.cast("string"))))
+    models = F.when((F.col("n_regionkey") == 0) & (k % 10 == 0), F.array(F.lit("m0"), F.lit("m0"))).otherwise(models)
+    fractions = F.array(F.lit(0.7), F.when(k % 2 == 0, F.lit(0.15)).otherwise(F.lit(0.2)), F.lit(0.15))
+    table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("name"), fractions.alias("standard_fractions"), (k % 4 * 0.5).alias("ood_validation_fraction"), models.alias("models"), F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("n_name")).alias("ood_held_out_datasets")
+    ).write.json(path)
+    return readers.config_problems(readers.read_configs(spark, path))
 
 
 @query("artifact_freeze", "SELECT 'customer' AS name, count(*) AS n, CAST(CAST(sum(CAST(c_acctbal AS DECIMAL(28, 10))) AS DECIMAL(28, 10)) AS VARCHAR) AS spend, true AS verified, true AS refused FROM customer UNION ALL SELECT 'nation', count(*), NULL, true, true FROM nation")

@@ -96,22 +96,24 @@ def verify_files(spark: SparkSession, path: str, expected: DataFrame) -> DataFra
     return both.select("file", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def read_config(spark: SparkSession, path: str) -> dict:
-    """One JSON document of settings as a dict; a list or more documents are an error."""
-    import json
+#: Fixed layout of split settings.
+CONFIG = "name string, standard_fractions array<double>, ood_validation_fraction double, models array<string>, ood_held_out_datasets array<string>"
 
-    rows = spark.read.text(path, wholetext=True).limit(2).collect()
-    config = json.loads(rows[0][0]) if len(rows) == 1 else None
-    if not isinstance(config, dict):
-        raise ValueError("a configuration is one JSON object")
-    return config
 
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """Settings, one JSON object a file or a line; what is no such object is an error."""
+    return spark.read.schema(CONFIG).option("mode", "FAILFAST").json(path)
 
-def config_problems(config: dict) -> list[str]:
-    """What is wrong with split settings: fractions that are no partition, repeated or too few models, an empty holdout."""
-    fractions, models = config.get("standard_fractions", []), config.get("models", [])
+
+def config_problems(configs: DataFrame) -> DataFrame:
+    """(name, problem) of split settings: fractions that are no partition, a validation share that is none, repeated models or other
+    than five to eight, an empty holdout. Missing settings are wrong ones."""
+    f, models = F.col("standard_fractions"), F.col("models")
     rules = {
-        "fractions": len(fractions) == 3 and all(f >= 0 for f in fractions) and abs(sum(fractions) - 1) <= 1e-12, "validation": 0 < config.get("ood_validation_fraction", 0) < 1,
-        "models": 5 <= len(models) <= 8 and len(set(models)) == len(models), "holdout": bool(config.get("ood_held_out_datasets")),
+        "fractions": (F.size(f) == 3) & F.forall(f, lambda x: x >= 0) & (F.abs(F.aggregate(f, F.lit(0.0), lambda acc, x: acc + x) - 1) <= 1e-12),
+        "validation": (F.col("ood_validation_fraction") > 0) & (F.col("ood_validation_fraction") < 1),
+        "models": F.size(models).between(5, 8) & (F.size(F.array_distinct(models)) == F.size(models)),
+        "holdout": F.size("ood_held_out_datasets") > 0,
     }
-    return [name for name, good in rules.items() if not good]
+    wrong = F.array_compact(F.array(*[F.when(~F.coalesce(good, F.lit(False)), name) for name, good in rules.items()]))
+    return configs.select("name", F.explode(wrong).alias("problem"))

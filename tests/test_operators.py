@@ -385,6 +385,5 @@ def test_files_and_config(spark, tmp_path):
     expected = spark.createDataFrame([("a.bin", 3, digest), ("b.bin", 3, digest), ("c.bin", 1, "x")], "file string, bytes long, sha256 string")
     assert {tuple(r) for r in readers.verify_files(spark, str(tmp_path / "d"), expected).collect()} == {("b.bin", "sha256"), ("c.bin", "missing")}
     good = dict(standard_fractions=[0.7, 0.15, 0.15], ood_validation_fraction=0.15, models=list("abcde"), ood_held_out_datasets=["x"])
-    (tmp_path / "c.json").write_text(json.dumps(good, indent=1))
-    assert readers.config_problems(readers.read_config(spark, str(tmp_path / "c.json"))) == []
-    assert readers.config_problems(good | dict(models=list("aabcd"), standard_fractions=[1, 1, 1])) == ["fractions", "models"]
+    (tmp_path / "c.json").write_text(json.dumps(good | dict(name="good")) + "\n" + json.dumps(good | dict(name="bad", models=list("aabcd"), standard_fractions=[1, 1, 1])))
+    assert sorted(tuple(r) for r in readers.config_problems(readers.read_configs(spark, str(tmp_path / "c.json"))).collect()) == [("bad", "fractions"), ("bad", "models")]
