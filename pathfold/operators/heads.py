@@ -1,10 +1,11 @@
 """Success heads: one penalised logistic regression for each candidate of the pool, on TF-IDF or dense features.
 
-Vocabularies, document frequencies and scaling cover all training rows. The weights are fitted on a bounded sample of
+Vocabularies, document frequencies and scaling cover all training rows. Fits begin on a bounded sample of
 these: the `most_rows` rows whose ids hash lowest, and of them as many as have `most_entries` features other than zero
 together, which is what is broadcast. A fit minimises |w|^2 / 2 + C * sum(loss), the intercept being one of the weights,
 by Newton steps whose systems are solved by conjugate gradients. The fits of all heads, folds and penalties are rows of a
-table, so executors share them; nothing is fitted on the driver.
+table, so executors share them. `fitted_on_all` goes on from there on every row: gradients and products with the Hessian are sums
+over packed blocks of sparse rows, for all heads in one pass; the driver holds a few matrices of vocabulary x heads.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathfold.sources.storage import freeze
+
 MOST_ROWS, MOST_ENTRIES = 20_000, 8_000_000
 #: Terms of a sample before each fold takes its own vocabulary of 50,000 from them.
 MOST_TERMS = 400_000
@@ -181,6 +184,149 @@ def fitted_heads(spark, rows: Rows, heads: tuple[str, ...], width: int, c: float
     return each(spark, tasks, rows, work, "model_id string, prevalence double, weights array<double>")
 
 
+# -- on all rows ----------------------------------------------------------------------------------------------------
+
+
+def packed(features: DataFrame, labels: DataFrame, heads: tuple[str, ...]) -> DataFrame:
+    """features(id, columns, values) with labels(id, labels) as blocks of sparse rows: (starts, columns, values, y), packed."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns, values, y = (batch.column(i) for i in range(3))
+            starts = np.concatenate(([0], np.cumsum(np.diff(columns.offsets.to_numpy()))))
+            flat = lambda x, kind: x.flatten().to_numpy(zero_copy_only=False).astype(kind)
+            row = [starts.astype(np.int64), flat(columns, np.int32), flat(values, float), flat(y, float)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["starts", "columns", "values", "y"])
+
+    joined = features.join(labels, "id").select("columns", "values", F.array(*[F.element_at("labels", F.lit(h)) for h in heads]).alias("y"))
+    return joined.mapInArrow(run, "starts binary, columns binary, values binary, y binary")
+
+
+class AllRows:
+    """Sums over all rows of packed blocks, for all heads at once. A task adds what it reads and passes on one matrix (or a few numbers);
+    matrices are added once more by TREE tasks, so that the driver gets as many of them, whatever the data."""
+
+    TREE = 16
+
+    def __init__(self, blocks: DataFrame, width: int, count: int):
+        self.blocks, self.width, self.count, self.passes = blocks, width, count, 0
+
+    def _sum(self, work, size: int) -> np.ndarray:
+        """The sum of work(X @, @ X, y, known), arrays of `size` numbers, over all blocks."""
+        width, count = self.width, self.count
+        self.passes += 1
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            total = np.zeros(size)
+            for batch in batches:
+                for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    starts, columns, values, y = (np.frombuffer(x, dtype=k) for x, k in zip(row, (np.int64, np.int32, float, float), strict=True))
+                    n = len(starts) - 1
+                    own, y = np.repeat(np.arange(n), np.diff(starts)), y.reshape(n, count)
+                    known = ~np.isnan(y)
+                    forward = lambda w: np.stack([np.bincount(own, values * w[columns, h], n) + w[-1, h] for h in range(count)], axis=1)  # noqa: E731, B023
+                    back = lambda u: np.stack([np.append(np.bincount(columns, values * u[own, h], width), u[:, h].sum()) for h in range(count)], axis=1)  # noqa: E731, B023
+                    total += work(forward, back, np.where(known, y, 0.0), known).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "sum"])
+
+        def add(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            total = np.zeros(size)
+            for batch in batches:
+                for x in batch.column(0).to_pylist():
+                    total += np.frombuffer(x, dtype=float)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sum"])
+
+        parts = self.blocks.mapInArrow(run, "k int, sum binary")
+        if size > 1000 and self.blocks.rdd.getNumPartitions() > self.TREE:
+            parts = parts.select("sum").repartition(self.TREE).mapInArrow(add, "sum binary")
+        return sum((np.frombuffer(r.sum, dtype=float) for r in parts.select("sum").collect()), np.zeros(size))
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        """X' (p - y) of each head."""
+        work = lambda forward, back, y, known: back(np.where(known, _logistic(forward(w)) - y, 0.0))
+        return self._sum(work, w.size).reshape(w.shape)
+
+    def curved(self, w: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """X' p (1 - p) X d of each head."""
+
+        def work(forward, back, y, known):
+            p = _logistic(forward(w))
+            return back(np.where(known, p * (1 - p), 0.0) * forward(d))
+
+        return self._sum(work, w.size).reshape(w.shape)
+
+    def losses(self, w: np.ndarray, d: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """(steps x heads): the summed losses at w + step * d."""
+
+        def work(forward, back, y, known):
+            z, along = forward(w), forward(d)
+            return np.stack([np.where(known, np.logaddexp(0, z + t * along) - y * (z + t * along), 0.0).sum(axis=0) for t in steps])
+
+        return self._sum(work, len(steps) * self.count).reshape(len(steps), self.count)
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def refined(rows: AllRows, w: np.ndarray, c: float, fixed: np.ndarray, most: int = 30) -> np.ndarray:
+    """Weights (width + 1, heads) that minimise |w|^2 / 2 + c * sum(loss) over all rows, from w on, by the Newton steps of `Fit` for all
+    heads at once; heads in `fixed` stay. A pass over the rows for each product; where w is the solution already, one."""
+    w = w.copy()
+    first = None
+    for _ in range(most):
+        g = w + c * rows.gradient(w)
+        size = np.sqrt((g * g).sum(axis=0))
+        if first is None:
+            start = c * rows.gradient(np.zeros_like(w)) if (size > TOLERANCE * 1e-12).any() else g
+            first = np.maximum(np.sqrt((start * start).sum(axis=0)), 1e-12)
+        active = ~fixed & (size > 2 * TOLERANCE * first)
+        if not active.any():
+            break
+        enough = np.minimum(0.1, np.sqrt(size)) * size
+        d, r = np.zeros_like(g), np.where(active, -g, 0.0)
+        s, rr, going = r.copy(), (r * r).sum(axis=0), active.copy()
+        for _ in range(250):
+            going &= np.sqrt(rr) > enough
+            if not going.any():
+                break
+            hs = np.where(going, s + c * rows.curved(w, s), 0.0)
+            a = np.where(going, rr / np.where(going, (s * hs).sum(axis=0), 1.0), 0.0)
+            d, r = d + a * s, r - a * hs
+            before, rr = rr, np.where(going, (r * r).sum(axis=0), rr)
+            s = np.where(going, r + rr / np.where(before > 0, before, 1.0) * s, s)
+        steps = 0.5 ** np.arange(12)
+        losses = np.stack([((w + t * d) ** 2).sum(axis=0) / 2 for t in (0.0, *steps)]) + c * rows.losses(w, d, np.concatenate(([0.0], steps)))
+        good = losses[1:] <= losses[0] + 1e-4 * steps[:, None] * (g * d).sum(axis=0) + 1e-12 * np.abs(losses[0])
+        t = np.where(good.any(axis=0), steps[good.argmax(axis=0)], 0.0) * active
+        if not t.any():
+            break
+        w = w + t * d
+    return w
+
+
+def fitted_on_all(features: DataFrame, labels: DataFrame, heads: tuple[str, ...], width: int, c: float = 1.0, blocks: DataFrame | None = None) -> tuple[DataFrame, AllRows]:
+    """(model_id, prevalence, weights) fitted on every row of features(id, columns, values) with labels(id, labels): the bounded sample's
+    solution, refined on all rows. The prevalence is that of all rows too, and one class among them gives null weights."""
+    spark = features.sparkSession
+    started = {r.model_id: r for r in fitted_heads(spark, sampled(features.join(labels, "id"), heads), heads, width, c).collect()}  # a row for each head
+    shares = {r.model_id: r.p for r in labels.select(F.explode("labels").alias("model_id", "y")).groupBy("model_id").agg(F.avg("y").alias("p")).collect()}
+    fixed = np.array([shares.get(h) in (None, 0.0, 1.0) for h in heads])
+    start = np.stack([np.zeros(width + 1) if started[h].weights is None else np.array(started[h].weights) for h in heads], axis=1)
+    rows = AllRows(blocks if blocks is not None else freeze(packed(features, labels, heads), "sparse-blocks"), width, len(heads))
+    w = refined(rows, start, c, fixed)
+    out = [(h, float(shares.get(h) or 0.0), None if fixed[i] else w[:, i].tolist()) for i, h in enumerate(heads)]
+    return spark.createDataFrame(out, "model_id string, prevalence double, weights array<double>"), rows
+
+
 def probabilities(features: DataFrame, fitted: list, id_col: str = "id") -> DataFrame:
     """features(id, columns, values) scored by all heads at once -> (id, p array in the heads' order). The weights are one
     array for each column: vocabulary * heads numbers, which bounds the broadcast."""

@@ -17,29 +17,60 @@ from pathfold.sources.storage import freeze
 PENALTIES = (0.1, 1.0, 10.0)
 
 
+#: Code points of texts whose terms are counted at once; a longer text is counted alone.
+TERM_CHARS = 2_000_000
+
+
+def _counted(texts: list[str], bigrams: bool):
+    """(sizes, terms, tf): the number of distinct terms of each text, and all of them end to end. Words become numbers of a
+    dictionary, pairs of neighbours pairs of numbers, and one sort counts them for all texts."""
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    found = [re.findall(r"\w{2,}", t.lower()) for t in texts]
+    sizes = np.array([len(x) for x in found])
+    coded = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
+    del found
+    words, at, own = coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), sizes)
+    wide = len(words) + 1  # a term is (word, 0) or (word, 1 + next word)
+    keys = (own * wide + at) * wide
+    if bigrams and len(at) > 1:
+        inside = own[1:] == own[:-1]
+        keys = np.concatenate((keys, keys[:-1][inside] + 1 + at[1:][inside]))
+    keys, tf = np.unique(keys, return_counts=True)
+    first, second = keys // wide % wide, keys % wide - 1
+    one = words.take(pa.array(first))
+    terms = pc.if_else(pa.array(second < 0), one, pc.binary_join_element_wise(one, words.take(pa.array(np.maximum(second, 0))), " ")) if len(keys) else pa.array([], pa.string())
+    return np.bincount(keys // wide // wide, minlength=len(texts)), terms, tf
+
+
 def term_counts(docs: DataFrame, id_col: str, text_col: str, bigrams: bool = True) -> DataFrame:
     """(id, terms, tf): each row's distinct terms with their counts, rows without terms left out. Counting within a document
-    needs no shuffle, but Spark's aggregates would make one of all terms; so it is done in Arrow batches where the text is."""
+    needs no shuffle, but Spark's aggregates would make one of all terms; so it is done in Arrow batches where the text is, a few
+    megabytes of text at a time."""
 
     def run(batches: Iterator) -> Iterator:
-        import re
-        from collections import Counter
-
         import pyarrow as pa
 
-        find = re.compile(r"\w{2,}").findall
+        def out(ids, texts: list[str]):
+            sizes, terms, tf = _counted(texts, bigrams)
+            some = np.flatnonzero(sizes)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes[some]))), pa.int32())
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int64()))], names=["id", "terms", "tf"])
+
         for batch in batches:
-            ids, terms_, tf = [], [], []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = find((text.as_py() or "").lower())
-                counted = Counter(words)
-                if bigrams:
-                    counted.update(map(" ".join, zip(words, words[1:], strict=False)))
-                if counted:
-                    ids.append(id_)
-                    terms_.append(list(counted))
-                    tf.append(list(counted.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(terms_, pa.list_(pa.string())), pa.array(tf, pa.list_(pa.int64()))], names=["id", "terms", "tf"])
+            held, first, size = [], 0, 0
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                if held and size + len(text) > TERM_CHARS:
+                    yield out(batch.column(0).slice(first, len(held)), held)
+                    held, first, size = [], i, 0
+                held.append(text)
+                size += len(text)
+            if held:
+                yield out(batch.column(0).slice(first, len(held)), held)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, terms array<string>, tf array<bigint>")

@@ -93,7 +93,7 @@ def centroid_heads(features: DataFrame, labels: DataFrame, models: tuple[str, ..
 
 def train(prompts: DataFrame, labels: DataFrame, costs: Mapping[str, float], policy: Policy, models: tuple[str, ...], fit: str = "logistic", penalty: float = 1.0) -> dict[str, DataFrame]:
     """The artifact's tables from training prompts(id, prompt, label: whose similarities do not count) and labels(id, labels: map of
-    successes). fit is 'logistic' (on the bounded sample of `heads`) or 'centroid' (on all rows)."""
+    successes). fit is 'logistic' or 'centroid', both on all rows."""
     spark = prompts.sparkSession
     tables = {"costs": spark.createDataFrame([(m, i, float(costs[m])) for i, m in enumerate(models)], "model_id string, place int, cost double")}
     if policy.family == "tfidf":
@@ -107,7 +107,7 @@ def train(prompts: DataFrame, labels: DataFrame, costs: Mapping[str, float], pol
         rows = tables["scaling"].collect()  # a row for each feature
         features, width = scaled(raw, rows), len(rows)
     if policy.family != "static":
-        tables["heads"] = centroid_heads(features, labels, models) if fit == "centroid" else heads.fitted_heads(spark, heads.sampled(features.join(labels, "id"), models), models, width, penalty)
+        tables["heads"] = centroid_heads(features, labels, models) if fit == "centroid" else heads.fitted_on_all(freeze(features, "scaled"), labels, models, width, penalty)[0]
     if policy.gate:
         tables["references"] = vectors(prompts, F.col("label").cast("long").alias("label"))
     return tables
