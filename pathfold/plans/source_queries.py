@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pathfold.plans.bridge import table
 from pathfold.plans.registry import query
-from pathfold.sources import archives, readers, sinks
+from pathfold.sources import archives, frozen, readers, sinks
 from pathfold.sources.storage import freeze, shared_path
 
 
@@ -128,6 +128,25 @@ def artifact_freeze(spark, sf_dir):
     return manifest.select("name", F.col("rows").alias("n"), "spend", (~F.col("name").isin(changed)).alias("verified"), F.col("name").isin(refused).alias("refused"))
 
 
+@query("frozen_copies", "SELECT 'customer' AS name, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, true AS intact, true AS refused FROM customer UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT), true, true FROM orders")
+def frozen_copies(spark, sf_dir):
+    """Files of two tables frozen as they are: read from the copies, compared with the record, and refused a second time."""
+    folder, keys = shared_path(spark, "frozen-files"), {"customer": "c_custkey", "orders": "o_orderkey"}
+    given = {name: f"{sf_dir}/{name}.parquet" for name in keys}
+    frozen.freeze_files(spark, given, folder, {"campaign": "demo"})
+    try:
+        frozen.freeze_files(spark, given, folder, {"campaign": "again"})
+        refused = False
+    except frozen.Refused:
+        refused = True
+    wrong = frozen.differences(spark, folder).agg(F.count("*").alias("wrong"))
+    rows = None
+    for name, key in keys.items():
+        own = spark.read.parquet(f"{folder}/data/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(key).alias("keys"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.crossJoin(F.broadcast(wrong)).select("name", "n", "keys", (F.col("wrong") == 0).alias("intact"), F.lit(refused).alias("refused"))  # one row
+
+
 @query("report_lines", "SELECT '| ' || event_type || ' | ' || count(*) || ' |' AS line FROM events GROUP BY event_type UNION ALL SELECT '| event_type | n |' UNION ALL SELECT '| --- | --- |' UNION ALL SELECT '# Events' UNION ALL SELECT '## By type'")
 def report_lines(spark, sf_dir):
     """A report's lines: titles, and a summary as a Markdown table."""
