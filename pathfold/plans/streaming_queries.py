@@ -9,6 +9,7 @@ from pathfold.plans.ledger_queries import LEDGER_SQL
 from pathfold.plans.registry import ORACLE_SQL, query
 from pathfold.sources.storage import shared_path
 from pathfold.streaming import ledger_stream as stream
+from pathfold.streaming.run_ledger import RunLedger
 
 
 def _events(spark, sf_dir):
@@ -23,9 +24,7 @@ def stream_upsert(spark, sf_dir):
     folder = shared_path(spark, "ledger")
     rows = _events(spark, sf_dir).select("user_id", "event_type", "event_id")
     stream.upsert_stream(rows, folder, ("user_id", "event_type"), "event_id", shared_path(spark, "offsets")).awaitTermination()
-    from pathfold.sources.sinks import read_upserted
-
-    return read_upserted(spark, folder, rows.schema)
+    return RunLedger(spark, folder, ("user_id", "event_type"), "event_id", rows.schema).read()
 
 
 @query("stream_spend", ORACLE_SQL["spend_prefix"].replace("CAST(after AS DOUBLE) AS after", "round(CAST(after AS DOUBLE), 4) AS after"))

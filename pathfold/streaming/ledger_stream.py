@@ -7,13 +7,21 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathfold.sources.sinks import upsert_parquet
+from pathfold.streaming.run_ledger import RunLedger
 
 
 def upsert_stream(stream: DataFrame, folder: str, keys: tuple[str, ...], order: str, checkpoint: str, available_now: bool = True):
-    """Merge every micro-batch into the ledger below folder. A batch that is run again changes nothing, as the newest row of
-    each key wins and a version counts only once it is committed."""
-    writer = stream.writeStream.foreachBatch(lambda batch, _: upsert_parquet(batch, folder, keys, order)).option("checkpointLocation", checkpoint)
+    """Add every micro-batch to the ledger of runs below folder, and merge runs of a size. A batch that is run again is known by its
+    number."""
+    schema = stream.schema
+
+    def add(batch: DataFrame, number: int) -> None:
+        ledger = RunLedger(batch.sparkSession, folder, keys, order, schema)
+        ledger.append(batch, number)
+        ledger.compact()
+        ledger.sweep()
+
+    writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
