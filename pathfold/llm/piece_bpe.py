@@ -8,7 +8,9 @@ then joins neighbouring tokens along the best edge of each segment (highest scor
 at once, until no edge joins two neighbours - the model's merge order. Characters without a piece become bytes.
 
 Models: BPE with identity normalisation, a dummy prefix and byte fallback. Defined results: a null text is the empty
-text and has no ids; U+2581 in a text reads as a space, as the model's own alphabet demands.
+text and has no ids; U+2581 in a text reads as a space, as the model's own alphabet demands; null ids stay; repeated rows
+give repeated rows; texts of any length are taken whole, and a long run without spaces is relaxed alone, in linear time; an empty
+table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
