@@ -29,10 +29,15 @@ def stream_upsert(spark, sf_dir):
 
 @query("stream_spend", ORACLE_SQL["spend_prefix"].replace("CAST(after AS DOUBLE) AS after", "round(CAST(after AS DOUBLE), 4) AS after"))
 def stream_spend(spark, sf_dir):
-    """The running spend of each account from a stream, written to a table and read back."""
-    out, value = shared_path(spark, "spend"), F.col("value")
+    """The running spend of each account from a stream whose calls arrive in order, written to a table and read back."""
+    landing, staged, out, offsets = (shared_path(spark, name) for name in ("landing", "staged", "spend", "offsets"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     failed = (F.col("event_id") % 10 >= 7) & (F.col("event_type") == "error")
-    rows = _events(spark, sf_dir).select(F.col("user_id").alias("account"), F.col("event_id").alias("seq"), value.cast("decimal(18,6)").cast("double").alias("cost"), (value * 1.5).cast("decimal(18,6)").cast("double").alias("bound"), failed.alias("failed"))
-    spent = stream.spend_stream(rows, 800.0)
-    spent.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+
+    def start():
+        calls = stream.file_stream(spark, landing, rows.schema, None)
+        calls = calls.select(F.col("user_id").alias("account"), F.col("event_id").alias("seq"), F.col("value").cast("decimal(18,6)").alias("cost"), (F.col("value") * 1.5).cast("decimal(18,6)").alias("bound"), failed.alias("failed"))
+        return stream.spend_stream(calls, 800.0).writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+
+    stream.in_order(rows, "event_id", landing, start, staged)
     return spark.read.parquet(out).select(F.col("account").alias("user_id"), "seq", F.round("after", 4).alias("after"), "stopped")
