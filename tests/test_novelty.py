@@ -53,3 +53,19 @@ def test_lengths_are_checked(spark):
     x = frame(spark, np.array([[2.0, 0.0]]), [1])
     with pytest.raises(Exception, match="unit length"):
         novelty.max_similarity(x, x).collect()
+
+
+def test_an_asker_moves_once_for_a_zone(spark):
+    """Rows that move and matrices do not grow with the number of pivots."""
+    r = np.random.default_rng(7)
+    refs, asks = unit(r.normal(size=(600, 16))), unit(r.normal(size=(100, 16)))  # bounds leave out nothing
+    index = novelty.Index(frame(spark, refs, [0] * 600), block=200, cell=10)
+    zone = novelty._zones(index.pivots, index.sizes, index.block)
+    assert len(index.names) > 40 and zone.max() + 1 <= 8 and np.bincount(zone, index.sizes).max() <= 200
+    state = index._first(frame(spark, asks, [0] * 100)).selectExpr("vec_id", "embedding", "label", "cast(null as double) as best", "first")
+    counted = index._visits(state, zone, True).groupBy("part").sum("n").collect()
+    moved = index._visits(state, zone, False).count()
+    assert moved == sum(x[1] for x in counted) <= 100 * (zone.max() + 1)
+    assert all((s.stop - s.start) * w <= novelty.SLICE for n, w in ((10_000, 2048), (4096, 65_536)) for s in novelty._slices(n, w))
+    got = {x.vec_id: x.similarity for x in index.nearest(frame(spark, asks, [0] * 100)).collect()}
+    assert [got[i] for i in range(100)] == pytest.approx((asks @ refs.T).max(axis=1).tolist(), abs=1e-9)
