@@ -60,6 +60,8 @@ def letter_counts(text: Column) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    """The vector at length 1; one without length stays zero."""
-    size = F.greatest(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x)), F.lit(1e-12))
-    return F.transform(vector, lambda x: x / size)
+    """The vector at length 1; one without length stays zero. The vector and its length are variables of lambdas, so each is
+    computed once for a row, not once for each number."""
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    size = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)), F.lit(1e-12))
+    return once(vector, lambda v: once(size(v), lambda s: F.transform(v, lambda x: x / s)))

@@ -112,3 +112,15 @@ def test_exact_forms(spark):
     forms = [("ﬁne Ｔext", "fine text"), ("Straße  ①", "strasse 1"), ("Ångström\tÅ", "ångström å"), ("é É", "é é"), (" \n", ""), ("Σς", "σσ"), ("Ⅳ ½", "iv 1⁄2"), ("PLAIN  text", "plain text"), ("a\x1cb\x1f", "a b")]
     got = spark.createDataFrame(forms, "a string, b string").select("b", prep.exact_text(F.col("a")).alias("c")).collect()
     assert [r.c for r in got] == [r.b for r in got]
+
+
+def test_letters_are_counted_once_for_a_row(spark):
+    """The unit vector names its input once in the plan: texts are not scanned again for each of its numbers."""
+    from pathfold.functions.text import letter_counts, unit
+
+    df = spark.createDataFrame([("p", "abca"), ("q", "")], "id string, prompt string")
+    made = df.select("id", unit(letter_counts(F.col("prompt"))).alias("v"))
+    # Each naming of the input is one replace(prompt, ...) in the plan.
+    assert made._jdf.queryExecution().analyzed().toString().lower().count("replace(prompt") == 1
+    got = {r.id: r.v for r in made.collect()}
+    assert got["p"][:4] == pytest.approx([2 / 6**0.5, 1 / 6**0.5, 1 / 6**0.5, 0.0]) and got["q"] == [0.0] * 26
