@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathfold.operators import routing, scan
@@ -29,6 +30,8 @@ from pathfold.sources.storage import freeze
 GROUPS, REPLICATES, DRAWS = 1024, 50, 1 << 16
 #: Groups whose sums a task holds before it passes them on.
 HELD = 512
+#: Rows of an Arrow batch where a row has a byte (or a number) for each candidate, and where it has REPLICATES numbers for each.
+WIDE, WIDEST = 512, 32
 
 
 @dataclass(frozen=True)
@@ -79,6 +82,19 @@ def actions(p: np.ndarray, costs: np.ndarray, similarity: np.ndarray, cuts: dict
     return out
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what runs inside: rows are wide here, and a batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    most = int(before)
+    spark.conf.set(name, str(min(rows, most) if most > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _flat(batch, column: str, kind) -> np.ndarray:
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(kind)
 
@@ -123,7 +139,8 @@ def distinct_candidates(rows: DataFrame, count: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(count), pa.int32()), *[pa.array(s.view(np.int64).copy()) for s in seen]], names=["k", "x", "y"])
 
     hashed = rows.select("prompt_id", "act", F.xxhash64("prompt_id").alias("h0"), F.xxhash64("prompt_id", F.lit(1)).alias("h1"))
-    sums = hashed.mapInArrow(run, "k int, x long, y long").groupBy("k").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).orderBy("k").collect()
+    with batches_of(rows.sparkSession, WIDE):
+        sums = hashed.mapInArrow(run, "k int, x long, y long").groupBy("k").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).orderBy("k").collect()
     first: dict[tuple, int] = {}
     return np.array([first.setdefault((r.x, r.y), r.k) for r in sums], dtype=np.int64)
 
@@ -270,11 +287,14 @@ def simultaneous(rows: DataFrame, chosen: np.ndarray, statics: np.ndarray, repli
     metric, delta, standard_error, lower): k and other are places in chosen, metric is '__micro__' or '__macro__', and lower
     lies the 95 % quantile of the largest deviation over all of them below delta."""
     spark, width = rows.sparkSession, 1 + len(chosen)
-    sums = freeze(group_tiles(rows, chosen), "group-tiles")
+    with batches_of(spark, WIDE):
+        sums = freeze(group_tiles(rows, chosen), "group-tiles")
     tiles = freeze(numbered(sums), "tiles")
     strata = tiles.groupBy("stratum").agg((F.max("g") + 1).alias("groups"))
-    products = _products(tiles, _draws(strata, replicates, seed), width)
-    means = freeze(_means(products, width), "replicate-means")
+    with batches_of(spark, WIDE):
+        products = freeze(_products(tiles, _draws(strata, replicates, seed), width), "products")
+    with batches_of(spark, WIDEST):
+        means = freeze(_means(products, width), "replicate-means")
     seen = means.where("part = -1").first()
     if seen is None:
         none = "k int, other int, metric string, delta double, standard_error double, lower double"

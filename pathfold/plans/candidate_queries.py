@@ -110,7 +110,9 @@ def decisions(spark, sf_dir) -> tuple[DataFrame, int]:
     best = best_single_of(rows).first()
     acted = candidates.decided(asked, [costs.get(m, 0.0) for m in MODEL_IDS], cuts, LISTED)
     shut = F.array(*[F.coalesce(F.col("similarity") < cuts[q], F.lit(False)) if q else F.lit(False) for q in routing.GATE_QUANTILES])
-    return freeze(acted.withColumn("shut", shut), "actions"), MODEL_IDS.index(best.model_id) if best else 0
+    with candidates.batches_of(spark, candidates.WIDE):
+        acted = freeze(acted.withColumn("shut", shut), "actions")
+    return acted, MODEL_IDS.index(best.model_id) if best else 0
 
 
 def _kinds(spark, first: np.ndarray, chosen: np.ndarray, anchor: int) -> DataFrame:

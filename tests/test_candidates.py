@@ -112,3 +112,23 @@ def test_no_prompts(spark):
     assert set(first.tolist()) <= {0}
     bounds, _ = candidates.simultaneous(rows, np.array([0]), np.array([0]), 10, 1)
     assert bounds.collect() == []
+
+
+def test_wide_rows_come_in_small_batches(spark, monkeypatch):
+    """10,000 rows of 4,360 actions would be 349 MB as one matrix of 64-bit numbers, and there are several."""
+    assert candidates.WIDE * 4360 * 8 < 20e6
+    before, asked = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    with candidates.batches_of(spark, 7):
+        assert max(r.n for r in spark.range(0, 100, 1, 1).mapInArrow(sizes, "n long").collect()) == 7
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    monkeypatch.setattr(candidates, "batches_of", lambda s, n, f=candidates.batches_of: (asked.append(n), f(s, n))[1])
+    rows = candidates.decided(frame(spark, *made(5)), COSTS, CUTS, LISTED)
+    candidates.distinct_candidates(rows, len(LISTED))
+    assert asked == [candidates.WIDE]
