@@ -215,9 +215,10 @@ class AllRows:
     def __init__(self, blocks: DataFrame, width: int, count: int):
         self.blocks, self.width, self.count, self.passes = blocks, width, count, 0
 
-    def _sum(self, work, size: int) -> np.ndarray:
-        """The sum of work(X @, @ X, y, known), arrays of `size` numbers, over all blocks."""
+    def _sum(self, work, size: int, heads: list[int] | None = None) -> np.ndarray:
+        """The sum of work(X @, @ X, y, known), arrays of `size` numbers, over all blocks; of some heads only, if they are named."""
         width, count = self.width, self.count
+        which = list(range(count)) if heads is None else heads
         self.passes += 1
 
         def run(batches: Iterator) -> Iterator:
@@ -228,10 +229,10 @@ class AllRows:
                 for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     starts, columns, values, y = (np.frombuffer(x, dtype=k) for x, k in zip(row, (np.int64, np.int32, float, float), strict=True))
                     n = len(starts) - 1
-                    own, y = np.repeat(np.arange(n), np.diff(starts)), y.reshape(n, count)
+                    own, y, columns = np.repeat(np.arange(n), np.diff(starts)), y.reshape(n, count)[:, which], columns.astype(np.intp)
                     known = ~np.isnan(y)
-                    forward = lambda w: np.stack([np.bincount(own, values * w[columns, h], n) + w[-1, h] for h in range(count)], axis=1)  # noqa: E731, B023
-                    back = lambda u: np.stack([np.append(np.bincount(columns, values * u[own, h], width), u[:, h].sum()) for h in range(count)], axis=1)  # noqa: E731, B023
+                    forward = lambda w: np.stack([np.bincount(own, values * x.take(columns), n) + x[-1] for x in np.ascontiguousarray(w.T)], axis=1)  # noqa: E731, B023
+                    back = lambda u: np.stack([np.append(np.bincount(columns, values * x.take(own), width), x.sum()) for x in np.ascontiguousarray(u.T)], axis=1)  # noqa: E731, B023
                     total += work(forward, back, np.where(known, y, 0.0), known).ravel()
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "sum"])
 
@@ -254,14 +255,17 @@ class AllRows:
         work = lambda forward, back, y, known: back(np.where(known, _logistic(forward(w)) - y, 0.0))
         return self._sum(work, w.size).reshape(w.shape)
 
-    def curved(self, w: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """X' p (1 - p) X d of each head."""
+    def curved(self, w: np.ndarray, d: np.ndarray, going: np.ndarray) -> np.ndarray:
+        """X' p (1 - p) X d of each head that is going; 0 of others."""
+        which = np.flatnonzero(going).tolist()
+        w, d, out = w[:, which], d[:, which], np.zeros_like(w)
 
         def work(forward, back, y, known):
             p = _logistic(forward(w))
             return back(np.where(known, p * (1 - p), 0.0) * forward(d))
 
-        return self._sum(work, w.size).reshape(w.shape)
+        out[:, which] = self._sum(work, w.size, which).reshape(w.shape)
+        return out
 
     def losses(self, w: np.ndarray, d: np.ndarray, steps: np.ndarray) -> np.ndarray:
         """(steps x heads): the summed losses at w + step * d."""
@@ -298,7 +302,7 @@ def refined(rows: AllRows, w: np.ndarray, c: float, fixed: np.ndarray, most: int
             going &= np.sqrt(rr) > enough
             if not going.any():
                 break
-            hs = np.where(going, s + c * rows.curved(w, s), 0.0)
+            hs = np.where(going, s + c * rows.curved(w, s, going), 0.0)
             a = np.where(going, rr / np.where(going, (s * hs).sum(axis=0), 1.0), 0.0)
             d, r = d + a * s, r - a * hs
             before, rr = rr, np.where(going, (r * r).sum(axis=0), rr)

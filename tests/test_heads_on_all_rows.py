@@ -78,3 +78,12 @@ def test_terms(spark, monkeypatch, bigrams):
     got = {x.id: dict(zip(x.terms, x.tf, strict=True)) for x in learning.term_counts(df, "k", "t", bigrams).collect()}
     assert got == want
     assert learning.term_counts(df.where("false"), "k", "t", bigrams).agg(F.count("*")).first()[0] == 0
+
+
+def test_products_are_of_the_heads_that_go_on(spark):
+    features, labels = data(spark, 60)
+    rows = heads.AllRows(heads.packed(features, labels, HEADS), 25, 4)
+    r = np.random.default_rng(4)
+    w, d, every = r.normal(size=(26, 4)), r.normal(size=(26, 4)), np.ones(4, dtype=bool)
+    whole, some = rows.curved(w, d, every), rows.curved(w, d, np.array([True, False, True, False]))
+    assert np.allclose(some[:, [0, 2]], whole[:, [0, 2]]) and not some[:, [1, 3]].any() and whole[:, :3].any(axis=0).all()  # nobody knows a label of the last
