@@ -4,8 +4,8 @@ Vocabularies, document frequencies and scaling cover all training rows. Fits beg
 these: the `most_rows` rows whose ids hash lowest, and of them as many as have `most_entries` features other than zero
 together, which is what is broadcast. A fit minimises |w|^2 / 2 + C * sum(loss), the intercept being one of the weights,
 by Newton steps whose systems are solved by conjugate gradients. The fits of all heads, folds and penalties are rows of a
-table, so executors share them. `fitted_on_all` goes on from there on every row: gradients and products with the Hessian are sums
-over packed blocks of sparse rows, for all heads in one pass; the driver holds a few matrices of vocabulary x heads.
+table, so executors share them. `fitted_on_all` fits every row: gradients and products with the Hessian are sums over packed blocks of
+sparse rows, for all heads in one pass; the driver holds a few matrices of vocabulary x heads and some directions of the vocabulary's length.
 """
 
 from __future__ import annotations
@@ -187,36 +187,104 @@ def fitted_heads(spark, rows: Rows, heads: tuple[str, ...], width: int, c: float
 # -- on all rows ----------------------------------------------------------------------------------------------------
 
 
+#: Numbers other than zero of a packed block (half a megabyte), blocks of a file, and such numbers that are multiplied at once.
+BLOCK, BLOCKS_OF_FILE, AT_ONCE = 150_000, 7, 1_000_000
+
+
 def packed(features: DataFrame, labels: DataFrame, heads: tuple[str, ...]) -> DataFrame:
-    """features(id, columns, values) with labels(id, labels) as blocks of sparse rows: (starts, columns, values, y), packed."""
+    """features(id, columns, values) with labels(id, labels) as blocks of sparse rows: (starts, columns, values, table, factors, y), packed. Where
+    features have `parts` and `factor`, a value is part * factor * the scale of its column, which AllRows knows. Values of at most 256 kinds
+    are places of a table of them; columns take two bytes where that is enough."""
+    apart = "parts" in features.columns
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        flat = lambda x, kind: x.flatten().to_numpy(zero_copy_only=False).astype(kind)
+        for batch in batches:
+            ends = np.cumsum(np.diff(batch.column(0).offsets.to_numpy()))
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right")))
+                columns, values, factors, y = (batch.column(i).slice(first, last - first) for i in range(4))
+                starts = np.concatenate(([0], np.cumsum(np.diff(columns.offsets.to_numpy()))))
+                columns, values, table = flat(columns, np.int32), flat(values, float), np.zeros(0)
+                if columns.max(initial=0) < 1 << 16:
+                    columns = columns.astype(np.uint16)
+                if len(np.unique(values[:10_000])) <= 256 and len(kinds := np.unique(values)) <= 256:
+                    values, table = np.searchsorted(kinds, values).astype(np.uint8), kinds
+                row = [starts.astype(np.int64), columns, values, table, factors.to_numpy(zero_copy_only=False).astype(float), flat(y, float)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["starts", "columns", "values", "table", "factors", "y"])
+                first = last
+
+    y = F.array(*[F.element_at("labels", F.lit(h)) for h in heads]).alias("y")
+    joined = features.join(labels, "id").select("columns", F.col("parts" if apart else "values"), F.col("factor") if apart else F.lit(1.0).alias("factor"), y)
+    return joined.mapInArrow(run, "starts binary, columns binary, values binary, table binary, factors binary, y binary")
+
+
+class _Block:
+    """Packed blocks as one: products with it and with its transpose, the intercept last."""
+
+    #: Entries of a row from which rows are multiplied one by one, for all columns of the weights at once.
+    LONG = 32
+
+    def __init__(self, rows: list[tuple], width: int, count: int, which: list[int]):
+        parts = [self._read(*row) for row in rows]
+        sizes, self.columns, self.values, self.factors, y = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.starts, self.width = np.concatenate(([0], np.cumsum(sizes))), width
+        self.own, y = np.repeat(np.arange(len(sizes)), sizes), y.reshape(-1, count)[:, which]
+        self.known = ~np.isnan(y)
+        self.y = np.where(self.known, y, 0.0)
+
+    @staticmethod
+    def _read(starts, columns, values, table, factors, y) -> tuple:
+        starts, table = np.frombuffer(starts, np.int64), np.frombuffer(table, float)
+        columns = np.frombuffer(columns, np.uint16 if len(columns) == 2 * starts[-1] else np.int32).astype(np.intp)
+        values = table.take(np.frombuffer(values, np.uint8)) if len(table) else np.frombuffer(values, float)
+        return np.diff(starts), columns, values, np.frombuffer(factors, float), np.frombuffer(y, float)
+
+    @classmethod
+    def together(cls, batches: Iterator, *of) -> Iterator[_Block]:
+        """Blocks of AT_ONCE entries or a little more."""
+        held, entries = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns, values, y = (batch.column(i) for i in range(3))
-            starts = np.concatenate(([0], np.cumsum(np.diff(columns.offsets.to_numpy()))))
-            flat = lambda x, kind: x.flatten().to_numpy(zero_copy_only=False).astype(kind)
-            row = [starts.astype(np.int64), flat(columns, np.int32), flat(values, float), flat(y, float)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["starts", "columns", "values", "y"])
+            for i in range(batch.num_rows):
+                held.append([c[i].as_buffer() for c in batch.columns])
+                entries += np.frombuffer(held[-1][0], np.int64)[-1]
+                if entries >= AT_ONCE:
+                    yield cls(held, *of)
+                    held, entries = [], 0
+        if held:
+            yield cls(held, *of)
 
-    joined = features.join(labels, "id").select("columns", "values", F.array(*[F.element_at("labels", F.lit(h)) for h in heads]).alias("y"))
-    return joined.mapInArrow(run, "starts binary, columns binary, values binary, y binary")
+    def forward(self, w: np.ndarray) -> np.ndarray:
+        n = len(self.factors)
+        if len(self.values) < self.LONG * n:
+            z = np.stack([np.bincount(self.own, self.values * x.take(self.columns), n) for x in np.ascontiguousarray(w.T)], axis=1)
+        else:
+            z, w, ends = np.zeros((n, w.shape[1])), np.ascontiguousarray(w), self.starts.tolist()
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                np.dot(self.values[a:b], w.take(self.columns[a:b], axis=0), out=z[i])
+        return z * self.factors[:, None] + w[-1]
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        v = np.ascontiguousarray((u * self.factors[:, None]).T)
+        return np.vstack((np.stack([np.bincount(self.columns, self.values * x.take(self.own), self.width) for x in v], axis=1), u.sum(axis=0)))
 
 
 class AllRows:
     """Sums over all rows of packed blocks, for all heads at once. A task adds what it reads and passes on one matrix (or a few numbers);
-    matrices are added once more by TREE tasks, so that the driver gets as many of them, whatever the data."""
+    matrices are added once more by TREE tasks, so that the driver gets as many of them, whatever the data. scale: what the columns
+    are multiplied by."""
 
     TREE = 16
 
-    def __init__(self, blocks: DataFrame, width: int, count: int):
+    def __init__(self, blocks: DataFrame, width: int, count: int, scale: np.ndarray | None = None):
         self.blocks, self.width, self.count, self.passes = blocks, width, count, 0
+        self.scale = np.append(np.ones(width) if scale is None else scale, 1.0)[:, None]
 
     def _sum(self, work, size: int, heads: list[int] | None = None) -> np.ndarray:
-        """The sum of work(X @, @ X, y, known), arrays of `size` numbers, over all blocks; of some heads only, if they are named."""
+        """The sum of work(block), arrays of `size` numbers, over all blocks; of some heads only, if they are named."""
         width, count = self.width, self.count
         which = list(range(count)) if heads is None else heads
         self.passes += 1
@@ -225,15 +293,8 @@ class AllRows:
             import pyarrow as pa
 
             total = np.zeros(size)
-            for batch in batches:
-                for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    starts, columns, values, y = (np.frombuffer(x, dtype=k) for x, k in zip(row, (np.int64, np.int32, float, float), strict=True))
-                    n = len(starts) - 1
-                    own, y, columns = np.repeat(np.arange(n), np.diff(starts)), y.reshape(n, count)[:, which], columns.astype(np.intp)
-                    known = ~np.isnan(y)
-                    forward = lambda w: np.stack([np.bincount(own, values * x.take(columns), n) + x[-1] for x in np.ascontiguousarray(w.T)], axis=1)  # noqa: E731, B023
-                    back = lambda u: np.stack([np.append(np.bincount(columns, values * x.take(own), width), x.sum()) for x in np.ascontiguousarray(u.T)], axis=1)  # noqa: E731, B023
-                    total += work(forward, back, np.where(known, y, 0.0), known).ravel()
+            for block in _Block.together(batches, width, count, which):
+                total += work(block).ravel()
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "sum"])
 
         def add(batches: Iterator) -> Iterator:
@@ -252,83 +313,152 @@ class AllRows:
 
     def gradient(self, w: np.ndarray) -> np.ndarray:
         """X' (p - y) of each head."""
-        work = lambda forward, back, y, known: back(np.where(known, _logistic(forward(w)) - y, 0.0))
-        return self._sum(work, w.size).reshape(w.shape)
+        return self.sloped(w)[0]
+
+    def sloped(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """X' (p - y) and the sum of p (1 - p) of each head."""
+        w = w * self.scale
+
+        def work(block):
+            p = np.where(block.known, _logistic(block.forward(w)), 0.0)
+            return np.append(block.back(p - block.y), (p * (1 - p)).sum(axis=0))
+
+        found = self._sum(work, w.size + self.count)
+        return found[: w.size].reshape(w.shape) * self.scale, found[w.size :]
 
     def curved(self, w: np.ndarray, d: np.ndarray, going: np.ndarray) -> np.ndarray:
         """X' p (1 - p) X d of each head that is going; 0 of others."""
         which = np.flatnonzero(going).tolist()
-        w, d, out = w[:, which], d[:, which], np.zeros_like(w)
+        both, out = np.hstack((w[:, which], d[:, which])) * self.scale, np.zeros_like(w)
 
-        def work(forward, back, y, known):
-            p = _logistic(forward(w))
-            return back(np.where(known, p * (1 - p), 0.0) * forward(d))
+        def work(block):
+            z, along = np.hsplit(block.forward(both), 2)
+            p = _logistic(z)
+            return block.back(np.where(block.known, p * (1 - p), 0.0) * along)
 
-        out[:, which] = self._sum(work, w.size, which).reshape(w.shape)
+        out[:, which] = self._sum(work, both.size // 2, which).reshape(len(w), len(which)) * self.scale
         return out
 
-    def losses(self, w: np.ndarray, d: np.ndarray, steps: np.ndarray) -> np.ndarray:
-        """(steps x heads): the summed losses at w + step * d."""
+    def stepped(self, w: np.ndarray, d: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(steps x heads): the summed losses at w + step * d; X' (p - y) and the sum of p (1 - p) of each head at w + d."""
+        both, n = np.hstack((w, d)) * self.scale, len(steps) * self.count
 
-        def work(forward, back, y, known):
-            z, along = forward(w), forward(d)
-            return np.stack([np.where(known, np.logaddexp(0, z + t * along) - y * (z + t * along), 0.0).sum(axis=0) for t in steps])
+        def work(block):
+            z, along = np.hsplit(block.forward(both), 2)
+            losses = [np.where(block.known, np.logaddexp(0, z + t * along) - block.y * (z + t * along), 0.0).sum(axis=0) for t in steps]
+            p = np.where(block.known, _logistic(z + along), 0.0)
+            return np.concatenate((*losses, block.back(p - block.y).ravel(), (p * (1 - p)).sum(axis=0)))
 
-        return self._sum(work, len(steps) * self.count).reshape(len(steps), self.count)
+        found = self._sum(work, n + w.size + self.count)
+        return found[:n].reshape(len(steps), self.count), found[n : n + w.size].reshape(w.shape) * self.scale, found[n + w.size :]
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+class Subspace:
+    """Directions that any head has tried and what its Hessian made of them. The heads' Hessians have the same rows and differ in the curvature
+    p (1 - p) only, so, for a curvature of 1 in all, the largest eigenvectors within these directions precondition every head's systems. At
+    most MOST directions of the vocabulary's length are held, by the driver."""
+
+    MOST, KEPT = 160, 16
+
+    def __init__(self, width: int):
+        self.tried, self.made, self.held = np.empty((self.MOST, width)), np.empty((self.MOST, width)), 0
+        self.values, self.vectors = np.zeros(0), self.tried[:0]
+
+    def add(self, s: np.ndarray, made: np.ndarray) -> None:
+        """s and X' p (1 - p) X s / sum(p (1 - p)) of one head."""
+        if self.held == self.MOST:
+            self.close()
+        length = np.sqrt(s @ s)
+        self.tried[self.held], self.made[self.held] = s / length, made / length
+        self.held += 1
+
+    def close(self) -> None:
+        """Keep the largest eigenvectors only, from now on in use."""
+        s, q = self.tried[: self.held], self.made[: self.held]
+        size, turn = np.linalg.eigh(s @ s.T)
+        sound = size > 1e-8 * size[-1]
+        turn = turn[:, sound] / np.sqrt(size[sound])
+        inner = turn.T @ (s @ q.T) @ turn
+        values, axes = np.linalg.eigh((inner + inner.T) / 2)
+        last = np.flatnonzero(values > 1e-12 * max(values[-1], 0.0))[-self.KEPT :]
+        turn = (turn @ axes[:, last]).T
+        self.held, self.values = len(last), values[last]
+        self.tried[: self.held], self.made[: self.held] = turn @ s, turn @ q
+        self.vectors = self.tried[: self.held].copy()
+
+    def apply(self, r: np.ndarray, curve: np.ndarray) -> np.ndarray:
+        """r of each head (a column) by the approximate inverse of I + curve * the matrix, but for a factor."""
+        if not len(self.values):
+            return r
+        level = 1 + self.values[:, None] * curve
+        return r + self.vectors.T @ ((level[0] / level - 1) * (self.vectors @ r))
+
+
 def refined(rows: AllRows, w: np.ndarray, c: float, fixed: np.ndarray, most: int = 30) -> np.ndarray:
-    """Weights (width + 1, heads) that minimise |w|^2 / 2 + c * sum(loss) over all rows, from w on, by the Newton steps of `Fit` for all
-    heads at once; heads in `fixed` stay. A pass over the rows for each product; where w is the solution already, one."""
+    """Weights (width + 1, heads) that minimise |w|^2 / 2 + c * sum(loss) over all rows, from w on, by Newton steps for all heads at
+    once; heads in `fixed` stay. A pass over the rows for each product, one for each step's length and the gradient there; where w is the
+    solution already, two. A step's system is solved as far as the step is likely to be right, as Newton's error is the square of the last."""
     w = w.copy()
-    first = None
+    gradient, curve = rows.sloped(w)
+    start = rows.sloped(np.zeros_like(w))[0]
+    first = np.maximum(c * np.sqrt((start * start).sum(axis=0)), 1e-12)
+    space, steps = Subspace(len(w)), 0.5 ** np.arange(12)
     for _ in range(most):
-        g = w + c * rows.gradient(w)
+        g = w + c * gradient
         size = np.sqrt((g * g).sum(axis=0))
-        if first is None:
-            start = c * rows.gradient(np.zeros_like(w)) if (size > TOLERANCE * 1e-12).any() else g
-            first = np.maximum(np.sqrt((start * start).sum(axis=0)), 1e-12)
         active = ~fixed & (size > 2 * TOLERANCE * first)
         if not active.any():
             break
-        enough = np.minimum(0.1, np.sqrt(size)) * size
+        enough = np.maximum(np.minimum(0.1, size / first) * size, TOLERANCE * first)
         d, r = np.zeros_like(g), np.where(active, -g, 0.0)
-        s, rr, going = r.copy(), (r * r).sum(axis=0), active.copy()
+        z = space.apply(r, c * curve)
+        s, rz, going = z.copy(), (r * z).sum(axis=0), active.copy()
         for _ in range(250):
-            going &= np.sqrt(rr) > enough
+            going &= np.sqrt((r * r).sum(axis=0)) > enough
             if not going.any():
                 break
-            hs = np.where(going, s + c * rows.curved(w, s, going), 0.0)
-            a = np.where(going, rr / np.where(going, (s * hs).sum(axis=0), 1.0), 0.0)
+            made = rows.curved(w, s, going)
+            for h in np.flatnonzero(going & (curve > 0)):
+                space.add(s[:, h], made[:, h] / curve[h])
+            hs = np.where(going, s + c * made, 0.0)
+            a = np.where(going, rz / np.where(going, (s * hs).sum(axis=0), 1.0), 0.0)
             d, r = d + a * s, r - a * hs
-            before, rr = rr, np.where(going, (r * r).sum(axis=0), rr)
-            s = np.where(going, r + rr / np.where(before > 0, before, 1.0) * s, s)
-        steps = 0.5 ** np.arange(12)
-        losses = np.stack([((w + t * d) ** 2).sum(axis=0) / 2 for t in (0.0, *steps)]) + c * rows.losses(w, d, np.concatenate(([0.0], steps)))
+            z = space.apply(r, c * curve)
+            before, rz = rz, np.where(going, (r * z).sum(axis=0), rz)
+            s = np.where(going, z + rz / np.where(before > 0, before, 1.0) * s, s)
+        losses, ahead, curve_ahead = rows.stepped(w, d, np.concatenate(([0.0], steps)))
+        losses = np.stack([((w + t * d) ** 2).sum(axis=0) / 2 for t in (0.0, *steps)]) + c * losses
         good = losses[1:] <= losses[0] + 1e-4 * steps[:, None] * (g * d).sum(axis=0) + 1e-12 * np.abs(losses[0])
         t = np.where(good.any(axis=0), steps[good.argmax(axis=0)], 0.0) * active
         if not t.any():
             break
         w = w + t * d
+        gradient, curve = (ahead, curve_ahead) if (t[active] == 1).all() else rows.sloped(w)
+        space.close()
     return w
 
 
-def fitted_on_all(features: DataFrame, labels: DataFrame, heads: tuple[str, ...], width: int, c: float = 1.0, blocks: DataFrame | None = None) -> tuple[DataFrame, AllRows]:
-    """(model_id, prevalence, weights) fitted on every row of features(id, columns, values) with labels(id, labels): the bounded sample's
-    solution, refined on all rows. The prevalence is that of all rows too, and one class among them gives null weights."""
+def fitted_on_all(features: DataFrame, labels: DataFrame, heads: tuple[str, ...], width: int, c: float = 1.0, scale: np.ndarray | None = None) -> tuple[DataFrame, AllRows]:
+    """(model_id, prevalence, weights) fitted on every row of features(id, columns, values) with labels(id, labels): from the bounded sample's
+    solution where that holds all rows, from 0 otherwise, as the solution of a part is no nearer. The prevalence is that of all rows
+    too, and one class among them gives null weights. With `scale`, features have the parts and factors that `packed` takes."""
     spark = features.sparkSession
-    started = {r.model_id: r for r in fitted_heads(spark, sampled(features.join(labels, "id"), heads), heads, width, c).collect()}  # a row for each head
+    joined = features.join(labels, "id")
+    rows, entries = joined.agg(F.count("*"), F.coalesce(F.sum(F.size("columns")), F.lit(0))).first()
+    start = np.zeros((width + 1, len(heads)))
+    if rows <= MOST_ROWS and entries <= MOST_ENTRIES:
+        started = {r.model_id: r for r in fitted_heads(spark, sampled(joined, heads), heads, width, c).collect()}  # a row for each head
+        start = np.stack([np.zeros(width + 1) if started[h].weights is None else np.array(started[h].weights) for h in heads], axis=1)
     shares = {r.model_id: r.p for r in labels.select(F.explode("labels").alias("model_id", "y")).groupBy("model_id").agg(F.avg("y").alias("p")).collect()}
     fixed = np.array([shares.get(h) in (None, 0.0, 1.0) for h in heads])
-    start = np.stack([np.zeros(width + 1) if started[h].weights is None else np.array(started[h].weights) for h in heads], axis=1)
-    rows = AllRows(blocks if blocks is not None else freeze(packed(features, labels, heads), "sparse-blocks"), width, len(heads))
-    w = refined(rows, start, c, fixed)
+    found = AllRows(freeze(packed(features, labels, heads), "sparse-blocks", BLOCKS_OF_FILE), width, len(heads), scale)
+    w = refined(found, start, c, fixed)
     out = [(h, float(shares.get(h) or 0.0), None if fixed[i] else w[:, i].tolist()) for i, h in enumerate(heads)]
-    return spark.createDataFrame(out, "model_id string, prevalence double, weights array<double>"), rows
+    return spark.createDataFrame(out, "model_id string, prevalence double, weights array<double>"), found
 
 
 def probabilities(features: DataFrame, fitted: list, id_col: str = "id") -> DataFrame:

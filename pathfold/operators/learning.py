@@ -85,7 +85,8 @@ def vocabulary(counted: DataFrame, min_df: int = 2, max_features: int | None = 5
 
 def numbered(counted: DataFrame, words: list[str], idf: np.ndarray | None = None) -> DataFrame:
     """(id, columns, values): counts of the terms in `words` by their places there, in order; with idf their TF-IDF weights, of
-    unit length in each document. `words` is broadcast: it is a vocabulary of bounded size."""
+    unit length in each document, and what these are made of: a weight is parts * idf * factor. `words` is broadcast: it is a
+    vocabulary of bounded size."""
     import pyarrow as pa
 
     shared = counted.sparkSession.sparkContext.broadcast((pa.array(words, pa.string()), idf))
@@ -97,24 +98,34 @@ def numbered(counted: DataFrame, words: list[str], idf: np.ndarray | None = None
         known, idf = shared.value
 
         def weigh(columns, counts):
-            w = (1 + np.log(counts)) * idf[columns]
-            return w / np.sqrt(w @ w) if len(w) else w
+            part = 1 + np.log(counts)
+            w = part * idf[columns]
+            length = np.sqrt(w @ w) if len(w) else 1.0
+            return w / length, part, 1 / length
 
         for batch in batches:
             listed, tf = batch.column(1), batch.column(2)
             place = pc.fill_null(pc.index_in(listed.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
             count, sizes = tf.flatten().to_numpy(zero_copy_only=False).astype(float), np.diff(listed.offsets.to_numpy())
             ends = np.cumsum(sizes)
-            columns, values = [], []
+            columns, values, parts, factors = [], [], [], []
             for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
                 kept = a + np.flatnonzero(place[a:b] >= 0)
                 kept = kept[np.argsort(place[kept])]
                 columns.append(place[kept])
-                values.append(count[kept] if idf is None else weigh(place[kept], count[kept]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["id", "columns", "values"])
+                if idf is None:
+                    values.append(count[kept])
+                    continue
+                for listed_, x in zip((values, parts, factors), weigh(place[kept], count[kept]), strict=True):
+                    listed_.append(x)
+            out = {"id": batch.column(0), "columns": pa.array(columns, pa.list_(pa.int32())), "values": pa.array(values, pa.list_(pa.float64()))}
+            if idf is not None:
+                out |= {"parts": pa.array(parts, pa.list_(pa.float64())), "factor": pa.array(factors, pa.float64())}
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     kind = counted.schema["id"].dataType.simpleString()
-    return counted.select("id", "terms", "tf").mapInArrow(run, f"id {kind}, columns array<int>, values array<double>")
+    more = "" if idf is None else ", parts array<double>, factor double"
+    return counted.select("id", "terms", "tf").mapInArrow(run, f"id {kind}, columns array<int>, values array<double>{more}")
 
 
 @dataclass
@@ -132,6 +143,10 @@ class Tfidf:
 
     def transform(self, counted: DataFrame) -> DataFrame:
         """(id, columns, values) for every document with a term of the vocabulary or another."""
+        return self.apart(counted).select("id", "columns", "values")
+
+    def apart(self, counted: DataFrame) -> DataFrame:
+        """The same with parts and factor: a value is part * idf * factor."""
         return numbered(counted, self.words, self.idf)
 
 

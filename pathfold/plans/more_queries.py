@@ -153,10 +153,10 @@ def text_head(spark, sf_dir):
     train, test = (rows.where(F.col("split") == s).drop("split") for s in ("train", "test"))
     counted = freeze(learning.term_counts(_texts(spark, sf_dir).join(rows.select("id"), "id", "left_semi"), "id", "prompt"), "term-counts")
     fitted = learning.Tfidf.fit(counted.join(train.select("id"), "id", "left_semi"), train.count())
-    features = freeze(fitted.transform(counted), "tfidf")
-    models, _ = heads.fitted_on_all(features, train, MODEL_IDS, len(fitted.words))
+    features = freeze(fitted.apart(counted), "tfidf")
+    models, _ = heads.fitted_on_all(features, train, MODEL_IDS, len(fitted.words), scale=fitted.idf)
     models = sorted(models.collect(), key=lambda r: MODEL_IDS.index(r.model_id))  # one row for each head
-    scored = heads.probabilities(features.join(test.select("id"), "id", "left_semi"), models).join(test, "id")
+    scored = heads.probabilities(features.select("id", "columns", "values").join(test.select("id"), "id", "left_semi"), models).join(test, "id")
     each = F.array(*[F.struct(F.lit(m).alias("model_id"), F.get("p", i).alias("p"), F.element_at("labels", F.lit(m)).alias("y")) for i, m in enumerate(MODEL_IDS)])
     p, y = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6)), F.col("y")
     rows = scored.select(F.inline(each)).groupBy("model_id")

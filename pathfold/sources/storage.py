@@ -28,8 +28,9 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_path(spark, "checkpoints"))
 
 
-def freeze(df: DataFrame, name: str) -> DataFrame:
-    """Write df and read it back: what comes later cannot reach behind it, and what uses it twice computes it once."""
+def freeze(df: DataFrame, name: str, rows_of_file: int = 0) -> DataFrame:
+    """Write df and read it back: what comes later cannot reach behind it, and what uses it twice computes it once. Where rows are large,
+    rows_of_file bounds the files, so that tasks can be dealt evenly."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_of_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

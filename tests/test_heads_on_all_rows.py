@@ -87,3 +87,49 @@ def test_products_are_of_the_heads_that_go_on(spark):
     w, d, every = r.normal(size=(26, 4)), r.normal(size=(26, 4)), np.ones(4, dtype=bool)
     whole, some = rows.curved(w, d, every), rows.curved(w, d, np.array([True, False, True, False]))
     assert np.allclose(some[:, [0, 2]], whole[:, [0, 2]]) and not some[:, [1, 3]].any() and whole[:, :3].any(axis=0).all()  # nobody knows a label of the last
+
+
+def test_weights_apart_are_the_same_rows_in_few_bytes(spark, monkeypatch):
+    monkeypatch.setattr(heads, "BLOCK", 2_000)
+    r = random.Random(5)
+    texts = [(f"p{i}", " ".join(r.choices([f"w{j}" for j in range(150)], k=r.randrange(1, 120)))) for i in range(150)]
+    labels = spark.createDataFrame([(i, {"a": float(r.random() < 0.5), "b": float(r.random() < 0.3)}) for i, _ in texts], "id string, labels map<string, double>")
+    counted = learning.term_counts(spark.createDataFrame(texts, "id string, t string"), "id", "t")
+    fitted = learning.Tfidf.fit(counted, len(texts))
+    width, features = len(fitted.words), fitted.apart(counted)
+    plain, apart = (heads.packed(x, labels, ("a", "b")) for x in (features.select("id", "columns", "values"), features))
+    assert apart.count() > 2 and all(len(x.columns) + len(x.values) == 3 * np.frombuffer(x.starts, np.int64)[-1] for x in apart.collect())
+    w = np.random.default_rng(2).normal(size=(width + 1, 2))
+    want, got = heads.AllRows(plain, width, 2).sloped(w), heads.AllRows(apart, width, 2, fitted.idf).sloped(w)
+    assert np.allclose(want[0], got[0]) and np.allclose(want[1], got[1])
+    losses, ahead, curve = heads.AllRows(apart, width, 2, fitted.idf).stepped(w * 0, w, np.array([0.0, 1.0]))
+    assert np.allclose(ahead, got[0]) and np.allclose(curve, got[1]) and np.allclose(losses[0], len(texts) * np.log(2))
+
+
+@pytest.mark.parametrize("long", [0, 10**9])
+def test_rows_one_by_one_and_all_at_once(long, monkeypatch):
+    monkeypatch.setattr(heads._Block, "LONG", long)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(7, 9)) * (r.random((7, 9)) < 0.5)
+    x[2] = 0.0  # a row without entries
+    rows, columns = np.nonzero(x)
+    packs = [np.concatenate(([0], np.cumsum((x != 0).sum(axis=1)))), columns.astype(np.uint16), x[rows, columns], np.zeros(0), np.arange(7) + 1.0, np.ones(14)]
+    block = heads._Block([[p.tobytes() for p in packs]] * 2, 9, 2, [0, 1])
+    whole = np.hstack((np.vstack([x * (np.arange(7) + 1.0)[:, None]] * 2), np.ones((14, 1))))
+    w, u = r.normal(size=(10, 3)), r.normal(size=(14, 2))
+    assert np.allclose(block.forward(w), whole @ w) and np.allclose(block.back(u), whole.T @ u)
+
+
+def test_directions_of_one_head_serve_the_others():
+    """Eight heads with the same curvature: what one head has tried solves the others' systems."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(40, 12)) * np.geomspace(30, 1, 12)
+    a, space = x.T @ x, heads.Subspace(12)
+    for s in np.eye(12):
+        space.add(s, a @ s)
+    space.close()
+    b = r.normal(size=(12, 3))
+    z = space.apply(b, np.array([0.1, 1.0, 5.0]))
+    for h, c in enumerate((0.1, 1.0, 5.0)):
+        want = np.linalg.solve(np.eye(12) + c * a, b[:, h])
+        assert np.allclose(z[:, h] / np.linalg.norm(z[:, h]), want / np.linalg.norm(want))
