@@ -283,9 +283,11 @@ class AllRows:
         self.blocks, self.width, self.count, self.passes = blocks, width, count, 0
         self.scale = np.append(np.ones(width) if scale is None else scale, 1.0)[:, None]
 
-    def _sum(self, work, size: int, heads: list[int] | None = None) -> np.ndarray:
-        """The sum of work(block), arrays of `size` numbers, over all blocks; of some heads only, if they are named."""
+    def _sum(self, work, given: np.ndarray, size: int, heads: list[int] | None = None) -> np.ndarray:
+        """The sum of work(block, given), arrays of `size` numbers, over all blocks; of some heads only, if they are named. What is given
+        is broadcast and removed again, so that passes leave nothing on disk."""
         width, count = self.width, self.count
+        shared = self.blocks.sparkSession.sparkContext.broadcast(given)
         which = list(range(count)) if heads is None else heads
         self.passes += 1
 
@@ -294,7 +296,7 @@ class AllRows:
 
             total = np.zeros(size)
             for block in _Block.together(batches, width, count, which):
-                total += work(block).ravel()
+                total += work(block, shared.value).ravel()
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "sum"])
 
         def add(batches: Iterator) -> Iterator:
@@ -309,7 +311,10 @@ class AllRows:
         parts = self.blocks.mapInArrow(run, "k int, sum binary")
         if size > 1000 and self.blocks.rdd.getNumPartitions() > self.TREE:
             parts = parts.select("sum").repartition(self.TREE).mapInArrow(add, "sum binary")
-        return sum((np.frombuffer(r.sum, dtype=float) for r in parts.select("sum").collect()), np.zeros(size))
+        try:
+            return sum((np.frombuffer(r.sum, dtype=float) for r in parts.select("sum").collect()), np.zeros(size))
+        finally:
+            shared.destroy()
 
     def gradient(self, w: np.ndarray) -> np.ndarray:
         """X' (p - y) of each head."""
@@ -317,13 +322,12 @@ class AllRows:
 
     def sloped(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """X' (p - y) and the sum of p (1 - p) of each head."""
-        w = w * self.scale
 
-        def work(block):
+        def work(block, w):
             p = np.where(block.known, _logistic(block.forward(w)), 0.0)
             return np.append(block.back(p - block.y), (p * (1 - p)).sum(axis=0))
 
-        found = self._sum(work, w.size + self.count)
+        found = self._sum(work, w * self.scale, w.size + self.count)
         return found[: w.size].reshape(w.shape) * self.scale, found[w.size :]
 
     def curved(self, w: np.ndarray, d: np.ndarray, going: np.ndarray) -> np.ndarray:
@@ -331,25 +335,25 @@ class AllRows:
         which = np.flatnonzero(going).tolist()
         both, out = np.hstack((w[:, which], d[:, which])) * self.scale, np.zeros_like(w)
 
-        def work(block):
+        def work(block, both):
             z, along = np.hsplit(block.forward(both), 2)
             p = _logistic(z)
             return block.back(np.where(block.known, p * (1 - p), 0.0) * along)
 
-        out[:, which] = self._sum(work, both.size // 2, which).reshape(len(w), len(which)) * self.scale
+        out[:, which] = self._sum(work, both, both.size // 2, which).reshape(len(w), len(which)) * self.scale
         return out
 
     def stepped(self, w: np.ndarray, d: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(steps x heads): the summed losses at w + step * d; X' (p - y) and the sum of p (1 - p) of each head at w + d."""
         both, n = np.hstack((w, d)) * self.scale, len(steps) * self.count
 
-        def work(block):
+        def work(block, both):
             z, along = np.hsplit(block.forward(both), 2)
             losses = [np.where(block.known, np.logaddexp(0, z + t * along) - block.y * (z + t * along), 0.0).sum(axis=0) for t in steps]
             p = np.where(block.known, _logistic(z + along), 0.0)
             return np.concatenate((*losses, block.back(p - block.y).ravel(), (p * (1 - p)).sum(axis=0)))
 
-        found = self._sum(work, n + w.size + self.count)
+        found = self._sum(work, both, n + w.size + self.count)
         return found[:n].reshape(len(steps), self.count), found[n : n + w.size].reshape(w.shape) * self.scale, found[n + w.size :]
 
 

@@ -19,6 +19,8 @@ PENALTIES = (0.1, 1.0, 10.0)
 
 #: Code points of texts whose terms are counted at once; a longer text is counted alone.
 TERM_CHARS = 2_000_000
+#: Documents whose terms are numbered at once.
+NUMBERED_ROWS = 500
 
 
 def _counted(texts: list[str], bigrams: bool):
@@ -103,7 +105,7 @@ def numbered(counted: DataFrame, words: list[str], idf: np.ndarray | None = None
             length = np.sqrt(w @ w) if len(w) else 1.0
             return w / length, part, 1 / length
 
-        for batch in batches:
+        for batch in (b.slice(at, NUMBERED_ROWS) for b in batches for at in range(0, b.num_rows, NUMBERED_ROWS)):
             listed, tf = batch.column(1), batch.column(2)
             place = pc.fill_null(pc.index_in(listed.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
             count, sizes = tf.flatten().to_numpy(zero_copy_only=False).astype(float), np.diff(listed.offsets.to_numpy())

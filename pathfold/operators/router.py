@@ -100,14 +100,14 @@ def train(prompts: DataFrame, labels: DataFrame, costs: Mapping[str, float], pol
         counted = freeze(learning.term_counts(prompts, "id", "prompt"), "term-counts")
         fitted = learning.Tfidf.fit(counted, prompts.count())
         tables["vocabulary"] = spark.createDataFrame([(w, i, float(x)) for i, (w, x) in enumerate(zip(fitted.words, fitted.idf, strict=True))], "term string, place int, idf double")
-        features, width = fitted.transform(counted), len(fitted.words)
+        features, width, scale = fitted.apart(counted), len(fitted.words), fitted.idf
     elif policy.family != "static":
         raw = freeze(prompts.select("id", dense(F.col("prompt"), policy.family).alias("x")), "features")
         tables["scaling"] = freeze(scaling(raw), "scaling")
         rows = tables["scaling"].collect()  # a row for each feature
-        features, width = scaled(raw, rows), len(rows)
+        features, width, scale = scaled(raw, rows), len(rows), None
     if policy.family != "static":
-        tables["heads"] = centroid_heads(features, labels, models) if fit == "centroid" else heads.fitted_on_all(freeze(features, "scaled"), labels, models, width, penalty)[0]
+        tables["heads"] = centroid_heads(features, labels, models) if fit == "centroid" else heads.fitted_on_all(freeze(features, "scaled"), labels, models, width, penalty, scale)[0]
     if policy.gate:
         tables["references"] = vectors(prompts, F.col("label").cast("long").alias("label"))
     return tables
